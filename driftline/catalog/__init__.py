@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("windows", "quality")
+MODULES = ("records", "windows", "quality", "signals")
 
 
 def load_all():

@@ -25,8 +25,8 @@ def canonical_boolean(value: Column) -> Column:
 def canonical_number(value: Column, decimals: int = 6) -> Column:
     """Fixed-point text without trailing zeros; null becomes the empty string."""
     fixed = F.format_string(f"%.{decimals}f", stable_round(value, decimals))
-    trimmed = F.regexp_replace(F.regexp_replace(fixed, r"0+$", ""), r"\.$", "")
-    return F.coalesce(trimmed, F.lit(""))
+    trimmed = F.regexp_replace(F.regexp_replace(fixed, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    return F.when(value.isNotNull(), trimmed).otherwise(F.lit(""))
 
 
 def canonical_string(value: Column) -> Column:
