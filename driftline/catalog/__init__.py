@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("records", "windows", "quality", "signals")
+MODULES = ("records", "windows", "quality", "signals", "outcomes")
 
 
 def load_all():

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from driftline.functions.rounding import stable_round
 from driftline.operators.ordered import average_ranks, exact_quantiles
+from driftline.session import materialise
 
 
 def melt(df: DataFrame, keys: list[str], channels: list[str], name: str = "channel",
@@ -57,8 +58,10 @@ def correlation_summary(by_session: DataFrame, channels: list[str]) -> DataFrame
     """Median and IQR over sessions of every ordered channel pair, diagonal included.
 
     A pair has one value per session; with millions of sessions that group is
-    large, so the quantiles are the distributed exact ones.
+    large, so the quantiles are the distributed exact ones.  The per-session
+    values are read several times and are checkpointed first.
     """
+    by_session = materialise(by_session)
     valid = by_session.filter(F.col("correlation").isNotNull())
     keys = ["left_channel", "right_channel"]
     quantiles = exact_quantiles(valid, keys, "correlation",
