@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("records", "windows", "quality", "signals", "outcomes")
+MODULES = ("records", "windows", "quality", "signals", "outcomes", "models")
 
 
 def load_all():

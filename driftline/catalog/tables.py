@@ -20,7 +20,7 @@ DAY = 24 * HOUR
 
 EVENT_WINDOWS = WindowSpec(
     window=7 * DAY, stride=DAY, expected=None, minimum=8,
-    interval_low=60_000, interval_high=2 * DAY, decimals=4)
+    interval_low=60_000, interval_high=2 * DAY, decimals=4, slope_unit_ms=DAY)
 EVENT_QC = QcConfig(
     expected_interval_ms=12 * HOUR, jitter_tolerance_ms=10 * HOUR,
     unmarked_gap_threshold_ms=36 * HOUR, minimum_pre_injection_dry_s=86_400,

@@ -32,7 +32,7 @@ STATS = MEMBERS + f""", stats AS (
          count(*) FILTER (cap_quality <> 'OK') AS bad,
          avg(delta) AS f_mean, arg_max(delta, timestamp) AS f_last,
          CASE WHEN count(*) > 1 THEN
-           regr_slope(delta, (timestamp - window_start) / 1000.0e0) END AS f_slope,
+           regr_slope(delta, (timestamp - window_start) / {SPEC.slope_unit_ms}.0e0) END AS f_slope,
          var_pop(delta) AS f_var, max(delta) - min(delta) AS f_range
   FROM members GROUP BY session_id, window_index),
 judged AS (

@@ -31,6 +31,7 @@ class WindowSpec:
     interval_low: int = 800
     interval_high: int = 1200
     decimals: int = 6
+    slope_unit_ms: int = 1000
 
     @property
     def pane(self) -> int:
@@ -137,7 +138,7 @@ def pane_statistics(samples: DataFrame, anchors: DataFrame, spec: WindowSpec,
         .withColumn("pane", _ceil_div(rel, spec.pane))
     )
     order = Window.partitionBy(session, "pane").orderBy(ts)
-    seconds = (F.col(ts) - F.col("t_ref")) / F.lit(1000.0)
+    seconds = (F.col(ts) - F.col("t_ref")) / F.lit(float(spec.slope_unit_ms))
     invalid = F.col("_invalid") if quality is not None else None
     return (
         placed.withColumn("_step", F.col(ts) - F.lag(ts).over(order))
