@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("records", "windows", "quality", "signals", "outcomes", "models")
+MODULES = ("records", "windows", "quality", "signals", "outcomes", "models", "live")
 
 
 def load_all():
