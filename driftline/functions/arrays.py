@@ -13,19 +13,32 @@ def median_of_sorted(values: Column) -> Column:
     return F.when(n > 0, (low + high) / F.lit(2.0))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    A lambda re-evaluates everything it captures for each element, and the
+    optimizer may inline a staged column into it.  Binding the value as the
+    only element of an array keeps nested array work linear.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def median(values: Column) -> Column:
-    return median_of_sorted(F.sort_array(values))
+    return let(F.sort_array(values), median_of_sorted)
 
 
 def median_absolute_deviation(values: Column, center: Column) -> Column:
-    return median(F.transform(values, lambda v: F.abs(v - center)))
+    return let(center, lambda c: median(F.transform(values, lambda v: F.abs(v - c))))
 
 
 def adjacent(values: Column, combine) -> Column:
     """``combine(previous, next)`` for every neighbouring pair, in order."""
-    length = F.greatest(F.size(values) - 1, F.lit(0))
-    return F.zip_with(F.slice(values, 1, length), F.slice(values, 2, length), combine)
+    def pairs(v):
+        length = F.greatest(F.size(v) - 1, F.lit(0))
+        return F.zip_with(F.slice(v, 1, length), F.slice(v, 2, length), combine)
+
+    return let(values, pairs)
 
 
 def has_duplicates(values: Column) -> Column:
-    return F.size(F.array_distinct(values)) != F.size(values)
+    return let(values, lambda v: F.size(F.array_distinct(v)) != F.size(v))

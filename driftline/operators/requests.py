@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from driftline import contract
-from driftline.functions.arrays import adjacent, has_duplicates, median
+from driftline.functions.arrays import adjacent, has_duplicates, let, median
 from driftline.functions.ordinal import (
     OrdinalModel, argmax_lowest, class_probabilities, linear_predictor)
 from driftline.functions.parsing import is_finite
@@ -103,18 +103,24 @@ def request_problem(spec: RequestSpec) -> Column:
 
 def raw_window_reason(rows: Column, seconds: int, spec: RequestSpec) -> Column:
     """First failing raw check of a sample array, in the fixed order; null when clean."""
+    def judge(v):
+        steps, jumps = v["steps"], v["jumps"]
+        return (
+            F.when(F.size(v["times"]) != seconds * spec.rate, "INCOMPLETE_DATA")
+            .when(has_duplicates(v["times"]) | has_duplicates(v["numbers"]), "DUPLICATE_SAMPLE")
+            .when(F.exists(steps, lambda d: d <= 0), "OUT_OF_ORDER")
+            .when(F.exists(jumps, lambda d: d != 1), "DATA_GAP")
+            .when(F.exists(steps, lambda d: ~d.between(spec.sample_low_ms, spec.sample_high_ms)),
+                  "TIMING_OUT_OF_TOLERANCE")
+            .when(F.exists(v["statuses"], lambda s: ~s.isin(*spec.statuses)), "SENSOR_PROBLEM"))
+
     times = F.transform(rows, lambda r: r["elapsed_ms"])
     numbers = F.transform(rows, lambda r: r["sample_no"])
-    steps = adjacent(times, lambda a, b: b - a)
-    jumps = adjacent(numbers, lambda a, b: b - a)
-    return (
-        F.when(F.size(rows) != seconds * spec.rate, "INCOMPLETE_DATA")
-        .when(has_duplicates(times) | has_duplicates(numbers), "DUPLICATE_SAMPLE")
-        .when(F.exists(steps, lambda d: d <= 0), "OUT_OF_ORDER")
-        .when(F.exists(jumps, lambda d: d != 1), "DATA_GAP")
-        .when(F.exists(steps, lambda d: ~d.between(spec.sample_low_ms, spec.sample_high_ms)),
-              "TIMING_OUT_OF_TOLERANCE")
-        .when(F.exists(rows, lambda r: ~r["kap_7_status"].isin(*spec.statuses)), "SENSOR_PROBLEM"))
+    return let(F.struct(
+        times.alias("times"), numbers.alias("numbers"),
+        adjacent(times, lambda a, b: b - a).alias("steps"),
+        adjacent(numbers, lambda a, b: b - a).alias("jumps"),
+        F.transform(rows, lambda r: r["kap_7_status"]).alias("statuses")), judge)
 
 
 def time_bins(rows: Column, start: Column, seconds: int, spec: RequestSpec) -> Column:
@@ -123,16 +129,19 @@ def time_bins(rows: Column, start: Column, seconds: int, spec: RequestSpec) -> C
     Raw checks guarantee ascending times and ``seconds * rate`` rows, so each
     bin is complete exactly when every ``rate``-long slice lies in its second.
     """
-    def reduce_bin(i):
-        part = F.slice(rows, i * spec.rate + 1, F.lit(spec.rate))
-        inside = F.forall(part, lambda r: F.floor((r["elapsed_ms"] - start) / 1000) == i)
+    def reduce_bin(i, part):
         return F.struct(
-            i.alias("bin"), inside.alias("complete"),
-            F.array_max(F.transform(part, lambda r: r["elapsed_ms"])).alias("ts"),
+            i.alias("bin"),
+            F.forall(part, lambda r: F.floor((r["elapsed_ms"] - start) / 1000) == i)
+            .alias("complete"),
+            F.element_at(part, -1)["elapsed_ms"].alias("ts"),
             median(F.transform(part, lambda r: r["kap_7_raw"])).alias("value"),
             F.forall(part, lambda r: r["kap_7_status"] == "OK").alias("ok"))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(seconds - 1)), reduce_bin)
+    return let(rows, lambda all_rows: F.transform(
+        F.sequence(F.lit(0), F.lit(seconds - 1)),
+        lambda i: let(F.slice(all_rows, i * spec.rate + 1, F.lit(spec.rate)),
+                      lambda part: reduce_bin(i, part))))
 
 
 def _bin_reason(bins: Column, spec: RequestSpec) -> Column:
@@ -147,75 +156,140 @@ def _out_of_range(rows: Column, start: Column, length_ms: int) -> Column:
     return F.exists(rows, lambda r: ~(r["elapsed_ms"] - start).between(0, length_ms - 1))
 
 
-def reduce_requests(requests: DataFrame, spec: RequestSpec) -> DataFrame:
-    """Stages raw checks and one-second bins for the baseline and the window."""
+def reduction(spec: RequestSpec) -> Column:
+    """Struct of all checks and one-second bins of a parsed request.
+
+    The steps are nested bindings inside one expression, so a filter on any
+    derived column re-evaluates it at most once more when it is pushed down.
+    """
     start = F.col("source_window_end_ms") - spec.window_ms
     zero = F.lit(0).cast("bigint")
     base, window = F.col("baseline_samples"), F.col("window_samples")
-    staged = requests.withColumns({
-        "request_problem": request_problem(spec),
-        "_base_raw": raw_window_reason(base, spec.baseline_seconds, spec),
-        "_window_raw": raw_window_reason(window, spec.window_seconds, spec),
-        "_base_outside": _out_of_range(base, zero, spec.baseline_ms),
-        "_window_outside": _out_of_range(window, start, spec.window_ms),
-    }).withColumns({
-        "_base_bins": F.when(F.col("_base_raw").isNull(),
-                             time_bins(base, zero, spec.baseline_seconds, spec)),
-        "_window_bins": F.when(F.col("_window_raw").isNull(),
-                               time_bins(window, start, spec.window_seconds, spec)),
-    })
-    return staged.withColumns({
-        "baseline_reason": F.coalesce("_base_raw", _bin_reason(F.col("_base_bins"), spec)),
-        "window_reason": F.coalesce("_window_raw", _bin_reason(F.col("_window_bins"), spec)),
-        "overlap_conflicts": F.size(F.array_except(
-            F.filter(window, lambda r: r["elapsed_ms"] < spec.baseline_ms), base)).cast("bigint"),
-    })
-
-
-def availability(spec: RequestSpec) -> tuple[Column, Column]:
-    """(malformed problem, availability reason) of a reduced request, in the fixed order."""
-    end, malformed = F.col("source_window_end_ms"), F.col("request_problem")
-    confirmed = F.col("operator_confirmed")
+    raw = F.struct(
+        request_problem(spec).alias("request_problem"),
+        raw_window_reason(base, spec.baseline_seconds, spec).alias("base_raw"),
+        raw_window_reason(window, spec.window_seconds, spec).alias("window_raw"),
+        _out_of_range(base, zero, spec.baseline_ms).alias("base_outside"),
+        _out_of_range(window, start, spec.window_ms).alias("window_outside"))
+
+    def with_bins(r):
+        bins = F.struct(
+            F.when(r["base_raw"].isNull(), time_bins(base, zero, spec.baseline_seconds, spec))
+            .alias("base"),
+            F.when(r["window_raw"].isNull(), time_bins(window, start, spec.window_seconds, spec))
+            .alias("window"))
+        return let(bins, lambda b: F.struct(
+            *[r[name].alias(name) for name in (
+                "request_problem", "base_raw", "window_raw", "base_outside", "window_outside")],
+            b["base"].alias("base_bins"), b["window"].alias("window_bins"),
+            F.coalesce(r["base_raw"], _bin_reason(b["base"], spec)).alias("baseline_reason"),
+            F.coalesce(r["window_raw"], _bin_reason(b["window"], spec)).alias("window_reason"),
+            F.size(F.array_except(
+                F.filter(window, lambda x: x["elapsed_ms"] < spec.baseline_ms), base))
+            .cast("bigint").alias("overlap_conflicts")))
+
+    return let(raw, with_bins)
+
+
+def reduce_requests(requests: DataFrame, spec: RequestSpec) -> DataFrame:
+    """Adds the reduction as column ``reduced``."""
+    return requests.withColumn("reduced", reduction(spec))
+
+
+def availability(r: Column, spec: RequestSpec) -> Column:
+    """Struct (problem, reason) of a reduction; the first matching reason wins.
+
+    A malformed request has a problem and no reason.
+    """
+    end, confirmed = F.col("source_window_end_ms"), F.col("operator_confirmed")
     base_used = confirmed & (end >= spec.baseline_ms)
-    base_ok = base_used & F.col("baseline_reason").isNull()
-    window_used = base_ok & (end >= spec.window_ms)
-    late_problem = (
-        F.when(base_used & F.col("_base_raw").isNull() & F.col("_base_outside"), "SAMPLE_OUT_OF_RANGE")
-        .when(window_used & F.col("_window_raw").isNull() & F.col("_window_outside"),
-              "SAMPLE_OUT_OF_RANGE")
-        .when(window_used & F.col("window_reason").isNull() & (F.col("overlap_conflicts") > 0),
+    window_used = base_used & r["baseline_reason"].isNull() & (end >= spec.window_ms)
+    problem = (
+        F.when(r["request_problem"].isNotNull(), r["request_problem"])
+        .when(base_used & r["base_raw"].isNull() & r["base_outside"], "SAMPLE_OUT_OF_RANGE")
+        .when(window_used & r["window_raw"].isNull() & r["window_outside"], "SAMPLE_OUT_OF_RANGE")
+        .when(window_used & r["window_reason"].isNull() & (r["overlap_conflicts"] > 0),
               "OVERLAP_CONFLICT"))
-    problem = F.coalesce(malformed, late_problem)
     reason = (
         F.when(~confirmed, "OPERATOR_CONFIRMATION_REQUIRED")
         .when(end < spec.baseline_ms, "COLLECTING_BASELINE")
-        .when(F.col("baseline_reason").isNotNull(),
-              F.concat(F.lit("BASELINE_"), F.col("baseline_reason")))
+        .when(r["baseline_reason"].isNotNull(),
+              F.concat(F.lit("BASELINE_"), r["baseline_reason"]))
         .when(end < spec.window_ms, "COLLECTING_WINDOW")
-        .when(F.col("window_reason").isNotNull(), F.col("window_reason"))
+        .when(r["window_reason"].isNotNull(), r["window_reason"])
         .otherwise("READY"))
-    return problem, F.when(problem.isNull(), reason)
-
+    return let(problem, lambda p: F.struct(
+        p.alias("problem"), F.when(p.isNull(), reason).alias("reason")))
 
-def array_features(bins: Column, baseline: Column, decimals: int = 6) -> dict[str, Column]:
-    """The five window features of an array of (ts, value) bins."""
-    n = F.size(bins).cast("double")
-    values = F.transform(bins, lambda b: b["value"] - baseline)
-    seconds = F.transform(bins, lambda b: (b["ts"] - F.element_at(bins, 1)["ts"]) / F.lit(1000.0))
 
+def array_features(bins: Column, baseline: Column, decimals: int = 6) -> Column:
+    """The five window features of an array of (ts, value) bins, as one struct."""
     def total(array, term):
         return F.aggregate(array, F.lit(0.0), lambda acc, x: acc + term(x))
 
-    mean_v = total(values, lambda x: x) / n
-    mean_t = total(seconds, lambda x: x) / n
-    s_vv = total(values, lambda x: (x - mean_v) * (x - mean_v))
-    s_tt = total(seconds, lambda x: (x - mean_t) * (x - mean_t))
-    s_tv = total(F.zip_with(seconds, values, lambda a, b: (a - mean_t) * (b - mean_v)),
-                 lambda x: x)
-    raw = (mean_v, F.element_at(values, -1), s_tv / s_tt, s_vv / n,
-           F.array_max(values) - F.array_min(values))
-    return {name: stable_round(expr, decimals)
-            for name, expr in zip(contract.FEATURE_COLUMNS, raw)}
+    def centers(points):
+        n = F.size(points).cast("double")
+        return F.struct(points.alias("points"), n.alias("n"),
+                        (total(points, lambda p: p["v"]) / n).alias("mv"),
+                        (total(points, lambda p: p["t"]) / n).alias("mt"))
+
+    def features(m):
+        points, mv, mt = m["points"], m["mv"], m["mt"]
+        s_vv = total(points, lambda p: (p["v"] - mv) * (p["v"] - mv))
+        s_tt = total(points, lambda p: (p["t"] - mt) * (p["t"] - mt))
+        s_tv = total(points, lambda p: (p["t"] - mt) * (p["v"] - mv))
+        values = F.transform(points, lambda p: p["v"])
+        raw = (mv, F.element_at(points, -1)["v"], F.try_divide(s_tv, s_tt), s_vv / m["n"],
+               F.array_max(values) - F.array_min(values))
+        return F.struct(*[stable_round(expr, decimals).alias(name)
+                          for name, expr in zip(contract.FEATURE_COLUMNS, raw)])
+
+    def points_of(c):
+        return F.transform(c["bins"], lambda b: F.struct(
+            ((b["ts"] - c["t0"]) / F.lit(1000.0)).alias("t"), (b["value"] - c["base"]).alias("v")))
+
+    context = let(bins, lambda bs: F.struct(
+        bs.alias("bins"), F.element_at(bs, 1)["ts"].alias("t0"), baseline.alias("base")))
+    return let(context, lambda c: let(points_of(c), lambda p: let(centers(p), features)))
+
+
+def evaluation(model: OrdinalModel, spec: RequestSpec) -> Column:
+    """Struct: problem, reason, quality, baseline, the five features and the class index."""
+    no_features = F.lit(None).cast(
+        "struct<" + ",".join(f"{name}:double" for name in contract.FEATURE_COLUMNS) + ">")
+
+    def finite(f):
+        checks = [is_finite(f[name]) for name in contract.FEATURE_COLUMNS]
+        return F.forall(F.array(*checks), lambda ok: ok)
+
+    def answer(r, a, baseline, f):
+        ready = F.coalesce(a["reason"] == "READY", F.lit(False))
+        broken = ready & ~F.coalesce(finite(f), F.lit(False))
+        automatic = F.forall(r["base_bins"], lambda b: b["ok"]) \
+            & F.forall(r["window_bins"], lambda b: b["ok"])
+        eta = linear_predictor(model, lambda name: f[name])
+        index = let(eta, lambda e: argmax_lowest(F.array(*class_probabilities(e, model.theta))))
+        return F.struct(
+            a["problem"].alias("problem"),
+            F.when(broken, "NUMERICAL_ERROR").otherwise(a["reason"]).alias("reason"),
+            F.when(ready, F.when(automatic, "AUTOMATIC").otherwise("OPERATOR_ONLY"))
+            .when(a["reason"].isNotNull(), "UNKNOWN").alias("quality"),
+            F.when(ready & ~broken, baseline).alias("baseline"),
+            *[F.when(~broken, f[name]).alias(name) for name in contract.FEATURE_COLUMNS],
+            F.when(ready & ~broken, index).alias("class_index"))
+
+    def judge(r):
+        def with_availability(a):
+            ready = a["reason"] == "READY"
+            baseline = F.when(ready, median(F.transform(r["base_bins"], lambda b: b["value"])))
+            return let(baseline, lambda base: let(
+                F.when(ready, array_features(r["window_bins"], base, spec.decimals))
+                .otherwise(no_features),
+                lambda f: answer(r, a, base, f)))
+
+        return let(availability(r, spec), with_availability)
+
+    return let(reduction(spec), judge)
 
 
 def evaluate_window_requests(requests: DataFrame, model: OrdinalModel, model_sha256: str,
@@ -226,44 +300,25 @@ def evaluate_window_requests(requests: DataFrame, model: OrdinalModel, model_sha
     A malformed request keeps its row with ``problem`` set and everything else
     null; the class is null whenever no usable prediction exists.
     """
-    reduced = reduce_requests(requests, spec)
-    problem, reason = availability(spec)
-    judged = reduced.withColumns({"problem": problem, "availability_reason": reason})
-    usable = F.col("availability_reason") == "READY"
-    judged = judged.withColumn("baseline_value", F.when(
-        usable, median(F.transform("_base_bins", lambda b: b["value"]))))
-    bins = F.when(usable, F.col("_window_bins"))
-    judged = judged.withColumns(
-        array_features(bins, F.col("baseline_value"), spec.decimals))
-    finite = F.lit(True)
-    for name in contract.FEATURE_COLUMNS:
-        finite = finite & is_finite(F.col(name))
-    broken = usable & ~finite
-    automatic = F.forall("_base_bins", lambda b: b["ok"]) & F.forall("_window_bins", lambda b: b["ok"])
-    judged = judged.withColumns({
-        "quality_verification": F.when(usable, F.when(automatic, "AUTOMATIC").otherwise("OPERATOR_ONLY"))
-        .when(F.col("availability_reason").isNotNull(), "UNKNOWN"),
-        "availability_reason": F.when(broken, "NUMERICAL_ERROR").otherwise(F.col("availability_reason")),
-    })
-    ready = F.coalesce(F.col("availability_reason") == "READY", F.lit(False))
+    e = F.col("_e")
+    ready, answered = F.coalesce(e["reason"] == "READY", F.lit(False)), e["problem"].isNull()
     names = F.array(*[F.lit(c) for c in model.classes])
-    judged = judged.withColumn("_index", F.when(ready, argmax_lowest(F.array(
-        *class_probabilities(linear_predictor(model), model.theta)))))
     on, off = OUTPUT_STATES[mode], OUTPUT_STATES["UNAVAILABLE"]
-    answered = F.col("problem").isNull()
 
     def state(field):
         return F.when(ready, F.lit(on[field])).when(answered, F.lit(off[field])).alias(field)
 
-    return judged.select(
+    return requests.withColumn("_e", evaluation(model, spec)).select(
         *[c for c in requests.columns if c not in ("baseline_samples", "window_samples",
                                                    "source_window_end_ms")],
         F.col("source_window_end_ms").alias("requested_end_ms"),
-        "problem", "availability_reason", "quality_verification", "baseline_value",
-        *contract.FEATURE_COLUMNS, state("mode"), state("data_source"), state("model_status"),
+        e["problem"].alias("problem"), e["reason"].alias("availability_reason"),
+        e["quality"].alias("quality_verification"), e["baseline"].alias("baseline_value"),
+        *[e[name].alias(name) for name in contract.FEATURE_COLUMNS],
+        state("mode"), state("data_source"), state("model_status"),
         F.when(answered, ready).alias("prediction_available"),
-        F.get(names, F.col("_index")).alias("risk_class"),
-        F.col("_index").alias("risk_class_index"),
+        F.get(names, e["class_index"]).alias("risk_class"),
+        e["class_index"].alias("risk_class_index"),
         F.when(ready, F.col("source_window_end_ms")).alias("source_window_end_ms"),
         state("model_input_channel"), state("model_artifact_version"),
         F.when(ready, F.lit(model_sha256)).alias("model_artifact_sha256"),
