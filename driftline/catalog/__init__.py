@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("records", "windows", "quality", "signals", "outcomes", "models", "live")
+MODULES = ("records", "windows", "quality", "signals", "outcomes", "models", "live", "storage")
 
 
 def load_all():
