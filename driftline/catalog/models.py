@@ -163,11 +163,8 @@ WHERE dataset_partition = 'final_test' HAVING count(*) > 0
 UNION ALL SELECT 'MISSING_CLASS', v.c FROM (VALUES ('Safe'), ('Monitor'), ('Caution'), ('Urgent')) v(c)
 WHERE v.c NOT IN (SELECT risk_label FROM matrix WHERE dataset_partition = 'development')"""))
 def fit_partition_guard(spark, sf_dir):
-    features = cw.feature_table(spark, sf_dir)
-    candidates = co.labels(spark, sf_dir, features)
-    from driftline.operators.matrix import model_matrix
-
-    return mo.fit_partition_guard(model_matrix(features, candidates), candidates)
+    run = co.experiment_of(spark, sf_dir)
+    return mo.fit_partition_guard(run.matrix, run.labels)
 
 
 @query("fitted_population", with_tables(MATRIX, body="""

@@ -8,6 +8,7 @@ from driftline.catalog.signals import RATE
 from driftline.operators import labels as lab, matrix as mx, resample as rs, windows as w
 from driftline.operators.integrity import duplicate_keys
 from driftline.operators.qc import first_both_ok
+from driftline.plans.pipelines import experiment
 
 BOUNDARY = lab.Boundary(b1_ms=t.DAY, b2_ms=3 * t.DAY, b3_ms=7 * t.DAY, version="boundary-days",
                         block_ms=t.DAY)
@@ -163,21 +164,17 @@ def outcomes(spark, sf_dir):
         .join(anchor, "session_id", "left"))
 
 
-def judged(spark, sf_dir):
-    return lab.protocol_deviation(lab.horizon_completion(outcomes(spark, sf_dir)))
+def experiment_of(spark, sf_dir):
+    rows = t.samples(spark, sf_dir)
+    return experiment(rows, t.sessions_of(rows), outcomes(spark, sf_dir), cw.SPEC, BOUNDARY)
 
 
-def labels(spark, sf_dir, features=None):
-    features = cw.feature_table(spark, sf_dir) if features is None else features
-    sessions = judged(spark, sf_dir)
-    usable = sessions.join(lab.malformed_events(sessions).select("session_id").distinct(),
-                           "session_id", "left_anti")
-    return lab.label_windows(features, usable, BOUNDARY)
+def labels(spark, sf_dir):
+    return experiment_of(spark, sf_dir).labels
 
 
 def matrix(spark, sf_dir):
-    features = cw.feature_table(spark, sf_dir)
-    return mx.model_matrix(features, labels(spark, sf_dir, features))
+    return experiment_of(spark, sf_dir).matrix
 
 
 @query("event_summary", with_tables(SUMMARY, body="SELECT * FROM event_summary"))
@@ -315,14 +312,14 @@ def validity_crosscheck(spark, sf_dir):
     altered = features.withColumn(
         "feature_valid", F.when(index == 4, F.lit(False)).when(index == 7, F.lit(True))
         .otherwise(F.col("feature_valid")))
-    return mx.validity_crosscheck(altered, labels(spark, sf_dir, features))
+    return mx.validity_crosscheck(altered, labels(spark, sf_dir))
 
 
 @query("feature_label_join", with_tables(MATRIX, body="""
 SELECT window_id, session_id, dataset_partition, risk_label_index FROM matrix"""))
 def feature_label_join(spark, sf_dir):
     features = cw.feature_table(spark, sf_dir)
-    return mx.feature_label_join(features, labels(spark, sf_dir, features)).select(
+    return mx.feature_label_join(features, labels(spark, sf_dir)).select(
         "window_id", "session_id", "dataset_partition", "risk_label_index")
 
 
@@ -381,4 +378,4 @@ def count_reconciliation(spark, sf_dir):
         F.count_if(valid).alias("eligible_row_count"),
         F.count_if(~valid).alias("excluded_row_count"))
     declared = wide.unpivot([], wide.columns, "metric", "value")
-    return mx.count_reconciliation(declared, mx.matrix_counts(labels(spark, sf_dir, features)))
+    return mx.count_reconciliation(declared, mx.matrix_counts(labels(spark, sf_dir)))

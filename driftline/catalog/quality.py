@@ -6,6 +6,7 @@ from driftline.catalog import tables as t
 from driftline.catalog.registry import query, rounded, with_tables
 from driftline.functions import rules
 from driftline.operators import qc
+from driftline.plans.pipelines import quality_gate
 
 C = t.EVENT_QC
 LOW, HIGH, GAP = C.low, C.high, C.unmarked_gap_threshold_ms
@@ -332,22 +333,16 @@ status AS (
   FROM qc_sessions s LEFT JOIN summary USING (session_id))"""
 
 
-def _inputs(spark, sf_dir, with_plan=True):
+def _inputs(spark, sf_dir):
     rows = _samples(spark, sf_dir)
     sessions = t.sessions_of(rows).withColumn("session_order", F.col("user_id"))
     events = t.point_events(spark, sf_dir)
-    plan = t.plan(spark, sf_dir) if with_plan else None
-    return rows, sessions, events, plan
+    return rows, sessions, events, t.plan(spark, sf_dir)
 
 
-def _facts(spark, sf_dir, with_plan=True):
-    rows, sessions, events, plan = _inputs(spark, sf_dir, with_plan)
-    return qc.qc_facts(sessions, rows, events, C, plan), rows, sessions, events
-
-
-def _issues(spark, sf_dir, with_plan=True):
-    facts, rows, sessions, events = _facts(spark, sf_dir, with_plan)
-    return qc.qc_issues(facts, rows, events, sessions, C, with_plan), facts, sessions
+def _gate(spark, sf_dir):
+    rows, sessions, events, plan = _inputs(spark, sf_dir)
+    return quality_gate(sessions, rows, events, C, plan)
 
 
 @query("dry_phase", with_tables(FACTS, body=f"""
@@ -389,13 +384,13 @@ def arm_rules(spark, sf_dir):
 @query("issue_union", with_tables(FACTS, body="""
 SELECT session_id, severity, code, timestamp, domain FROM all_issues"""))
 def issue_union(spark, sf_dir):
-    return _issues(spark, sf_dir)[0].select("session_id", "severity", "code", "timestamp", "domain")
+    return _gate(spark, sf_dir).issues.select(
+        "session_id", "severity", "code", "timestamp", "domain")
 
 
 @query("session_status", with_tables(FACTS, body="SELECT * FROM status"))
 def session_status(spark, sf_dir):
-    issues, _, sessions = _issues(spark, sf_dir)
-    return qc.session_status(sessions, issues, True)
+    return _gate(spark, sf_dir).status
 
 
 @query("issue_counts", with_tables(FACTS, body="""
@@ -403,7 +398,7 @@ SELECT 'severity' AS kind, v.item, count(i.code) AS n
 FROM (VALUES ('ERROR'), ('WARNING')) v(item) LEFT JOIN all_issues i ON i.severity = v.item GROUP BY 2
 UNION ALL SELECT 'code', code, count(*) FROM all_issues GROUP BY code"""))
 def issue_counts(spark, sf_dir):
-    return qc.issue_counts(_issues(spark, sf_dir)[0])
+    return qc.issue_counts(_gate(spark, sf_dir).issues)
 
 
 @query("status_counts", with_tables(FACTS, body="""
@@ -413,8 +408,7 @@ LEFT JOIN (SELECT session_id,
                   CASE WHEN overall_status = 'FAIL' THEN 'FAIL' ELSE 'PASS' END AS overall_status
            FROM status) s USING (overall_status) GROUP BY 1"""))
 def status_counts(spark, sf_dir):
-    issues, _, sessions = _issues(spark, sf_dir)
-    return qc.status_counts(qc.session_status(sessions, issues, True))
+    return qc.status_counts(_gate(spark, sf_dir).status)
 
 
 @query("qc_session_report", with_tables(FACTS, body=f"""
@@ -429,8 +423,7 @@ SELECT f.session_id, contract_status, protocol_status, overall_status, sample_co
        baseline_std_abs_diff, error_count, warning_count, issue_codes
 FROM facts f JOIN status USING (session_id)"""))
 def qc_session_report(spark, sf_dir):
-    issues, facts, sessions = _issues(spark, sf_dir)
-    return qc.qc_session_report(facts, qc.session_status(sessions, issues, True))
+    return _gate(spark, sf_dir).report
 
 
 @query("empty_sessions", with_tables(FACTS, body="""

@@ -8,6 +8,7 @@ from driftline.catalog import tables as t
 from driftline.catalog.registry import query, rounded, with_tables
 from driftline.operators import resample as r, stats as k, windows as w
 from driftline.operators.ordered import average_ranks, exact_quantiles
+from driftline.plans.pipelines import pilot, pilot_correlations
 
 NAMES = list(t.CHANNELS)
 RATE, BASELINE_S = 10, 20
@@ -41,13 +42,16 @@ def bins(spark, sf_dir):
     return r.count_bins_median(t.logger(spark, sf_dir), t.CHANNELS, RATE)
 
 
+def pilot_of(spark, sf_dir):
+    return pilot(t.logger(spark, sf_dir), t.CHANNELS, GRID_CHANNELS, RATE, BASELINE_S, GRID)
+
+
 def baseline(spark, sf_dir):
     return r.robust_baseline(bins(spark, sf_dir), NAMES, BASELINE_S)
 
 
 def normal(spark, sf_dir):
-    one_hz = bins(spark, sf_dir)
-    return r.normalised_delta(one_hz, r.robust_baseline(one_hz, NAMES, BASELINE_S), NAMES)
+    return pilot_of(spark, sf_dir).normalised
 
 
 def _round_all(names, decimals=6):
@@ -138,8 +142,7 @@ LEFT JOIN baseline USING (session_id)"""))
 def pilot_session_qc(spark, sf_dir):
     from driftline.functions.rounding import stable_round
 
-    report = r.pilot_session_qc(t.logger(spark, sf_dir), t.CHANNELS, baseline(spark, sf_dir),
-                                RATE, 30, 5)
+    report = pilot_of(spark, sf_dir).report
     numbers = [f"{c}_{p}" for c in NAMES for p in ("baseline", "mad", "scale")]
     return report.withColumns({c: stable_round(F.col(c)) for c in numbers})
 
@@ -164,8 +167,7 @@ grid AS (
 
 
 def grid(spark, sf_dir):
-    return w.multichannel_windows(
-        normal(spark, sf_dir), {c: f"{c}_delta_norm" for c in GRID_CHANNELS}, GRID)
+    return pilot_of(spark, sf_dir).windows
 
 
 query("multichannel_window_features", with_tables(GRIDDED, body="SELECT * FROM grid"))(grid)
@@ -257,7 +259,7 @@ def correlation_matrix(spark, sf_dir):
 
 @query("correlation_iqr", with_tables(SUMMARY, body="SELECT * FROM matrix"))
 def correlation_iqr(spark, sf_dir):
-    return k.correlation_summary(_spearman(spark, sf_dir), NAMES)
+    return pilot_correlations(bins(spark, sf_dir), NAMES)
 
 
 @query("correlation_matrix_checks", with_tables(SUMMARY, body="""

@@ -73,21 +73,40 @@ def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     )
 
 
-def cumulative_counts(counts: DataFrame, keys: list[str], blocks: int = 64) -> DataFrame:
+FANOUT = 8
+
+
+def _splits_below(splits: Column, value: Column):
+    """Number of sorted split points below a value: two rounds of ``FANOUT`` comparisons.
+
+    Returns the coarse count and a function that refines it.
+
+    Plain comparisons stay inside generated code; a filter lambda over the
+    split array would be interpreted for every element of every row.
+    """
+    def count(indices):
+        return sum((F.when(F.get(splits, i) < value, 1).otherwise(0) for i in indices), F.lit(0))
+
+    coarse = count([F.lit(FANOUT * (i + 1) - 1) for i in range(FANOUT - 1)])
+    return coarse * FANOUT, lambda base: base + count(
+        [base + F.lit(j) for j in range(FANOUT - 1)])
+
+
+def cumulative_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
     """Number of rows below each distinct value of its key (``_below``), and the total.
 
     Split points from a mergeable quantile sketch cut each key's value range
-    into at most ``blocks`` pieces with about equally many distinct values.
-    The sketch only balances the work; the counts are exact.
+    into at most 64 pieces with about equally many distinct values.  The
+    sketch only balances the work; the counts are exact.
     """
+    blocks = FANOUT * FANOUT
     probabilities = [(i + 1) / blocks for i in range(blocks - 1)]
     splits = counts.groupBy(*keys).agg(
-        F.percentile_approx("_value", probabilities, 20 * blocks).alias("_splits"),
+        F.percentile_approx("_value", probabilities, 10 * blocks).alias("_splits"),
         F.sum("_freq").alias("_total"))
-    placed = counts.join(splits, keys).withColumn(
-        BLOCK_COLUMN,
-        F.size(F.filter(F.col("_splits"), lambda split: split < F.col("_value"))),
-    ).drop("_splits")
+    base, refine = _splits_below(F.col("_splits"), F.col("_value"))
+    placed = counts.join(splits, keys).withColumn("_base", base).withColumn(
+        BLOCK_COLUMN, refine(F.col("_base"))).drop("_splits", "_base")
     sums = placed.groupBy(*keys, BLOCK_COLUMN).agg(F.sum("_freq").alias("_rows"))
     before = _window(keys, BLOCK_COLUMN).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
@@ -102,15 +121,14 @@ def cumulative_counts(counts: DataFrame, keys: list[str], blocks: int = 64) -> D
     )
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, outputs: dict[str, float],
-                    blocks: int = 64) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, outputs: dict[str, float]) -> DataFrame:
     """Linear-interpolated quantiles per key, exact for groups of any size.
 
     ``outputs`` maps an output name to its probability.  ``percentile`` keeps a
     group's distinct values in one task; here they are spread over blocks, and
     only the order statistics next to each target position are kept.
     """
-    ranked = cumulative_counts(value_counts(df, keys, value), keys, blocks)
+    ranked = cumulative_counts(value_counts(df, keys, value), keys)
     aggregates = []
     for name, probability in outputs.items():
         position = (F.col("_total") - 1) * F.lit(probability)
@@ -127,10 +145,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, outputs: dict[st
     return stats.select(*keys, *columns)
 
 
-def average_ranks(df: DataFrame, keys: list[str], value: str, name: str = "average_rank",
-                  blocks: int = 64) -> DataFrame:
+def average_ranks(df: DataFrame, keys: list[str], value: str, name: str = "average_rank") -> DataFrame:
     """One row per (key, distinct value): 1-based rank, ties sharing their mean rank."""
-    ranked = cumulative_counts(value_counts(df, keys, value), keys, blocks)
+    ranked = cumulative_counts(value_counts(df, keys, value), keys)
     return ranked.select(
         *keys, F.col("_value").alias(value), F.col("_freq").alias("tie_count"),
         (F.col("_below") + (F.col("_freq") + 1) / F.lit(2.0)).alias(name))
