@@ -1,14 +1,17 @@
 """Keys, references, agreement between tables, and group leakage.
 
-All operators are equi-joins or mergeable aggregates.  No side is broadcast by
-hint: the optimizer broadcasts a side only below its size threshold and splits
-skewed partitions of the sort-merge join beyond it.
+All operators are equi-joins or mergeable aggregates.  The optimizer broadcasts
+a side only below its size threshold and splits skewed partitions of the
+sort-merge join beyond it; where rows are grouped by the join key right after
+the join, ``per_key_join`` keeps a hot key spread out.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from driftline.operators.ordered import per_key_join
+
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("occurrences")).filter(
@@ -35,10 +38,12 @@ def key_set_difference(left: DataFrame, right: DataFrame, key: str = "session_id
         key, F.when(F.col("_l") == 1, "left_only").otherwise("right_only").alias("side"))
 
 
-def rows_outside_session(rows: DataFrame, sessions: DataFrame, order: str = "seq") -> DataFrame:
+def rows_outside_session(rows: DataFrame, sessions: DataFrame, order: str = "seq",
+                         block_rows: int = 1_000_000) -> DataFrame:
     """Per session: rows outside ``[start, end]`` and the first of them in arrival order."""
     bounds = sessions.select("session_id", "start_timestamp", "end_timestamp")
-    outside = rows.select("session_id", "timestamp", order).join(bounds, "session_id").filter(
+    outside = per_key_join(rows.select("session_id", "timestamp", order), bounds, ["session_id"],
+                           F.col(order), block_rows).filter(
         ~F.col("timestamp").between(F.col("start_timestamp"), F.col("end_timestamp")))
     return outside.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("outside_count"),

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from driftline.session import materialise
+
 BLOCK_COLUMN = "_block"
 
 
@@ -47,6 +49,27 @@ def lag_in_order(df: DataFrame, keys: list[str], order: list[str], columns: dict
     )
 
 
+BROADCAST_ROWS = 500_000
+
+
+def per_key_join(rows: DataFrame, per_key: DataFrame, keys: list[str], order: Column,
+                 block_width: int | float) -> DataFrame:
+    """Add per-key values (one narrow row per key) to rows, whatever the key's size.
+
+    ``per_key`` is checkpointed and counted.  Up to ``BROADCAST_ROWS`` rows it
+    is broadcast and the rows are not shuffled at all.  Beyond that the values
+    are first copied to each (key, block) that occurs, and rows meet them
+    there: a plain join on the key would gather a hot key in one task, and a
+    later grouping on (key, ...) would accept that partitioning and keep it.
+    """
+    per_key = materialise(per_key)
+    if per_key.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(per_key), keys)
+    placed = rows.withColumn(BLOCK_COLUMN, block_of(order, block_width))
+    blocks = placed.select(*keys, BLOCK_COLUMN).distinct().join(per_key, keys)
+    return placed.join(blocks, [*keys, BLOCK_COLUMN]).drop(BLOCK_COLUMN)
+
+
 def row_sequence(df: DataFrame, keys: list[str], order: list[str], block_width: int | float,
                  name: str = "row_index") -> DataFrame:
     """Zero-based position of every row of a key, in ``order``."""

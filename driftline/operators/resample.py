@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from driftline.functions.arrays import median_absolute_deviation, median_of_sorted
-from driftline.operators.ordered import row_sequence
+from driftline.operators.ordered import lag_in_order, per_key_join, row_sequence
 
 MAD_FACTOR = 1.4826
 
@@ -20,7 +20,8 @@ def cadence_check(rows: DataFrame, interval_ms: int, arrival: str = "arrival",
     numbered = row_sequence(rows, [session], [arrival], block_rows, "expected_no")
     first = rows.groupBy(session).agg(F.min_by("elapsed_ms", arrival).alias("_first"))
     expected = F.col("_first") + F.col("sample_no") * interval_ms
-    checked = numbered.join(first, session).withColumns({
+    checked = per_key_join(
+        numbered, first, [session], F.col(arrival), block_rows).withColumns({
         "expected_elapsed_ms": expected,
         "problem": F.when(F.col("sample_no") != F.col("expected_no"), "SAMPLE_NO")
         .when(~F.col("_first").isin(0, interval_ms) & (F.col("expected_no") == 0), "FIRST_ELAPSED")
@@ -89,7 +90,8 @@ def normalised_delta(bins: DataFrame, baseline: DataFrame, channels: list[str],
                      session: str = "session_id") -> DataFrame:
     """Adds ``(x - baseline) / scale`` per channel."""
     parameters = [f"{channel}_{part}" for channel in channels for part in ("baseline", "scale")]
-    joined = bins.join(baseline.select(session, *parameters), session)
+    joined = per_key_join(bins, baseline.select(session, *parameters), [session],
+                          F.col("second_index"), 3600)
     return joined.withColumns({
         f"{channel}_delta_norm":
             (F.col(channel) - F.col(f"{channel}_baseline")) / F.col(f"{channel}_scale")
@@ -99,8 +101,6 @@ def normalised_delta(bins: DataFrame, baseline: DataFrame, channels: list[str],
 def pilot_session_qc(rows: DataFrame, channels: dict[str, str], baseline: DataFrame, size: int,
                      window_s: int, stride_s: int, session: str = "session_id") -> DataFrame:
     """Counts, time range, interval range, status values and baseline per session."""
-    from driftline.operators.ordered import lag_in_order
-
     stepped = lag_in_order(rows, [session], ["sample_no"], {"elapsed_ms": "_before"}, 1_000_000)
     step = F.col("elapsed_ms") - F.col("_before")
     n = F.count(F.lit(1))

@@ -7,7 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from driftline.functions.rounding import stable_round
-from driftline.operators.ordered import average_ranks, exact_quantiles
+from driftline.operators.ordered import (
+    average_ranks, exact_quantiles, per_key_join, value_counts)
 from driftline.session import materialise
 
 
@@ -128,13 +129,15 @@ def boxplot_statistics(rows: DataFrame, channels: list[str], session: str = "ses
     long = melt(rows, [session], channels)
     quantiles = exact_quantiles(long, keys, "value", {"q25": 0.25, "median": 0.5, "q75": 0.75})
     iqr = F.col("q75") - F.col("q25")
-    fenced = long.join(quantiles, keys).withColumn(
-        "_inside", F.col("value").between(F.col("q25") - reach * iqr, F.col("q75") + reach * iqr))
-    inside = F.when(F.col("_inside"), F.col("value"))
+    # Distinct values with frequencies: equal readings have collapsed before the join.
+    spread = F.pmod(F.xxhash64("_value"), F.lit(64))
+    fenced = per_key_join(value_counts(long, keys, "value"), quantiles, keys, spread, 1).withColumn(
+        "_inside", F.col("_value").between(F.col("q25") - reach * iqr, F.col("q75") + reach * iqr))
+    inside = F.when(F.col("_inside"), F.col("_value"))
     return fenced.groupBy(*keys).agg(
         *[stable_round(F.max(c), decimals).alias(c) for c in ("q25", "median", "q75")],
         F.min(inside).alias("lower_whisker"), F.max(inside).alias("upper_whisker"),
-        F.count_if(~F.col("_inside")).alias("outlier_count"))
+        F.sum(F.when(F.col("_inside"), 0).otherwise(F.col("_freq"))).alias("outlier_count"))
 
 
 def status_counts_by_channel(rows: DataFrame, channels: dict[str, str],

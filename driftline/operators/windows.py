@@ -3,7 +3,8 @@
 Samples are reduced once to panes of ``gcd(W, S)``; windows are merged from
 panes.  Only panes, never samples, are replicated into the windows they
 belong to, so the second shuffle carries W/S small rows per pane and the
-sample table is shuffled exactly once.
+sample table is shuffled once (twice when there are too many sessions to
+broadcast their anchors).
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from driftline import contract
 from driftline.functions.rounding import stable_round
 from driftline.functions.rules import window_id
+from driftline.operators.ordered import per_key_join
+from driftline.session import materialise
 
 SPINE_CHUNK = 4096
 
@@ -62,11 +65,14 @@ def window_spine(sessions: DataFrame, anchors: DataFrame, spec: WindowSpec,
     The index range is exploded in chunks, so a very long session never
     becomes one huge array.
     """
+    return _spine_of(sessions.join(anchors, session), spec, end)
+
+
+def _spine_of(bounds: DataFrame, spec: WindowSpec, end: str = "end_timestamp") -> DataFrame:
     last = F.floor((F.col(end) - F.col("t_ref") - F.lit(spec.window)) / F.lit(spec.stride))
     chunk = F.lit(SPINE_CHUNK)
     return (
-        sessions.join(anchors, session)
-        .withColumn("_last", last)
+        bounds.withColumn("_last", last)
         .filter(F.col("_last") >= 0)
         .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"),
                                                    F.floor(F.col("_last") / chunk))))
@@ -90,7 +96,7 @@ def sliding_membership(samples: DataFrame, sessions: DataFrame, spec: WindowSpec
     first_k = F.greatest(F.lit(0).cast("bigint"), _ceil_div(rel - spec.window, spec.stride))
     last_k = F.least(last, _ceil_div(rel, spec.stride) - 1)
     return (
-        samples.join(bounds, session)
+        per_key_join(samples, bounds, [session], F.col(ts), spec.window)
         .withColumn("_first", first_k).withColumn("_last", last_k)
         .filter(F.col("_last") >= F.col("_first"))
         .withColumn("window_index", F.explode(F.sequence("_first", "_last")))
@@ -123,7 +129,7 @@ def _pane_stats(values: dict[str, str], spec: WindowSpec, seconds: Column, ts: s
 def pane_statistics(samples: DataFrame, anchors: DataFrame, spec: WindowSpec,
                     values: dict[str, str], quality: Column | None = None,
                     session: str = "session_id", ts: str = "timestamp") -> DataFrame:
-    """Mergeable statistics per (session, pane); the only shuffle of the samples.
+    """Mergeable statistics per (session, pane).
 
     ``anchors`` has ``t_ref`` per session.  A sample exactly at the anchor is in
     no window.  ``quality`` is true where a sample makes its windows invalid.
@@ -133,7 +139,8 @@ def pane_statistics(samples: DataFrame, anchors: DataFrame, spec: WindowSpec,
     flagged = samples.withColumn("_invalid", quality) if quality is not None else samples
     keep = keep + (["_invalid"] if quality is not None else [])
     placed = (
-        flagged.select(*keep).join(anchors.select(session, "t_ref"), session)
+        per_key_join(flagged.select(*keep), anchors.select(session, "t_ref"), [session],
+                     F.col(ts), spec.window)
         .filter(rel > 0)
         .withColumn("pane", _ceil_div(rel, spec.pane))
     )
@@ -235,11 +242,10 @@ def window_statistics(samples: DataFrame, sessions: DataFrame, spec: WindowSpec,
                       value: str = "capacitance_raw", quality: str = "cap_quality",
                       session: str = "session_id", ts: str = "timestamp") -> DataFrame:
     """Statistics of every window of every session, before validity is decided."""
-    anchors = session_anchors(samples, session, ts)
-    spine = window_spine(sessions, anchors, spec, session)
-    panes = pane_statistics(samples, anchors, spec, {"cap": value},
+    bounds = materialise(sessions.join(session_anchors(samples, session, ts), session))
+    panes = pane_statistics(samples, bounds, spec, {"cap": value},
                             quality=F.col(quality) != "OK", session=session, ts=ts)
-    return merge_panes(panes, spine, spec, ["cap"], session)
+    return merge_panes(panes, _spine_of(bounds, spec), spec, ["cap"], session)
 
 
 def exclusion_reason(spec: WindowSpec) -> Column:
@@ -313,11 +319,10 @@ def multichannel_windows(samples: DataFrame, channels: dict[str, str], spec: Win
     ``missing_seconds`` is positive where the grid has gaps.
     """
     timed = samples.withColumn("_ms", F.col(second).cast("bigint") * 1000)
-    bounds = timed.groupBy(session).agg(F.max("_ms").alias("end_timestamp"))
-    anchors = bounds.withColumn("t_ref", F.lit(0).cast("bigint"))
-    spine = window_spine(bounds, anchors.select(session, "t_ref"), spec, session)
-    panes = pane_statistics(timed, anchors, spec, channels, session=session, ts="_ms")
-    stats = merge_panes(panes, spine, spec, list(channels), session)
+    bounds = materialise(timed.groupBy(session).agg(
+        F.max("_ms").alias("end_timestamp"), F.lit(0).cast("bigint").alias("t_ref")))
+    panes = pane_statistics(timed, bounds, spec, channels, session=session, ts="_ms")
+    stats = merge_panes(panes, _spine_of(bounds, spec), spec, list(channels), session)
     seconds = spec.window // 1000
     output = [
         window_id(F.col(session), F.col("window_index"), "-w").alias("window_id"),
