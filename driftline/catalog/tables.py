@@ -23,7 +23,7 @@ EVENT_WINDOWS = WindowSpec(
     interval_low=60_000, interval_high=2 * DAY, decimals=4, slope_unit_ms=DAY)
 EVENT_QC = QcConfig(
     expected_interval_ms=12 * HOUR, jitter_tolerance_ms=10 * HOUR,
-    unmarked_gap_threshold_ms=36 * HOUR, minimum_pre_injection_dry_s=86_400,
+    unmarked_gap_threshold_ms=36 * HOUR, minimum_pre_injection_dry_s=5 * 86_400,
     baseline_window_s=5 * 86_400, block_rows=1_000_000, block_ms=DAY)
 
 

@@ -36,6 +36,12 @@ class WindowSpec:
     decimals: int = 6
     slope_unit_ms: int = 1000
 
+    def __post_init__(self) -> None:
+        if self.window <= 0 or self.stride <= 0:
+            raise ValueError("window and stride must be positive")
+        if (self.expected is None) == (self.minimum is None):
+            raise ValueError("give exactly one of expected and minimum")
+
     @property
     def pane(self) -> int:
         return gcd(self.window, self.stride)

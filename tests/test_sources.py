@@ -106,3 +106,27 @@ def test_event_metadata_json(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string")
     got = [r.ok for r in df.select("i", json_object_is_finite(F.col("t")).alias("ok")).orderBy("i").collect()]
     assert got == [True, True] + [False] * 7 + [True]
+
+
+def test_intake_types_and_rejects(spark):
+    from driftline.sources.intake import type_rows
+
+    good = ("1000", "s", "1.5", "2", "OK", "OK", "NORMAL", "", "")
+    rows = [good, ("x", *good[1:]), (*good[:2], "NaN", *good[3:]), (*good[:4], "FINE", *good[5:])]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in contract.SAMPLE_FIELDS))
+    typed, rejected = type_rows(df, contract.SAMPLE_FIELDS)
+    assert [(r.timestamp, r.capacitance_raw, r.lig_raw) for r in typed.collect()] == [(1000, 1.5, 2.0)]
+    assert sorted(r.rejected_fields for r in rejected.collect()) == [
+        ["cap_quality"], ["capacitance_raw"], ["timestamp"]]
+
+
+def test_settings_are_checked():
+    from driftline.operators.qc import QcConfig
+    from driftline.operators.windows import WindowSpec
+
+    for build in (lambda: QcConfig(jitter_tolerance_ms=1000),
+                  lambda: QcConfig(unmarked_gap_threshold_ms=1200),
+                  lambda: QcConfig(minimum_pre_injection_dry_s=59),
+                  lambda: WindowSpec(stride=0), lambda: WindowSpec(expected=None)):
+        with pytest.raises(ValueError):
+            build()
