@@ -144,10 +144,12 @@ def cumulative_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, outputs: dict[str, float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, outputs: dict[str, float],
+                    extent: bool = False) -> DataFrame:
     """Linear-interpolated quantiles per key, exact for groups of any size.
 
-    ``outputs`` maps an output name to its probability.  ``percentile`` keeps a
+    ``outputs`` maps an output name to its probability; ``extent`` adds
+    ``row_count``, ``minimum`` and ``maximum`` from the same pass.  ``percentile`` keeps a
     group's distinct values in one task; here they are spread over blocks, and
     only the order statistics next to each target position are kept.
     """
@@ -158,8 +160,11 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, outputs: dict[st
         for part, at in (("lo", F.floor(position)), ("hi", F.ceil(position))):
             hit = (F.col("_below") <= at) & (at < F.col("_below") + F.col("_freq"))
             aggregates.append(F.max(F.when(hit, F.col("_value"))).alias(f"_{name}_{part}"))
+    if extent:
+        aggregates += [F.min("_value").alias("minimum"), F.max("_value").alias("maximum"),
+                       F.max("_total").alias("row_count")]
     stats = ranked.groupBy(*keys).agg(F.max("_total").alias("_total"), *aggregates)
-    columns = []
+    columns = ["row_count", "minimum", "maximum"] if extent else []
     for name, probability in outputs.items():
         position = (F.col("_total") - 1) * F.lit(probability)
         fraction = position - F.floor(position)

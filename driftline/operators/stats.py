@@ -110,15 +110,12 @@ def correlation_matrix_checks(summary: DataFrame, tolerance: float = 1e-10) -> D
 def channel_statistics(rows: DataFrame, channels: list[str], session: str = "session_id",
                        decimals: int = 6) -> DataFrame:
     """Count, quartiles, IQR and range per session and channel."""
-    long = melt(rows, [session], channels)
     keys = [session, "channel"]
-    quantiles = exact_quantiles(long, keys, "value", {"q25": 0.25, "median": 0.5, "q75": 0.75})
-    extent = long.groupBy(*keys).agg(
-        F.count("value").alias("n_raw"), F.min("value").alias("minimum"),
-        F.max("value").alias("maximum"))
-    return extent.join(quantiles, keys).select(
-        *keys, "n_raw", *[stable_round(F.col(c), decimals).alias(c)
-                          for c in ("median", "q25", "q75")],
+    quantiles = exact_quantiles(melt(rows, [session], channels), keys, "value",
+                                {"q25": 0.25, "median": 0.5, "q75": 0.75}, extent=True)
+    return quantiles.select(
+        *keys, F.col("row_count").alias("n_raw"),
+        *[stable_round(F.col(c), decimals).alias(c) for c in ("median", "q25", "q75")],
         stable_round(F.col("q75") - F.col("q25"), decimals).alias("iqr"), "minimum", "maximum")
 
 
