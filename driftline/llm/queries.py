@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import pii
+from driftline.llm import decontamination, pii
 from driftline.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +21,12 @@ def query(build: Callable[[SparkSession, str], DataFrame]):
 @query
 def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digest(pii.personal_data(read_table(spark, sf_dir, "documents")))
+
+
+@query
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination_digest(decontamination.contamination(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
+
+
+SQL["op7_benchmark_decontamination"] = decontamination.CONTAMINATION_SQL
