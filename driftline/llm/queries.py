@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import decontamination, pii
+from driftline.llm import decontamination, ngram_join, pii
 from driftline.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +30,11 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 SQL["op7_benchmark_decontamination"] = decontamination.CONTAMINATION_SQL
+
+
+@query
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(read_table(spark, sf_dir, "documents"))
+
+
+SQL["op9_ngram_jaccard_join"] = ngram_join.JACCARD_SQL
