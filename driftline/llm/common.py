@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -47,7 +47,7 @@ def map_batches(frame: DataFrame, columns: list[str], function: Callable[..., It
 def written(frame: DataFrame, label: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: lineage ends, all executors read it.
 
-    The folder lies under ``spark.checkpoint.dir``; `discard` removes it when it is used up.
+    The folder lies under ``spark.checkpoint.dir``.
     """
     spark = frame.sparkSession
     path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
@@ -55,13 +55,27 @@ def written(frame: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def discard(*frames: DataFrame) -> None:
-    """Remove tables that `written` made."""
-    for frame in frames:
-        for folder in {os.path.dirname(f) for f in frame.inputFiles()}:
-            spark = frame.sparkSession
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+class Scratch:
+    """Intermediate tables of one operator call, in one folder that goes when the call ends."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.folder = os.path.join(shared_dir(spark), f"scratch-{uuid.uuid4().hex}")
+
+    def table(self, frame: DataFrame, label: str) -> DataFrame:
+        path = os.path.join(self.folder, f"{label}-{uuid.uuid4().hex}")
+        frame.write.parquet(path)
+        return self.spark.read.schema(frame.schema).parquet(path)
+
+    def result(self, frame: DataFrame, label: str) -> DataFrame:
+        """The final rows, written outside the folder, which is then removed."""
+        out = written(frame, label)
+        self.close()
+        return out
+
+    def close(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -69,18 +83,22 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
+def piece_of(order: Column, pieces: int = 256) -> Column:
+    """The piece of `cumulative` that an order value falls into."""
+    return F.shiftrightunsigned(order, 40) % pieces
+
+
 def cumulative(frame: DataFrame, keys: list[str], order: Column, weight: Column,
-               buckets: int = 256) -> DataFrame:
+               pieces: int = 256) -> DataFrame:
     """``before``: the sum of ``weight`` over rows of the same keys that stand earlier.
 
-    ``order`` must be a well mixed long; its upper bits cut every key into ``buckets`` equal
-    pieces, so a key that holds a third of all rows is still spread over many tasks.  Piece
-    sums (at most ``buckets`` per key) carry over between pieces.  Null keys are keys.
+    ``order`` must be a well mixed long; its upper bits cut every key into equal pieces, so a
+    key that holds a third of all rows is still spread over many tasks.  Rows stand by piece,
+    then by order.  Piece sums (at most ``pieces`` per key) carry over between pieces.  Null
+    keys are keys.
     """
-    from pyspark.sql import Window
-
     w = frame.withColumns({"_order": order, "_weight": weight.cast("long")})
-    w = w.withColumn("_piece", F.shiftrightunsigned("_order", 40) % buckets)
+    w = w.withColumn("_piece", piece_of(F.col("_order"), pieces))
     names = [f"_k{i}" for i in range(len(keys))]
     rank_in_piece = Window.partitionBy(*keys, "_piece").orderBy("_order").rowsBetween(
         Window.unboundedPreceding, -1)

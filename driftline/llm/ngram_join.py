@@ -32,7 +32,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from driftline.llm.common import map_batches, written
+from driftline.llm.common import Scratch, map_batches
 from driftline.llm.decontamination import bitmap, is_set
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -200,14 +200,14 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 
 
 def texts_of(pairs: DataFrame, rows: DataFrame, docs: DataFrame, width: int, id_column: str,
-             text_column: str, bits: int) -> DataFrame:
+             text_column: str, bits: int, scratch: Scratch) -> DataFrame:
     """(node, text) of every class in a pair.
 
     The documents are first thinned by a bitmap of fixed size over the wanted ids, so hardly
     any text but the wanted ones is hashed again and shuffled.
     """
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = written(rows.join(nodes, "node", "left_semi").groupBy("node").agg(
+    wanted = scratch.table(rows.join(nodes, "node", "left_semi").groupBy("node").agg(
         F.min("doc_id").alias("doc_id")), "wanted")
     marks = bitmap(wanted.select(F.xxhash64("doc_id").alias("shingle")), bits)
     some = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"),
@@ -221,12 +221,12 @@ def texts_of(pairs: DataFrame, rows: DataFrame, docs: DataFrame, width: int, id_
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     signed = map_batches(some, ["doc_id", "text"], scan, f"id {kind}, sign bigint, text string")
-    return written(signed.join(wanted, (F.col("sign") == F.col("node"))
+    return scratch.table(signed.join(wanted, (F.col("sign") == F.col("node"))
                                & F.col("id").eqNullSafe(F.col("doc_id")))
                    .select("node", "text"), "texts")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, label: the smallest node of its component, by alternating large and small stars.
 
     Every round is written to the shared folder.  Neighbourhoods meet as grouped minima and
@@ -242,7 +242,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least(both), "u").where("v > u").select(
             F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = large.join(least(large), "u")
-        links = written(small.select(F.col("v").alias("u"), F.col("m").alias("v"))
+        links = scratch.table(small.select(F.col("v").alias("u"), F.col("m").alias("v"))
                         .unionByName(small.select("u", F.col("m").alias("v")))
                         .where("u <> v").distinct(), "links")
         row = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
@@ -254,12 +254,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def residual_pairs(shared: DataFrame, labels: DataFrame, known: DataFrame,
-                   percent: int) -> DataFrame:
+                   percent: int, scratch: Scratch) -> DataFrame:
     """Pairs of one n-gram whose components differ, that pass the filters and are new."""
     members = shared.join(labels, "node", "left").select(
         "gram", "node", "size", "place", "bits", F.coalesce("label", "node").alias("label"))
     split = members.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    rest = written(members.join(split.where("low <> high").select("gram"), "gram"), "rest")
+    rest = scratch.table(members.join(split.where("low <> high").select("gram"), "gram"), "rest")
     found = rest.alias("x").join(rest.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (
         F.col("x.label") < F.col("y.label")) & may_link("x", "y", percent))
     return found.select(*ordered_pair("x", "y")).distinct().join(known, ["a", "b"], "left_anti")
@@ -274,26 +274,30 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 75,
     ``most_frequent`` bounds the table of frequent n-grams that tasks receive, ``salt_rows`` the
     postings of a frequent n-gram that meet in one place, ``bits`` the bitmap of wanted ids.
     """
-    rows = written(classes(docs, width, id_column, text_column), "classes")
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.table(classes(docs, width, id_column, text_column), "classes")
     frequent = frequent_ngrams(docs, width, text_column, most_frequent)
     postings = prefix_postings(docs, width, percent, text_column, frequent, salt_rows)
     bucket = Window.partitionBy("gram", "salt")
-    shared = written(
+    shared = scratch.table(
         postings.withColumns({
             "least": F.min("node").over(bucket), "most": F.max("node").over(bucket),
             "first": F.min(F.struct("node", "size", "place", "bits")).over(bucket)})
         .where(F.col("salted") | (F.col("least") != F.col("most")))
         .drop("least", "most", "salt"), "shared")
-    pairs = written(star_pairs(shared, percent), "pairs")
-    texts = texts_of(pairs, rows, docs, width, id_column, text_column, bits)
-    links = written(verified(pairs, texts, width, percent), "links")
-    labels = written(components(links), "labels")
-    more = written(residual_pairs(shared, labels, pairs, percent), "pairs")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        texts = texts_of(pairs, rows, docs, width, id_column, text_column, bits, scratch)
+        return verified(pairs, texts, width, percent)
+
+    pairs = scratch.table(star_pairs(shared, percent), "pairs")
+    links = scratch.table(checked(pairs), "links")
+    labels = scratch.table(components(links, scratch), "labels")
+    more = scratch.table(residual_pairs(shared, labels, pairs, percent, scratch), "pairs")
     if not more.isEmpty():
-        texts = texts_of(more, rows, docs, width, id_column, text_column, bits)
-        links = written(links.unionByName(verified(more, texts, width, percent)), "links")
-        labels = written(components(links), "labels")
-    return labelled(rows, labels)
+        links = scratch.table(links.unionByName(checked(more)), "links")
+        labels = components(links, scratch)
+    return scratch.result(labelled(rows, labels), "components")
 
 
 def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -320,11 +324,11 @@ s AS (
           WHERE len(w) > 0)),
 n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
 pair AS (
-    SELECT x.r AS a, y.r AS b, count(*) AS both FROM s x JOIN s y ON x.g = y.g AND x.r <> y.r
+    SELECT x.r AS a, y.r AS b, count(*) AS common FROM s x JOIN s y ON x.g = y.g AND x.r <> y.r
     GROUP BY ALL),
 link AS (
     SELECT a, b FROM pair JOIN n na ON na.r = a JOIN n nb ON nb.r = b
-    WHERE 100 * both >= 75 * (na.n + nb.n - both)),
+    WHERE 100 * common >= 75 * (na.n + nb.n - common)),
 reach AS (
     SELECT r AS a, r AS b FROM d UNION SELECT reach.a, link.b FROM reach JOIN link
     ON reach.b = link.a),

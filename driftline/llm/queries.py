@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import decontamination, ngram_join, pii
+from driftline.llm import decontamination, mixing, ngram_join, pii, sharding
 from driftline.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,13 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op9_ngram_jaccard_join"] = ngram_join.JACCARD_SQL
+
+
+@query
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_sizes(*mixing.mix(read_table(spark, sf_dir, "documents")))
+
+
+@query
+def op5_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.balanced_shards(read_table(spark, sf_dir, "documents"))
