@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftline.llm import decontamination, mixing, ngram_join, pii, sharding
+from driftline.llm import decontamination, language, mixing, ngram_join, pii, sharding
 from driftline.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.balanced_shards(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_language_identification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.fit_languages(docs))
+    return found.withColumn("n_spans", F.size("spans").cast("long")).drop("spans")
