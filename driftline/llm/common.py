@@ -98,7 +98,8 @@ def cumulative(frame: DataFrame, keys: list[str], order: Column, weight: Column,
     keys are keys.
     """
     w = frame.withColumns({"_order": order, "_weight": weight.cast("long")})
-    w = w.withColumn("_piece", piece_of(F.col("_order"), pieces))
+    # dealt by piece: an earlier dealing by the keys alone would leave a hot key in one task
+    w = w.withColumn("_piece", piece_of(F.col("_order"), pieces)).repartition(*keys, "_piece")
     names = [f"_k{i}" for i in range(len(keys))]
     rank_in_piece = Window.partitionBy(*keys, "_piece").orderBy("_order").rowsBetween(
         Window.unboundedPreceding, -1)

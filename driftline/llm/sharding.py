@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from driftline.llm.common import Scratch, cumulative
 
-#: Rows of a group that one node links, as a share of a shard.
-BLOCKS_PER_SHARD = 8
+#: A node links at most this part of a shard's rows; larger groups have several nodes.
+BLOCKS_PER_SHARD = 2
 
 
 def capacity(rows: int, shards: int) -> Column:
@@ -77,9 +77,10 @@ def propagate(linked: DataFrame, rows: int, shards: int, rounds: int,
         "shard", (F.col("before") % shards).cast("int")).drop("before"), "labels")
     for _ in range(rounds):
         votes = state.groupBy(*block, "shard").agg(F.count("*").alias("votes"))
-        wish = votes.groupBy(*block).agg(F.max(F.struct("votes", (-F.col("shard")).alias("low")))
-                                         .alias("best"))
-        asked = scratch.table(state.join(wish.select(*block, (-F.col("best.low")).alias("wish")),
+        # ties go by hash: wishes then run both ways between shards and can be swapped
+        wish = votes.groupBy(*block).agg(F.max(F.struct(
+            "votes", F.xxhash64(*block, "shard").alias("tie"), "shard")).alias("best"))
+        asked = scratch.table(state.join(wish.select(*block, F.col("best.shard").alias("wish")),
                                          block), "wishes")
         quotas = scratch.table(allowed_moves(
             asked.groupBy("shard", "wish").agg(F.count("*").alias("n")), rows, shards), "quotas")
