@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftline.llm import decontamination, language, mixing, ngram_join, pii, sharding
+from driftline.llm import (decontamination, language, mixing, ngram_join, pii, quality,
+                           sharding)
 from driftline.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +56,9 @@ def op4_language_identification(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     found = language.identify(docs, language.fit_languages(docs))
     return found.withColumn("n_spans", F.size("spans").cast("long")).drop("spans")
+
+
+@query
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(read_table(spark, sf_dir, "documents"),
+                                  read_table(spark, sf_dir, "labels"))
