@@ -83,6 +83,48 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
+def address(value: Column, bits: int) -> tuple[Column, Column]:
+    """Index of the long and of the bit in it; ``bits`` is a power of two."""
+    slot = value.bitwiseAND(F.lit(bits - 1))
+    return F.shiftright(slot, 6).cast("int"), slot.bitwiseAND(F.lit(63)).cast("int")
+
+
+def bitmap(hashes: DataFrame, bits: int) -> Column:
+    """Scalar subquery: ``bits`` bits as an array of longs, set where a hash (one column) falls.
+
+    Its size is fixed, so it may travel to every task; more hashes let more values pass.
+    """
+    place, bit = address(F.col(hashes.columns[0]), bits)
+    filled = (hashes.select(place.alias("place"), bit.alias("bit")).groupBy("place")
+              .agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("set")))
+    places = hashes.sparkSession.range(bits // 64).withColumnRenamed("id", "place")
+    return (places.join(filled, "place", "left")
+            .agg(F.array_sort(F.collect_list(
+                F.struct("place", F.coalesce("set", F.lit(0)).alias("set")))).alias("all"))
+            .select(F.transform("all", lambda p: p["set"]))).scalar()
+
+
+def is_set(field: Column, value: Column, bits: int) -> Column:
+    place, bit = address(value, bits)
+    return F.getbit(F.get(field, place), bit) == 1
+
+
+def without(docs: DataFrame, dropped: DataFrame, bits: int = 1 << 22) -> DataFrame:
+    """Rows of ``docs`` whose id and text hash are not in ``dropped`` (doc_id, text_hash).
+
+    A bitmap of the dropped rows lets all others pass where they are read; only the rows it
+    marks are shuffled to be told apart exactly.
+    """
+    gone = dropped.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    marks = bitmap(gone.select(F.xxhash64("_id", "_hash")), bits)
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("_doc_id"),
+                        F.xxhash64("text").alias("_text_hash"), marks.alias("_marks"))
+    marked = is_set(F.col("_marks"), F.xxhash64("_doc_id", "_text_hash"), bits)
+    checked = whole.where(marked).join(gone.distinct(), F.col("_doc_id").eqNullSafe(
+        F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_anti")
+    return whole.where(~marked).select("doc.*").unionByName(checked.select("doc.*"))
+
+
 def piece_of(order: Column, pieces: int = 256) -> Column:
     """The piece of `cumulative` that an order value falls into."""
     return F.shiftrightunsigned(order, 40) % pieces

@@ -25,7 +25,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from driftline.llm.common import written
+from driftline.llm.common import bitmap, is_set, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Between words: every ASCII character but digits and letters.
@@ -92,29 +92,6 @@ def window_shingles(windows: DataFrame, shingle: int) -> DataFrame:
     return out
 
 
-def bitmap(shingles: DataFrame, bits: int) -> Column:
-    """Scalar subquery: ``bits`` bits as an array of longs, set where a shingle falls."""
-    place, bit = address(F.col("shingle"), bits)
-    filled = (shingles.select(place.alias("place"), bit.alias("bit")).groupBy("place")
-              .agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("set")))
-    places = shingles.sparkSession.range(bits // 64).withColumnRenamed("id", "place")
-    return (places.join(filled, "place", "left")
-            .agg(F.array_sort(F.collect_list(
-                F.struct("place", F.coalesce("set", F.lit(0)).alias("set")))).alias("all"))
-            .select(F.transform("all", lambda p: p["set"]))).scalar()
-
-
-def address(shingle: Column, bits: int) -> tuple[Column, Column]:
-    """Index of the long and of the bit in it; ``bits`` is a power of two."""
-    slot = shingle.bitwiseAND(F.lit(bits - 1))
-    return F.shiftright(slot, 6).cast("int"), slot.bitwiseAND(F.lit(63)).cast("int")
-
-
-def is_set(field: Column, shingle: Column, bits: int) -> Column:
-    place, bit = address(shingle, bits)
-    return F.getbit(F.get(field, place), bit) == 1
-
-
 def scan(text: Column, field: Column, lengths: list[int], bits: int) -> Column:
     """Word count of a text, and (shingle, at) of its shingles whose bit is set."""
     def found(hashes: Column, marks: Column) -> Column:
@@ -132,7 +109,7 @@ def prefix_shingles(docs: DataFrame, windows: DataFrame, shingle: int, bits: int
     """Per window its rarest shingle over the whole corpus, ties to the smaller hash."""
     every = window_shingles(windows, shingle)
     vocabulary = every.select("shingle", "k").distinct()
-    marked = docs.select(F.col(text_column).alias("text"), bitmap(vocabulary, bits).alias("marks"))
+    marked = docs.select(F.col(text_column).alias("text"), bitmap(vocabulary.select("shingle"), bits).alias("marks"))
     # explode_outer: from an inner explode the optimizer derives a filter that scans twice
     seen = marked.select(F.explode_outer(scan(
         F.col("text"), F.col("marks"), used_lengths(every), bits)["found"]["shingle"])
@@ -151,7 +128,7 @@ def used_lengths(shingles: DataFrame) -> list[int]:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3,
                   bits: int = 1 << 20, id_column: str = "doc_id", text_column: str = "text",
                   item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
-    """Per document row: id, words, hit words, items found (sorted ids as text).
+    """Per document row: id, hash of the text, words, hit words, items found (sorted, as text).
 
     ``bits`` bounds the bitmap that travels to the tasks; a benchmark that fills it makes
     more rows leave the scan and changes no result.
@@ -160,13 +137,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     lengths = used_lengths(window_shingles(windows, shingle))
     text = F.col(text_column)
     rows = docs.select(
-        F.col(id_column).alias("doc_id"), F.xxhash64(id_column, text_column).alias("_h1"),
-        F.crc32(F.coalesce(text, F.lit(""))).alias("_h2"), text.alias("_text"))
+        F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("text_hash"),
+        F.crc32(F.coalesce(text, F.lit(""))).alias("_crc"), text.alias("_text"))
     near = "struct<shingle: bigint, at: int, start: int, near: array<string>>"
     prefixes = None
     if lengths:
         prefixes = written(prefix_shingles(docs, windows, shingle, bits, text_column), "prefixes")
-        rows = rows.withColumn("_marks", bitmap(prefixes, bits))
+        rows = rows.withColumn("_marks", bitmap(prefixes.select("shingle"), bits))
         rows = rows.withColumn("_scan", scan(
             F.col("_text"), F.col("_marks"), used_lengths(prefixes), bits))
         reach = F.lit(window - 1)
@@ -179,13 +156,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
                     F.slice(words, F.greatest(s["at"] - reach, F.lit(0)) + 1,
                             2 * window - 1 + shingle).alias("near"))))
 
-        rows = rows.select("doc_id", "_h1", "_h2", F.col("_scan.n_words"), F.when(
+        rows = rows.select("doc_id", "text_hash", "_crc", F.col("_scan.n_words"), F.when(
             F.size("_scan.found") > 0, around(F.col("_scan.found"))).alias("_hits"))
     else:
-        rows = rows.select("doc_id", "_h1", "_h2", F.size(split_words(F.col("_text")))
+        rows = rows.select("doc_id", "text_hash", "_crc", F.size(split_words(F.col("_text")))
                            .cast("long").alias("n_words"), F.lit(None).alias("_hits"))
     # the first element, null, stands for the row itself
-    spread = rows.select("doc_id", "_h1", "_h2", "n_words", F.explode_outer(F.concat(
+    spread = rows.select("doc_id", "text_hash", "_crc", "n_words", F.explode_outer(F.concat(
         F.array(F.lit(None).cast(near)), F.coalesce("_hits", F.array().cast(f"array<{near}>"))))
         .alias("hit"))
     if prefixes is None:
@@ -200,7 +177,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
                                    length), ascii_lower) == F.col("window")
         matched = matched.withColumn("match", F.when(fits & same, F.struct(
             start.alias("start"), (start + length).alias("stop"), "items")))
-    grouped = matched.groupBy("doc_id", "_h1", "_h2", "n_words").agg(
+    grouped = matched.groupBy("doc_id", "text_hash", "_crc", "n_words").agg(
         F.collect_set("match").alias("m"),
         F.count_if(F.col("hit").isNull()).alias("rows"))
     covered = F.aggregate(
@@ -209,7 +186,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
             (acc["n"] + F.greatest(F.lit(0), x["stop"] - F.greatest(x["start"], acc["upto"])))
             .alias("n"), F.greatest(acc["upto"], x["stop"]).alias("upto")))
     return grouped.select(
-        "doc_id", "n_words", covered["n"].cast("long").alias("n_hit"),
+        "doc_id", "text_hash", "n_words", covered["n"].cast("long").alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten(F.transform("m", lambda x: x["items"]))))
         .alias("items"), F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).drop("col")
 

@@ -10,9 +10,10 @@ document with the component that its links form.
    decides cost only: any order gives the same links.
 3. *Prefixes.* Two sets that link share an n-gram among the first ``n - ceil(t * n) + 1`` of
    each, so only those postings are shuffled, once, by n-gram.  Frequent n-grams are salted.
-4. *Stars.* Within an n-gram each class is paired with the n-gram's smallest class, not with
-   all others.  Pairs pass a length filter, a positional filter and a suffix filter (parity
-   bitmaps of the sets bound the symmetric difference), then each is verified once on the texts.
+4. *Stars.* Within an n-gram each class is paired with one class that lies close to the others,
+   not with all others.  Pairs pass a length and a positional filter on the postings and a suffix filter
+   (parity bitmaps of two bits a gram bound the symmetric difference from below); what is left
+   is verified once on the texts.
 5. *Rest.* Classes of one n-gram that the verified links leave in different components are
    paired across components and verified too, so no link that joins components is lost.
 
@@ -32,8 +33,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from driftline.llm.common import Scratch, map_batches
-from driftline.llm.decontamination import bitmap, is_set
+from driftline.llm.common import Scratch, bitmap, is_set, map_batches
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -66,10 +66,23 @@ def signature(grams: np.ndarray) -> int | None:
     return value - (1 << 64) if value >> 63 else value
 
 
-def parity(grams: np.ndarray) -> int:
-    """Bit i tells whether an odd number of the grams fall on i."""
-    counts = np.bincount((grams & np.uint64(63)).astype(np.int64), minlength=64) & 1
-    return int(np.packbits(counts.astype(np.uint8)).view(">i8")[0])
+def parity(grams: np.ndarray) -> bytes:
+    """A bitmap of twice as many bits as grams or more: which bits an odd number falls on.
+
+    Two bitmaps differ in no more bits than the sets differ in grams; the wider of two is
+    folded to the other's width.
+    """
+    width = max(64, 1 << (2 * len(grams) - 1).bit_length())
+    counts = np.bincount((grams & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(counts.astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(parity_a: bytes, parity_b: bytes) -> int:
+    """Least number of grams that are in one of two sets only, by their bitmaps."""
+    width = min(len(parity_a), len(parity_b))
+    both = [np.bitwise_xor.reduce(np.frombuffer(p, np.uint8).reshape(-1, width), axis=0)
+            for p in (parity_a, parity_b)]
+    return int(np.bitwise_count(both[0] ^ both[1]).sum())
 
 
 def least_overlap(size_a, size_b, percent: int):
@@ -77,40 +90,44 @@ def least_overlap(size_a, size_b, percent: int):
     return -(-percent * (size_a + size_b) // (100 + percent))
 
 
-def classes(docs: DataFrame, width: int, id_column: str, text_column: str) -> DataFrame:
-    """doc_id, n_shingles and node (the set's signature) of every row."""
+def first_pass(docs: DataFrame, width: int, id_column: str, text_column: str) -> DataFrame:
+    """Rows of two kinds: per document id, size, node (signature) and parity bitmap of its set;
+    and per batch the n-grams that several of its classes hold, with the number of classes."""
     def scan(batches: Iterator) -> Iterator[dict]:
-        for ids, texts in batches:
+        for ids, hashes, texts in batches:
             sets = [ngram_set(t, width) for t in texts]
-            yield {"doc_id": ids, "n_shingles": [len(s) for s in sets],
-                   "node": [signature(s) for s in sets]}
+            nodes = [signature(s) for s in sets]
+            every = np.concatenate([np.empty(0, np.uint64), *dict(zip(nodes, sets)).values()])
+            grams, counts = np.unique(every, return_counts=True)
+            grams, counts = grams[counts > 1].view(np.int64), counts[counts > 1]
+            more, rows = [None] * len(grams), [None] * len(ids)
+            yield {"doc_id": ids + more, "text_hash": hashes + more, "n_shingles": [len(s) for s in sets] + more,
+                   "node": nodes + more,
+                   "parity": [parity(s) if len(s) else None for s in sets] + more,
+                   "gram": rows + grams.tolist(), "n": rows + counts.tolist()}
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return map_batches(docs, [id_column, text_column], scan,
-                       f"doc_id {kind}, n_shingles bigint, node bigint")
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("hash"),
+                       F.col(text_column).alias("text"))
+    return map_batches(rows, ["doc_id", "hash", "text"], scan, f"doc_id {kind}, "
+                       "text_hash bigint, n_shingles bigint, node bigint, parity binary, gram bigint, n bigint")
 
 
-def frequent_ngrams(docs: DataFrame, width: int, text_column: str,
-                    most: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent_ngrams(found: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     """The ``most`` n-grams that repeat most often within batches, with their counts."""
-    def scan(batches: Iterator) -> Iterator[dict]:
-        for (texts,) in batches:
-            sets = {signature(s): s for s in (ngram_set(t, width) for t in texts)}
-            every = np.concatenate([np.empty(0, np.uint64), *sets.values()])
-            grams, counts = np.unique(every, return_counts=True)
-            keep = counts > 1
-            yield {"gram": grams[keep].view(np.int64), "n": counts[keep]}
-
-    found = (map_batches(docs, [text_column], scan, "gram bigint, n bigint")
-             .groupBy("gram").agg(F.sum("n").alias("n")).where("n > 7")
-             .orderBy(F.desc("n"), "gram").limit(most).toPandas())
+    found = (found.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n"))
+             .where("n > 7").orderBy(F.desc("n"), "gram").limit(most).toPandas())
     found = found.assign(gram=found.gram.to_numpy(np.int64).view(np.uint64)).sort_values("gram")
     return found.gram.to_numpy(np.uint64), found.n.to_numpy(np.int64)
 
 
 def prefix_postings(docs: DataFrame, width: int, percent: int, text_column: str,
                     frequent: tuple[np.ndarray, np.ndarray], salt_rows: int) -> DataFrame:
-    """Postings of each class's prefix; a class that repeats in a task is posted once there."""
+    """Postings of each class's prefix; a class that repeats in a task is posted once there.
+
+    ``at`` holds the size of the set in its upper and the place of the n-gram in its lower half
+    (narrow rows: this is the one large shuffle); ``salt`` is 0 where a gram is not salted.
+    """
     grams, counts = frequent
 
     def counts_of(values: np.ndarray) -> np.ndarray:
@@ -132,32 +149,42 @@ def prefix_postings(docs: DataFrame, width: int, percent: int, text_column: str,
                 size = len(values)
                 often = counts_of(values)
                 order = np.argsort(often, kind="stable")[:size + percent * -size // 100 + 1]
-                salts = 1 + often[order] // salt_rows
-                parts.append((values[order].view(np.int64), node % salts, salts > 1,
-                              np.full(len(order), node), np.full(len(order), size),
-                              np.arange(len(order)), np.full(len(order), parity(values))))
-            columns = list(zip(*parts)) or [[np.empty(0, np.int64)]] * 7
-            names = ("gram", "salt", "salted", "node", "size", "place", "bits")
-            out = {n: np.concatenate(c) for n, c in zip(names, columns)}
-            yield out | {"salted": out["salted"].astype(bool)}
+                salts = often[order] // salt_rows
+                parts.append((values[order].view(np.int64), np.full(len(order), node),
+                              (size << 32) + np.arange(len(order)),
+                              np.where(salts, 1 + node % (salts + 1), 0)))
+            columns = list(zip(*parts)) or [[np.empty(0, np.int64)]] * 4
+            yield {n: np.concatenate(c) for n, c in zip(("gram", "node", "at", "salt"), columns)}
+
+    return map_batches(docs, [text_column], scan,
+                       "gram bigint, node bigint, at bigint, salt int")
+
+
+def size_in(at: Column) -> Column:
+    return F.shiftright(at, 32)
+
 
-    return map_batches(docs, [text_column], scan, "gram bigint, salt int, salted boolean, "
-                       "node bigint, size int, place int, bits bigint")
+def place_in(at: Column) -> Column:
+    return at.bitwiseAND(F.lit(0xFFFFFFFF))
 
 
 def may_link(a: str, b: str, percent: int) -> Column:
-    """Length, positional and suffix filter for two postings of one n-gram."""
-    def f(side: str, name: str) -> Column:
-        return F.col(f"{side}.{name}")
+    """Length and positional filter for two postings of one n-gram.
 
-    needed = F.ceil((f(a, "size") + f(b, "size")) * percent / F.lit(100 + percent) - 1e-9)
-    length = (100 * F.least(f(a, "size"), f(b, "size"))
-              >= percent * F.greatest(f(a, "size"), f(b, "size")))
-    before = F.least(f(a, "place"), f(b, "place"))
-    after = F.least(f(a, "size") - f(a, "place"), f(b, "size") - f(b, "place"))
-    apart = F.bit_count(f(a, "bits").bitwiseXOR(f(b, "bits")))
-    return (length & (before + after >= needed)
-            & (apart <= f(a, "size") + f(b, "size") - 2 * needed))
+    Two sets of these sizes that link share an n-gram within even shorter prefixes, of
+    ``size - needed + 1``; pairs that meet further behind meet there too.
+    """
+    def size(side: str) -> Column:
+        return size_in(F.col(f"{side}.at"))
+
+    def place(side: str) -> Column:
+        return place_in(F.col(f"{side}.at"))
+
+    length = 100 * F.least(size(a), size(b)) >= percent * F.greatest(size(a), size(b))
+    needed = F.ceil((size(a) + size(b)) * percent / F.lit(100 + percent) - 1e-9)
+    prefixes = (place(a) <= size(a) - needed) & (place(b) <= size(b) - needed)
+    most = F.least(place(a), place(b)) + F.least(size(a) - place(a), size(b) - place(b))
+    return length & prefixes & (most >= needed)
 
 
 def ordered_pair(a: str, b: str) -> list[Column]:
@@ -166,17 +193,37 @@ def ordered_pair(a: str, b: str) -> list[Column]:
 
 
 def star_pairs(shared: DataFrame, percent: int) -> DataFrame:
-    """Each class with the smallest class of its n-gram (through its salt's smallest)."""
-    ends = shared.select(F.struct("node", "size", "place", "bits").alias("x"), "first")
+    """Each class with the first class of its n-gram (through its salt's first).
+
+    The first class has the n-gram at the smallest place, so it has the fewest rarer n-grams of
+    its own: among near copies it is one that lies close to the others.
+    """
+    ends = shared.select(F.struct("node", "at").alias("x"), "first")
     inner = ends.where(F.col("x.node") != F.col("first.node")).where(
         may_link("x", "first", percent)).select(*ordered_pair("x", "first"))
-    heads = shared.where("salted").select("gram", "first").distinct()
+    heads = shared.where("salt > 0").select("gram", "first").distinct()
     heads = heads.withColumn("top", F.min("first").over(Window.partitionBy("gram")))
     outer = heads.where(F.col("first.node") != F.col("top.node")).where(
         may_link("first", "top", percent)).select(*ordered_pair("first", "top"))
     return inner.unionByName(outer).distinct()
 
 
+def suffix_filtered(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose bitmaps leave room for the overlap that their sizes need."""
+    def scan(batches: Iterator) -> Iterator[dict]:
+        for nodes_a, nodes_b, sizes_a, sizes_b, maps_a, maps_b in batches:
+            keep = [i for i, (m, n, p, q) in enumerate(zip(sizes_a, sizes_b, maps_a, maps_b))
+                    if apart(p, q) <= m + n - 2 * least_overlap(m, n, percent)]
+            yield {"a": [nodes_a[i] for i in keep], "b": [nodes_b[i] for i in keep]}
+
+    def side(name: str) -> DataFrame:
+        return sketches.select(F.col("node").alias(name), F.col("n_shingles").alias(f"n_{name}"),
+                               F.col("parity").alias(f"p_{name}"))
+
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    return map_batches(both, ["a", "b", "n_a", "n_b", "p_a", "p_b"], scan, "a bigint, b bigint")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose sets link, by the texts of both classes."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
@@ -209,7 +256,7 @@ def texts_of(pairs: DataFrame, rows: DataFrame, docs: DataFrame, width: int, id_
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = scratch.table(rows.join(nodes, "node", "left_semi").groupBy("node").agg(
         F.min("doc_id").alias("doc_id")), "wanted")
-    marks = bitmap(wanted.select(F.xxhash64("doc_id").alias("shingle")), bits)
+    marks = bitmap(wanted.select(F.xxhash64("doc_id")), bits)
     some = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"),
                        marks.alias("marks"))
     some = some.where(is_set(F.col("marks"), F.xxhash64("doc_id"), bits)).drop("marks")
@@ -255,13 +302,24 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 def residual_pairs(shared: DataFrame, labels: DataFrame, known: DataFrame,
                    percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs of one n-gram whose components differ, that pass the filters and are new."""
+    """Pairs of one n-gram whose components differ, that pass the filters and are new.
+
+    A prefix n-gram that no other class posts is in no other set that could link, so ``most``,
+    the size without those, bounds every overlap: classes with many n-grams of their own pair
+    with nothing.
+    """
+    own = Window.partitionBy("node")
+    size = size_in(F.col("at"))
     members = shared.join(labels, "node", "left").select(
-        "gram", "node", "size", "place", "bits", F.coalesce("label", "node").alias("label"))
+        "gram", "node", "at", F.coalesce("label", "node").alias("label"),
+        (F.count("*").over(own) + F.ceil(size * percent / F.lit(100) - 1e-9) - 1).alias("most"))
+    members = scratch.table(members, "members")
     split = members.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     rest = scratch.table(members.join(split.where("low <> high").select("gram"), "gram"), "rest")
+    enough = F.least("x.most", "y.most") * (100 + percent) >= percent * (
+        size_in(F.col("x.at")) + size_in(F.col("y.at")))
     found = rest.alias("x").join(rest.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (
-        F.col("x.label") < F.col("y.label")) & may_link("x", "y", percent))
+        F.col("x.label") < F.col("y.label")) & enough & may_link("x", "y", percent))
     return found.select(*ordered_pair("x", "y")).distinct().join(known, ["a", "b"], "left_anti")
 
 
@@ -269,24 +327,29 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 75,
                      id_column: str = "doc_id", text_column: str = "text",
                      most_frequent: int = 100_000, salt_rows: int = 20_000,
                      bits: int = 1 << 22) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row.
+    """doc_id, text_hash, n_shingles and component_id of every row.
 
     ``most_frequent`` bounds the table of frequent n-grams that tasks receive, ``salt_rows`` the
     postings of a frequent n-gram that meet in one place, ``bits`` the bitmap of wanted ids.
     """
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.table(classes(docs, width, id_column, text_column), "classes")
-    frequent = frequent_ngrams(docs, width, text_column, most_frequent)
+    found = scratch.table(first_pass(docs, width, id_column, text_column), "found")
+    rows = found.where("gram is null").select("doc_id", "text_hash", "n_shingles", "node")
+    sketches = scratch.table(found.where("node is not null").groupBy("node").agg(
+        F.any_value("n_shingles").alias("n_shingles"), F.any_value("parity").alias("parity")),
+        "sketches")
+    frequent = frequent_ngrams(found, most_frequent)
     postings = prefix_postings(docs, width, percent, text_column, frequent, salt_rows)
     bucket = Window.partitionBy("gram", "salt")
     shared = scratch.table(
         postings.withColumns({
-            "least": F.min("node").over(bucket), "most": F.max("node").over(bucket),
-            "first": F.min(F.struct("node", "size", "place", "bits")).over(bucket)})
-        .where(F.col("salted") | (F.col("least") != F.col("most")))
-        .drop("least", "most", "salt"), "shared")
+            "first": F.min(F.struct(place_in(F.col("at")).alias("place"), "node", "at"))
+            .over(bucket), "least": F.min("node").over(bucket), "last": F.max("node").over(bucket)})
+        .where((F.col("salt") > 0) | (F.col("least") != F.col("last"))).drop("least", "last")
+        .distinct(), "shared")
 
     def checked(pairs: DataFrame) -> DataFrame:
+        pairs = scratch.table(suffix_filtered(pairs, sketches, percent), "near")
         texts = texts_of(pairs, rows, docs, width, id_column, text_column, bits, scratch)
         return verified(pairs, texts, width, percent)
 
@@ -308,11 +371,24 @@ def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     named = named.join(least, "label").select("node", "component_id")
     return rows.join(named, "node", "left").select(
-        "doc_id", "n_shingles",
+        "doc_id", "text_hash", "n_shingles",
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
         .alias("component_id"))
 
 
+def one_of_each(found: DataFrame) -> DataFrame:
+    """(doc_id, text_hash) of the rows that go when one row of each component stays: that with
+    the component's id, of several such that with the smallest text hash.  Rows without
+    n-grams stay."""
+    rows = found.where("n_shingles > 0").select("doc_id", "text_hash", "component_id")
+    stays = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(
+        "component_id").agg(F.min("text_hash").alias("first"))
+    stays = stays.withColumnRenamed("component_id", "_component")
+    return rows.join(stays, F.col("component_id").eqNullSafe(F.col("_component"))).where(
+        ~F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.col("text_hash") != F.col("first"))
+    ).select("doc_id", "text_hash").distinct()
+
+
 JACCARD_SQL = r"""
 WITH RECURSIVE d AS (
     SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
