@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from driftline.llm.common import held_out, map_batches
@@ -133,6 +134,19 @@ def best_paths(emissions: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
     return path
 
 
+def groups(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Runs of texts of about ``GROUP_LETTERS`` together; a longer text is a run of its own."""
+    part, letters = [], 0
+    for text in texts:
+        if part and letters + len(text or "") > GROUP_LETTERS:
+            yield part
+            part, letters = [], 0
+        part.append(text)
+        letters += len(text or "")
+    if part:
+        yield part
+
+
 def label_texts(texts: list[str | None], model: LanguageModel) -> list[tuple]:
     """(language, score, spans) per text; a span is (language, first word, words)."""
     found = [WORD.findall((t or "").lower()) for t in texts]
@@ -214,18 +228,11 @@ def identify(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id",
     """doc_id, held_out, lang_pred, score and the spans of every row."""
     def scan(batches: Iterator) -> Iterator[dict]:
         for ids, held, texts in batches:
-            low = 0
-            while low < len(texts):
-                high, letters = low, 0
-                while high < len(texts) and (high == low or letters < GROUP_LETTERS):
-                    letters += len(texts[high] or "")
-                    high += 1
-                found = label_texts(texts[low:high], model)
-                yield {"doc_id": ids[low:high], "held_out": held[low:high],
-                       "lang_pred": [f[0] for f in found], "score": [f[1] for f in found],
-                       "spans": [[{"lang": s[0], "first_word": s[1], "words": s[2]}
-                                  for s in f[2]] for f in found]}
-                low = high
+            found = [f for part in groups(texts) for f in label_texts(part, model)]
+            yield {"doc_id": ids, "held_out": held, "lang_pred": [f[0] for f in found],
+                   "score": [f[1] for f in found],
+                   "spans": [[{"lang": s[0], "first_word": s[1], "words": s[2]}
+                              for s in f[2]] for f in found]}
 
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("doc_id"), held_out(id_column).alias("held_out"),
@@ -233,3 +240,21 @@ def identify(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id",
     return map_batches(rows, ["doc_id", "held_out", "text"], scan,
                        f"doc_id {kind}, held_out boolean, lang_pred string, score double, "
                        "spans array<struct<lang: string, first_word: bigint, words: bigint>>")
+
+
+def known_language(docs: DataFrame, model: LanguageModel, least_score: float = 1 / 3,
+                   text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a language that holds ``least_score`` of the letters.
+
+    Rows pass through the tasks whole; nothing is joined or shuffled.
+    """
+    place = docs.columns.index(text_column)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            keep = [f[0] != "und" and f[1] >= least_score
+                    for part in groups(texts) for f in label_texts(part, model)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(task, docs.schema)

@@ -35,7 +35,7 @@ SQL["op7_benchmark_decontamination"] = decontamination.CONTAMINATION_SQL
 
 @query
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_components(read_table(spark, sf_dir, "documents"))
+    return ngram_join.ngram_components(read_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 SQL["op9_ngram_jaccard_join"] = ngram_join.JACCARD_SQL
