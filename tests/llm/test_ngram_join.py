@@ -31,7 +31,8 @@ def brute(docs, width, percent):
 
 def run(spark, docs, **kwargs):
     frame = spark.createDataFrame(docs, DOCS).repartition(3)
-    return sorted(map(tuple, ngram_join.ngram_components(frame, **kwargs).collect()), key=str)
+    found = ngram_join.ngram_components(frame, **kwargs).drop("text_hash")
+    return sorted(map(tuple, found.collect()), key=str)
 
 
 def family(rng, base, changes):
