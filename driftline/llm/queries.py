@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftline.llm import (chat, decontamination, language, mixing, ngram_join, pii, quality,
-                           sharding, tokens)
+from driftline.llm import (chat, decontamination, graph_search, language, mixing, ngram_join, pii,
+                           quality, sharding, tokens)
 from driftline.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,9 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_search.nearest(read_table(spark, sf_dir, "embeddings"),
+                                F.col("vec_id") % 20 == 0)
