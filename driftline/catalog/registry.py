@@ -24,7 +24,9 @@ def query(name: str, sql: str | None = None):
 
 def rounded(expression: str, decimals: int = 6) -> str:
     """SQL twin of ``functions.rounding.stable_round``."""
-    return f"(floor(({expression}) * 1e{decimals} + 0.501e0) / 1e{decimals})"
+    whole = 2 ** 53 // 10 ** decimals
+    return (f"(CASE WHEN abs({expression}) < {whole}e0 THEN floor(({expression}) * 1e{decimals} "
+            f"+ 0.500001e0) / 1e{decimals} ELSE ({expression}) END)")
 
 
 def with_tables(*ctes: str, body: str) -> str:

@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-TIE_GUARD = 1e-3
+#: Part of the last kept digit by which a value may miss a tie and still go up.
+TIE_GUARD = 1e-6
+#: From here on a double has no fraction.
+WHOLE = float(2 ** 53)
 
 
 def stable_round(value: Column, decimals: int = 6) -> Column:
-    """Round half up, with values a hair below a tie also going up.
+    """Round half up to ``decimals``, with values a hair below a tie also going up.
 
-    Distributed sums differ in the last bits from run to run.  A plain round
-    would let a tie fall either way; the guard (one thousandth of the last
-    kept digit) makes reruns identical.  Negative zero becomes zero.
+    Distributed sums differ in the last bits from run to run, and a plain round would let a tie
+    fall either way.  Negative zero becomes zero.  Values too large to have so many decimals,
+    infinities and NaN stay as they are.
     """
     power = float(10 ** decimals)
-    return F.floor(value * F.lit(power) + F.lit(0.5 + TIE_GUARD)).cast("double") / F.lit(power)
+    rounded = F.floor(value * F.lit(power) + F.lit(0.5 + TIE_GUARD)).cast("double") / F.lit(power)
+    return F.when(F.abs(value) < F.lit(WHOLE / power), rounded).otherwise(value.cast("double"))
 
 
 def canonical_boolean(value: Column) -> Column:

@@ -13,7 +13,7 @@ def _fails(condition: Column) -> Column:
 
 
 def csv_safe_id(value: Column, optional: bool = False) -> Column:
-    safe = F.coalesce(value.rlike(r"^[^,\r\n]+$"), F.lit(False))
+    safe = F.coalesce((value != "") & ~value.rlike(r"[,\r\n]"), F.lit(False))
     return safe | (value == "") if optional else safe
 
 
