@@ -49,21 +49,22 @@ def lag_in_order(df: DataFrame, keys: list[str], order: list[str], columns: dict
     )
 
 
-BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 8 << 20
 
 
 def per_key_join(rows: DataFrame, per_key: DataFrame, keys: list[str], order: Column,
                  block_width: int | float) -> DataFrame:
     """Add per-key values (one narrow row per key) to rows, whatever the key's size.
 
-    ``per_key`` is checkpointed and counted.  Up to ``BROADCAST_ROWS`` rows it
+    ``per_key`` is checkpointed and measured (rows times row width).  Up to ``BROADCAST_BYTES`` it
     is broadcast and the rows are not shuffled at all.  Beyond that the values
     are first copied to each (key, block) that occurs, and rows meet them
     there: a plain join on the key would gather a hot key in one task, and a
     later grouping on (key, ...) would accept that partitioning and keep it.
     """
     per_key = materialise(per_key)
-    if per_key.count() <= BROADCAST_ROWS:
+    width = per_key._jdf.schema().defaultSize()
+    if per_key.count() * width <= BROADCAST_BYTES:
         return rows.join(F.broadcast(per_key), keys)
     placed = rows.withColumn(BLOCK_COLUMN, block_of(order, block_width))
     blocks = placed.select(*keys, BLOCK_COLUMN).distinct().join(per_key, keys)
@@ -97,6 +98,7 @@ def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 FANOUT = 8
+SALTS = 32
 
 
 def _splits_below(splits: Column, value: Column):
@@ -120,7 +122,8 @@ def cumulative_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
 
     Split points from a mergeable quantile sketch cut each key's value range
     into at most 64 pieces with about equally many distinct values.  The
-    sketch only balances the work; the counts are exact.
+    sketch only balances the work; the counts are exact.  Values meet their key's
+    splits by (key, salt) and are then dealt by (key, piece): no step gathers a key.
     """
     blocks = FANOUT * FANOUT
     probabilities = [(i + 1) / blocks for i in range(blocks - 1)]
@@ -128,8 +131,11 @@ def cumulative_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
         F.percentile_approx("_value", probabilities, 10 * blocks).alias("_splits"),
         F.sum("_freq").alias("_total"))
     base, refine = _splits_below(F.col("_splits"), F.col("_value"))
-    placed = counts.join(splits, keys).withColumn("_base", base).withColumn(
-        BLOCK_COLUMN, refine(F.col("_base"))).drop("_splits", "_base")
+    salted = splits.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = counts.withColumn("_salt", F.pmod(F.xxhash64("_value"), F.lit(SALTS)).cast("int")) \
+        .join(salted, [*keys, "_salt"]).withColumn("_base", base).withColumn(
+        BLOCK_COLUMN, refine(F.col("_base"))).drop("_splits", "_base", "_salt") \
+        .repartition(*keys, BLOCK_COLUMN)
     sums = placed.groupBy(*keys, BLOCK_COLUMN).agg(F.sum("_freq").alias("_rows"))
     before = _window(keys, BLOCK_COLUMN).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
