@@ -143,20 +143,24 @@ def run_manifest(spark, sf_dir):
     return summary.withColumn("exclusions", F.array_join(entries, ",")).drop("exclusion_counts")
 
 
-FINGERPRINTED = ("nation", "region", "supplier", "customer", "part", "orders")
-FINGERPRINT_KEYS = {
-    "nation": ["n_nationkey", "n_name", "n_regionkey"], "region": ["r_regionkey", "r_name"],
-    "supplier": ["s_suppkey", "s_name", "s_nationkey"],
-    "customer": ["c_custkey", "c_name", "c_mktsegment"],
-    "part": ["p_partkey", "p_name", "p_brand", "p_type"],
-    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]}
+FINGERPRINTED = {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice "
+                "l_discount l_tax l_returnflag l_linestatus l_shipdate",
+    "events": "event_id ts user_id event_type value props"}
 
 
 def _digest_sql(name, where="true"):
-    parts = ", ".join(f"coalesce('=' || {c}, '-')" for c in FINGERPRINT_KEYS[name])
-    return (f"SELECT '{name}' AS item, count(*) AS row_count, coalesce(CAST(sum(CAST(CAST('0x' || "
-            f"substr(sha256(concat_ws(chr(31), {parts})), 1, 12) AS BIGINT) AS HUGEINT)) AS VARCHAR), '0')"
-            f" AS digest FROM {name} WHERE {where}")
+    parts = ", ".join(f"coalesce('=' || {c}, '-')" for c in FINGERPRINTED[name].split())
+    sums = " || '-' || ".join(
+        f"coalesce(CAST(sum(CAST(CAST('0x' || substr(h, {1 + 16 * i}, 16) AS UBIGINT) AS HUGEINT))"
+        f" AS VARCHAR), '0')" for i in range(4))
+    return (f"SELECT '{name}' AS item, count(*) AS row_count, {sums} AS digest FROM (SELECT "
+            f"sha256(concat_ws(chr(31), {parts})) AS h FROM {name} WHERE {where})")
 
 
 def fingerprints(spark, sf_dir, names=FINGERPRINTED, where=None):
@@ -165,7 +169,7 @@ def fingerprints(spark, sf_dir, names=FINGERPRINTED, where=None):
         rows = t.table(spark, sf_dir, name)
         if where and name in where:
             rows = rows.filter(where[name])
-        part = mf.table_fingerprint(rows, FINGERPRINT_KEYS[name]).select(
+        part = mf.table_fingerprint(rows, FINGERPRINTED[name].split()).select(
             F.lit(name).alias("item"), "row_count", "digest")
         result = part if result is None else result.unionByName(part)
     return result

@@ -94,12 +94,20 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return system.exists(target)
 
 
+def _move(spark: SparkSession, source: str, target: str) -> None:
+    system, path = _path(spark, target)
+    system.mkdirs(path.getParent())
+    if not system.rename(_path(spark, source)[1], path):
+        raise OSError(f"could not move {source} to {target}")
+
+
 def write_refuse_or_replace(tables: dict[str, DataFrame], folder: str, overwrite: bool = False,
                             fmt: str = "parquet") -> None:
     """Write several outputs together: refuse if any exists, else stage all and swap.
 
     Nothing is visible under ``folder`` until every table has been written; a
-    failed write leaves existing outputs untouched.
+    failed write leaves existing outputs untouched.  Old outputs are renamed aside, all new
+    ones published, and only then the old ones removed; if publishing fails they come back.
     """
     spark = next(iter(tables.values())).sparkSession
     existing = [name for name in tables if _exists(spark, f"{folder}/{name}")]
@@ -110,12 +118,20 @@ def write_refuse_or_replace(tables: dict[str, DataFrame], folder: str, overwrite
         for name, df in tables.items():
             writer = df.write.format(fmt)
             (writer.option("header", True) if fmt == "csv" else writer).save(f"{stage}/{name}")
-        for name in tables:
-            system, target = _path(spark, f"{folder}/{name}")
-            if system.exists(target):
-                system.delete(target, True)
-            if not system.rename(_path(spark, f"{stage}/{name}")[1], target):
-                raise OSError(f"could not publish {folder}/{name}")
+        aside, published = [], []
+        try:
+            for name in existing:
+                _move(spark, f"{folder}/{name}", f"{stage}/old/{name}")
+                aside.append(name)
+            for name in tables:
+                _move(spark, f"{stage}/{name}", f"{folder}/{name}")
+                published.append(name)
+        except Exception:
+            for name in published:
+                _move(spark, f"{folder}/{name}", f"{stage}/{name}")
+            for name in aside:
+                _move(spark, f"{stage}/old/{name}", f"{folder}/{name}")
+            raise
     finally:
         system, target = _path(spark, stage)
         system.delete(target, True)

@@ -93,7 +93,6 @@ def test_fingerprints(spark, tmp_path):
     (tmp_path / "f.txt").write_bytes(b"abc")
     row = mf.file_fingerprints(spark, str(tmp_path)).first()
     assert row.sha256.startswith("ba7816bf") and row.length == 3
-    assert mf.file_fingerprints(spark, str(tmp_path), limit=2).first().sha256 is None
 
 
 def test_event_metadata_json(spark):
