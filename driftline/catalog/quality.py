@@ -314,7 +314,11 @@ all_issues AS (
   FROM facts WHERE invalid_fields <> ''
   UNION ALL SELECT session_id, 'ERROR', 'PREINJECTION_DRY_TOO_SHORT', first_start, 'protocol'
   FROM facts WHERE first_start IS NOT NULL
-               AND (dry IS NULL OR dry < {C.minimum_pre_injection_dry_s * 1000})),
+               AND (dry IS NULL OR dry < {C.minimum_pre_injection_dry_s * 1000})
+  UNION ALL SELECT session_id, 'ERROR', 'UNKNOWN_SESSION', NULL, 'contract' FROM (
+    SELECT DISTINCT 'plan' AS source, session_id FROM plan
+    UNION ALL SELECT DISTINCT 'events', session_id FROM point_events)
+  WHERE session_id NOT IN (SELECT session_id FROM facts)),
 summary AS (
   SELECT session_id, count(*) FILTER (severity = 'ERROR') AS error_count,
          count(*) FILTER (severity = 'WARNING') AS warning_count,

@@ -20,6 +20,7 @@ class QualityGate:
     issues: DataFrame
     status: DataFrame
     report: DataFrame
+    rejects: DataFrame
 
 
 def quality_gate(sessions: DataFrame, samples: DataFrame, events: DataFrame,
@@ -27,12 +28,26 @@ def quality_gate(sessions: DataFrame, samples: DataFrame, events: DataFrame,
     """Facts, issue rows, status and report of every session.
 
     ``sessions`` carries ``session_order``; ``plan`` is optional and decides
-    whether protocol status can be PASS.
+    whether protocol status can be PASS.  Rows of unknown sessions and repeated sessions are
+    ``rejects``: they are contract errors in ``issues``, a repeated session fails, and the
+    rest of the gate judges the rows that belong to a session.
     """
+    rejects = materialise(qc.intake_rejects(sessions, samples, events, plan))
+    touched = {row.source for row in rejects.select("source").distinct().collect()}
+    if "sessions" in touched:
+        sessions = sessions.dropDuplicates(["session_id"])
+    known = sessions.select("session_id")
+    if "samples" in touched:
+        samples = samples.join(known, "session_id", "left_semi")
+    if "events" in touched:
+        events = events.join(known, "session_id", "left_semi")
+    if "plan" in touched:
+        plan = plan.join(known, "session_id", "left_semi").dropDuplicates(["session_id"])
     facts = materialise(qc.qc_facts(sessions, samples, events, config, plan))
-    issues = qc.qc_issues(facts, samples, events, sessions, config, plan is not None)
+    issues = qc.qc_issues(facts, samples, events, sessions, config, plan is not None).unionByName(
+        qc.reject_issues(rejects))
     status = qc.session_status(facts, issues, plan is not None)
-    return QualityGate(facts, issues, status, qc.qc_session_report(facts, status))
+    return QualityGate(facts, issues, status, qc.qc_session_report(facts, status), rejects)
 
 
 @dataclass(frozen=True)

@@ -100,7 +100,7 @@ def run_gate(spark, names, with_plan):
         spark.createDataFrame(plans, PLAN) if with_plan else None)
     codes = {name: set() for name in [*names, ""]}
     for issue in built.issues.collect():
-        codes[issue.session_id].add(issue.code)
+        codes.setdefault(issue.session_id, set()).add(issue.code)
     return {r.session_id: r for r in built.report.collect()}, codes
 
 
@@ -156,3 +156,26 @@ def test_without_plan_is_partial(spark):
     assert report["clean"].overall_status == "PARTIAL"
     assert report["clean"].protocol_status == "NOT_EVALUATED"
     assert codes[""] == {"PROTOCOL_MANIFEST_NOT_PROVIDED"}
+
+
+def test_rows_of_unknown_and_repeated_sessions_are_rejects(spark):
+    sess, samples_, events_, plan_ = CASES["clean"]
+    names = ["known", "twice", "twice"]
+    sessions = [tuple({**sess, "session_id": n}.values()) for n in names]
+    rows = [(i, n, *r, "", "") for n in ("known", "twice", "ghost") for i, r in enumerate(samples_)]
+    events = [(i, f"{n}-{i}", n, ts, kind, "{}") for n in ("known", "twice", "spirit")
+              for i, (ts, kind) in enumerate(events_)]
+    plans = [tuple({**plan_, "session_id": n}.values()) for n in ("known", "twice", "shade")]
+    built = quality_gate(
+        spark.createDataFrame(sessions, SESSION), spark.createDataFrame(rows, SAMPLE),
+        spark.createDataFrame(events, EVENT), CONFIG, spark.createDataFrame(plans, PLAN))
+    assert {(r.source, r.session_id, r.problem, r.row_count) for r in built.rejects.collect()} == {
+        ("sessions", "twice", "REPEATED_SESSION", 2),
+        ("samples", "ghost", "UNKNOWN_SESSION", len(samples_)),
+        ("events", "spirit", "UNKNOWN_SESSION", len(events_)),
+        ("plan", "shade", "UNKNOWN_SESSION", 1)}
+    assert {r.session_id: r.overall_status for r in built.report.collect()} == {
+        "known": "PASS", "twice": "FAIL"}
+    named = {(r.session_id, r.code) for r in built.issues.collect()}
+    assert named == {("twice", "REPEATED_SESSION"), ("ghost", "UNKNOWN_SESSION"),
+                     ("spirit", "UNKNOWN_SESSION"), ("shade", "UNKNOWN_SESSION")}
