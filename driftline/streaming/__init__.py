@@ -1 +1,12 @@
-"""Structured Streaming forms of the resampling and window operators."""
+"""Structured Streaming forms of the resampling and window operators.
+
+The package travels to the Python workers by value, so a stream runs from any folder.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+import driftline
+
+cloudpickle.register_pickle_by_value(sys.modules[driftline.__name__])

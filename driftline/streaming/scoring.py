@@ -19,6 +19,7 @@ from pyspark.sql.types import (
     BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType)
 
 from driftline.functions.ordinal import OrdinalModel
+from driftline.functions.rounding import TIE_GUARD
 
 OUTPUT_SCHEMA = StructType([
     StructField("session_id", StringType()), StructField("window_index", LongType()),
@@ -32,7 +33,10 @@ OUTPUT_SCHEMA = StructType([
 
 @dataclass(frozen=True)
 class ScoringSpec:
-    """Geometry in milliseconds; the window opens after the baseline period closes or before."""
+    """Geometry in milliseconds; the window opens after the baseline period closes or before.
+
+    A session without rows for ``idle`` is over and its state goes; later rows start anew.
+    """
 
     window: int
     stride: int
@@ -40,6 +44,7 @@ class ScoringSpec:
     minimum: int
     slope_unit_ms: int = 1000
     decimals: int = 6
+    idle: int = 3_600_000
 
 
 def _window_row(times, values, baseline, spec: ScoringSpec, model: OrdinalModel):
@@ -51,8 +56,9 @@ def _window_row(times, values, baseline, spec: ScoringSpec, model: OrdinalModel)
     slope = float(t @ (delta - delta.mean())) / s_tt if s_tt > 0 else None
     features = [float(delta.mean()), float(delta[-1]), slope, float(delta.var()),
                 float(delta.max() - delta.min())]
-    features = [None if f is None else
-                float(np.floor(f * 10 ** spec.decimals + 0.501) / 10 ** spec.decimals)
+    whole = 2.0 ** 53 / 10 ** spec.decimals
+    features = [f if f is None or not abs(f) < whole else
+                float(np.floor(f * 10 ** spec.decimals + 0.5 + TIE_GUARD) / 10 ** spec.decimals)
                 for f in features]
     if any(f is None for f in features):
         return features, None
@@ -71,57 +77,64 @@ class SessionScorer(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.progress = handle.getValueState(
-            "progress", "t_ref long, next_index long, baseline double")
+            "progress", "t_ref long, next_index long, baseline double, newest long")
         self.samples = handle.getListState("samples", "ts long, value double, ok boolean")
-        self.calibration = handle.getListState("calibration", "value double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows), ignore_index=True)
-        arrived = [(int(ts), float(v), bool(ok)) for ts, v, ok in zip(
-            frame["ts_ms"], frame["value"], frame["ok"])]
-        if self.progress.exists():
-            t_ref, index, baseline = self.progress.get()
-        else:
-            t_ref, index, baseline = min(ts for ts, _, _ in arrived), 0, None
-            self.handle.registerTimer(t_ref + self.spec.window)
-        if baseline is None:
-            early = [(v,) for ts, v, _ in arrived if t_ref <= ts < t_ref + self.spec.baseline]
-            if early:
-                self.calibration.appendList(early)
-        self.samples.appendList([s for s in arrived
-                                 if s[0] > t_ref + index * self.spec.stride])
-        self.progress.update((t_ref, index, baseline))
+        first, last = int(frame["ts_ms"].min()), int(frame["ts_ms"].max())
+        t_ref, index, baseline, newest = (
+            self.progress.get() if self.progress.exists() else (None, 0, None, last))
+        if t_ref is None:
+            # the anchor is final once the watermark has passed the earliest row
+            self.handle.registerTimer(first)
+        elif baseline is not None:
+            frame = frame[frame["ts_ms"] > t_ref + index * self.spec.stride]
+        if len(frame):
+            self.samples.appendList(list(zip(
+                frame["ts_ms"].astype(int).tolist(), frame["value"].astype(float).tolist(),
+                frame["ok"].astype(bool).tolist())))
+        self.progress.update((t_ref, index, baseline, max(newest, last)))
         yield pd.DataFrame(columns=OUTPUT_SCHEMA.names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        spec = self.spec
+        spec, output = self.spec, []
         watermark = timerValues.getCurrentWatermarkInMs()
-        t_ref, index, baseline = self.progress.get()
-        if baseline is None and watermark >= t_ref + spec.baseline:
-            readings = [row[0] for row in self.calibration.get()]
-            baseline = float(np.median(readings))
-            self.calibration.clear()
-        held = sorted(tuple(s) for s in self.samples.get())
-        times = np.array([s[0] for s in held], dtype="int64")
-        values = np.array([s[1] for s in held], dtype="float64")
-        oks = np.array([s[2] for s in held], dtype=bool)
-        output = []
-        newest = times[-1] if len(times) else t_ref
-        while baseline is not None and t_ref + spec.window + index * spec.stride <= min(
-                watermark, newest):
-            end = t_ref + spec.window + index * spec.stride
-            lo, hi = np.searchsorted(times, [end - spec.window, end], side="right")
-            valid = bool(hi - lo >= spec.minimum and oks[lo:hi].all())
-            features, predicted = ([None] * 5, None)
-            if valid:
-                features, predicted = _window_row(
-                    times[lo:hi], values[lo:hi], baseline, spec, self.model)
-            output.append((key[0], index, end, int(hi - lo), valid, baseline, *features, predicted))
-            index += 1
-        kept = [s for s in held if s[0] > t_ref + index * spec.stride]
-        self.samples.put(kept) if kept else self.samples.clear()
-        self.progress.update((t_ref, index, baseline))
-        self.handle.registerTimer(max(t_ref + spec.window + index * spec.stride, watermark + 1))
+        if self.progress.exists():
+            t_ref, index, baseline, newest = self.progress.get()
+            held = sorted(tuple(s) for s in self.samples.get())
+            times = np.array([s[0] for s in held], dtype="int64")
+            values = np.array([s[1] for s in held], dtype="float64")
+            oks = np.array([s[2] for s in held], dtype=bool)
+            if t_ref is None:
+                t_ref = int(times[0])
+            if baseline is None and watermark >= t_ref + spec.baseline:
+                baseline = float(np.median(values[times < t_ref + spec.baseline]))
+            while baseline is not None and t_ref + spec.window + index * spec.stride <= min(
+                    watermark, newest):
+                end = t_ref + spec.window + index * spec.stride
+                lo, hi = np.searchsorted(times, [end - spec.window, end], side="right")
+                valid = bool(hi - lo >= spec.minimum and oks[lo:hi].all())
+                features, predicted = ([None] * 5, None)
+                if valid:
+                    features, predicted = _window_row(
+                        times[lo:hi], values[lo:hi], baseline, spec, self.model)
+                output.append((key[0], index, end, int(hi - lo), valid, baseline, *features,
+                               predicted))
+                index += 1
+            if watermark >= newest + spec.idle:
+                self.samples.clear()
+                self.progress.clear()
+            else:
+                kept = held if baseline is None else [
+                    s for s in held if s[0] > t_ref + index * spec.stride]
+                self.samples.put(kept) if kept else self.samples.clear()
+                self.progress.update((t_ref, index, baseline, newest))
+                following = t_ref + (spec.baseline if baseline is None
+                                     else spec.window + index * spec.stride)
+                if following > newest and baseline is not None:
+                    following = newest + spec.idle
+                self.handle.registerTimer(max(following, watermark + 1))
         frame = pd.DataFrame(output, columns=OUTPUT_SCHEMA.names)
         frame["predicted_index"] = frame["predicted_index"].astype("Int32")
         yield frame
