@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -25,18 +28,38 @@ def schema_of(ddl: str) -> StructType:
     return StructType.fromDDL(ddl)
 
 
+#: Rows that a function of `map_batches` sees at a time, which bounds what it holds.
+SLICE_ROWS = 2500
+
+
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices; at the end of the task, freed memory goes back to the system.
+
+    Workers outlive their tasks, and what their allocators keep would add to what the next
+    stage's tasks and the executor itself need.
+    """
+    for batch in batches:
+        for low in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(low, SLICE_ROWS)
+        del batch
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_batches(frame: DataFrame, columns: list[str], function: Callable[..., Iterable[dict]],
                 ddl: str) -> DataFrame:
     """Run ``function(batches)`` in every task.
 
-    ``batches`` yields a tuple of Python lists, one per column, for each Arrow batch; the
+    ``batches`` yields a tuple of Python lists, one per column, for each slice of rows; the
     function yields dicts of output columns (lists or arrays).
     """
     schema = schema_of(ddl)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
-        rows = (tuple(c.to_pylist() for c in batch.columns) for batch in batches)
+        rows = (tuple(c.to_pylist() for c in batch.columns) for batch in slices(batches))
         for out in function(rows):
             arrays = [pa.array(out[f.name], type=f.type) for f in arrow]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from driftline.llm.common import held_out, map_batches
+from driftline.llm.common import held_out, map_batches, slices
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (1, 2, 3, 4)
@@ -45,7 +45,7 @@ SCRIPTS = sorted({name for _, name in SCRIPT_RANGES})
 RANGE_STARTS = np.array([start for start, _ in SCRIPT_RANGES])
 RANGE_SCRIPT = np.array([SCRIPTS.index(name) for _, name in SCRIPT_RANGES])
 #: Letters of a batch that are labelled together, and words that are scored together.
-GROUP_LETTERS, GROUP_WORDS = 8_000_000, 100_000
+GROUP_LETTERS, GROUP_WORDS = 4_000_000, 50_000
 
 
 @dataclass
@@ -251,7 +251,7 @@ def known_language(docs: DataFrame, model: LanguageModel, least_score: float = 1
     place = docs.columns.index(text_column)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(place).to_pylist()
             keep = [f[0] != "und" and f[1] >= least_score
                     for part in groups(texts) for f in label_texts(part, model)]
