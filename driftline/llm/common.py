@@ -28,8 +28,15 @@ def schema_of(ddl: str) -> StructType:
     return StructType.fromDDL(ddl)
 
 
-#: Rows that a function of `map_batches` sees at a time, which bounds what it holds.
-SLICE_ROWS = 2500
+#: Rows of whole texts that go to a Python worker at a time, which bounds what both sides hold.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to at most ``BATCH_ROWS`` rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,8 +46,8 @@ def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     stage's tasks and the executor itself need.
     """
     for batch in batches:
-        for low in range(0, batch.num_rows, SLICE_ROWS):
-            yield batch.slice(low, SLICE_ROWS)
+        for low in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(low, BATCH_ROWS)
         del batch
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -56,6 +63,7 @@ def map_batches(frame: DataFrame, columns: list[str], function: Callable[..., It
     function yields dicts of output columns (lists or arrays).
     """
     schema = schema_of(ddl)
+    small_batches(frame.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from driftline.llm.common import held_out, map_batches, slices
+from driftline.llm.common import held_out, map_batches, slices, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (1, 2, 3, 4)
@@ -45,7 +45,7 @@ SCRIPTS = sorted({name for _, name in SCRIPT_RANGES})
 RANGE_STARTS = np.array([start for start, _ in SCRIPT_RANGES])
 RANGE_SCRIPT = np.array([SCRIPTS.index(name) for _, name in SCRIPT_RANGES])
 #: Letters of a batch that are labelled together, and words that are scored together.
-GROUP_LETTERS, GROUP_WORDS = 4_000_000, 50_000
+GROUP_LETTERS, GROUP_WORDS = 1_500_000, 20_000
 
 
 @dataclass
@@ -249,6 +249,7 @@ def known_language(docs: DataFrame, model: LanguageModel, least_score: float = 1
     Rows pass through the tasks whole; nothing is joined or shuffled.
     """
     place = docs.columns.index(text_column)
+    small_batches(docs.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
