@@ -248,6 +248,18 @@ def ordinal_fit(matrix: DataFrame, features=contract.FEATURE_COLUMNS,
     return OrdinalFit(model, trace, converged)
 
 
+def guarded_fit(matrix: DataFrame, candidates: DataFrame, **settings) -> OrdinalFit:
+    """`ordinal_fit` on the fit partition; refuses what `fit_partition_guard` finds, and a fit
+    that does not converge."""
+    problems = [f"{r.problem} {r.detail}" for r in fit_partition_guard(matrix, candidates).collect()]
+    if problems:
+        raise ValueError(f"fit refused: {', '.join(sorted(problems))}")
+    fit = ordinal_fit(matrix.filter(F.col("dataset_partition") == FIT_PARTITION), **settings)
+    if not fit.converged:
+        raise ArithmeticError(f"fit did not converge in {len(fit.trace) - 1} iterations")
+    return fit
+
+
 def fit_trace(fit: OrdinalFit, validation: DataFrame, target: str = "risk_label_index") -> DataFrame:
     """Objective per iteration with the validation accuracy and macro F1 it reached.
 

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from driftline.operators import labels as lab, matrix as mx, qc, resample, stats, windows as w
+from driftline.operators import (
+    labels as lab, matrix as mx, metrics, model, qc, resample, stats, windows as w)
 from driftline.session import materialise
 
 
@@ -101,3 +102,21 @@ def experiment(samples: DataFrame, sessions: DataFrame, outcomes: DataFrame,
     features = w.feature_table(samples, sessions, spec)
     labelled = lab.label_windows(features, usable, boundary)
     return Experiment(features, malformed, labelled, mx.model_matrix(features, labelled))
+
+
+@dataclass(frozen=True)
+class Trained:
+    fit: model.OrdinalFit
+    predictions: DataFrame
+    metrics: DataFrame
+
+
+def train(run: Experiment) -> Trained:
+    """Guarded fit on the experiment's fit partition, scores of the matrix and metrics."""
+    matrix = materialise(run.matrix)
+    fit = model.guarded_fit(matrix, run.labels)
+    scored = materialise(model.ordinal_score(matrix, fit.model))
+    pairs = scored.select("dataset_partition", F.col("risk_label_index").cast("int").alias("truth"),
+                          F.col("predicted_index").alias("predicted"))
+    table = metrics.metric_table(pairs, ["dataset_partition"], len(fit.model.classes))
+    return Trained(fit, scored, table)

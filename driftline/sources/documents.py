@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from driftline.functions.ordinal import OrdinalModel
+
 MODEL_SCHEMA = T.StructType([
     T.StructField("model_artifact_version", T.StringType()),
     T.StructField("model_family", T.StringType()),
@@ -32,6 +36,32 @@ def parse_json_rows(df: DataFrame, body: str, schema: T.StructType, name: str =
     return df.withColumn(name, F.when(is_object, F.from_json(body, schema)))
 
 
+def write_model(spark: SparkSession, model: OrdinalModel, path: str) -> None:
+    """The model as one JSON document of ``MODEL_SCHEMA``; refuses to replace an existing one."""
+    document = (model.version, "ordinal_logistic", list(model.features), list(model.classes),
+                (list(model.mean), list(model.scale)), list(model.beta), list(model.theta))
+    spark.createDataFrame([document], MODEL_SCHEMA).coalesce(1).write.mode("errorifexists").json(path)
+
+
+def read_model(spark: SparkSession, path: str) -> OrdinalModel:
+    """A model from one document; refuses several, broken ones and sizes that do not fit."""
+    rows = scan_json_documents(spark, path, MODEL_SCHEMA).limit(2).collect()
+    if len(rows) != 1 or rows[0]["_corrupt_row"] is not None:
+        raise ValueError(f"{path} does not hold exactly one model document")
+    row = rows[0]
+    n, k = len(row.feature_order or []), len(row.class_order or [])
+    parts = {"mean": row.scaler and row.scaler.mean, "scale": row.scaler and row.scaler.scale,
+             "beta": row.beta, "theta": row.theta}
+    sizes = {"mean": n, "scale": n, "beta": n, "theta": k - 1}
+    wrong = [name for name, values in parts.items() if values is None or None in values
+             or len(values) != sizes[name] or not all(map(math.isfinite, values))]
+    if not n or k < 2 or wrong:
+        raise ValueError(f"{path} is no model: {', '.join(wrong) or 'no features or classes'}")
+    return OrdinalModel(**{name: tuple(values) for name, values in parts.items()},
+                        features=tuple(row.feature_order), classes=tuple(row.class_order),
+                        version=row.model_artifact_version)
+
+
 def model_rows(documents: DataFrame) -> DataFrame:
     """Model documents as rows with array parameters."""
     return documents.select(

@@ -137,3 +137,34 @@ def test_absent_classes_and_single_class(spark):
     assert len(rows) == 4 and rows[2].f1 == 0.0 and rows[3].support == 0
     single = me.quadratic_weighted_kappa(predictions(spark, [1, 1], [1, 1])).first()
     assert single.quadratic_weighted_kappa is None
+
+
+def test_guarded_fit_refuses_and_experiment_goes_on_to_metrics(spark, matrix):
+    from driftline.plans.pipelines import Experiment, train
+
+    candidates = matrix.select("dataset_partition")
+    trained = train(Experiment(None, None, candidates, matrix))
+    table = {r.dataset_partition: r for r in trained.metrics.collect()}
+    assert set(table) == {"development", "validation"} and table["development"].accuracy > 0.6
+    assert trained.predictions.count() == matrix.count()
+    held = candidates.unionByName(spark.createDataFrame([("final_test",)], "dataset_partition string"))
+    with pytest.raises(ValueError, match="FORBIDDEN_PARTITION"):
+        mo.guarded_fit(matrix, held)
+    with pytest.raises(ValueError, match="MISSING_CLASS"):
+        mo.guarded_fit(matrix.filter("risk_label_index < 3"), candidates)
+    with pytest.raises(ArithmeticError):
+        mo.guarded_fit(matrix, candidates, max_iter=1)
+
+
+def test_model_document_round_trip(spark, tmp_path):
+    from driftline.sources.documents import read_model, write_model
+
+    path = str(tmp_path / "model")
+    write_model(spark, ENGINEERING_MODEL, path)
+    assert read_model(spark, path) == ENGINEERING_MODEL
+    with pytest.raises(Exception, match="exists"):
+        write_model(spark, ENGINEERING_MODEL, path)
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "a.json").write_text('{"beta": [1.0], "theta": [0.5], "class_order": ["x", "y"]}')
+    with pytest.raises(ValueError):
+        read_model(spark, str(tmp_path / "bad"))
