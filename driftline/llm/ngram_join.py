@@ -5,7 +5,7 @@ link when ``percent`` per cent of the union lies in the intersection.  The resul
 document with the component that its links form.
 
 1. *Classes.* Documents with equal sets are one class, found by a signature of the set.
-2. *Rare first.* Each batch reports n-grams that repeat among its classes; the most frequent
+2. *Rare first.* Each task reports n-grams that repeat among runs of its classes; the most frequent
    (a table of bounded size) come last in the order of a set, all others by hash.  The order
    decides cost only: any order gives the same links.
 3. *Prefixes.* Two sets that link share an n-gram among the first ``n - ceil(t * n) + 1`` of
@@ -35,6 +35,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from driftline.llm.common import Scratch, bitmap, is_set, map_batches
 
+#: N-grams of a task that are counted together to find frequent ones.
+COUNTED_NGRAMS = 3_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -90,27 +92,47 @@ def least_overlap(size_a, size_b, percent: int):
     return -(-percent * (size_a + size_b) // (100 + percent))
 
 
+def repeated_ngrams(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that two or more of the sets hold, and how many do."""
+    grams, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
+    return grams[counts > 1].view(np.int64), counts[counts > 1]
+
+
 def first_pass(docs: DataFrame, width: int, id_column: str, text_column: str) -> DataFrame:
     """Rows of two kinds: per document id, size, node (signature) and parity bitmap of its set;
-    and per batch the n-grams that several of its classes hold, with the number of classes."""
+    and per run of ``COUNTED_NGRAMS`` the n-grams that several of its classes hold, with the
+    number of classes."""
     def scan(batches: Iterator) -> Iterator[dict]:
+        held: dict = {}
+        count = 0
         for ids, hashes, texts in batches:
             sets = [ngram_set(t, width) for t in texts]
             nodes = [signature(s) for s in sets]
-            every = np.concatenate([np.empty(0, np.uint64), *dict(zip(nodes, sets)).values()])
-            grams, counts = np.unique(every, return_counts=True)
-            grams, counts = grams[counts > 1].view(np.int64), counts[counts > 1]
-            more, rows = [None] * len(grams), [None] * len(ids)
-            yield {"doc_id": ids + more, "text_hash": hashes + more, "n_shingles": [len(s) for s in sets] + more,
-                   "node": nodes + more,
-                   "parity": [parity(s) if len(s) else None for s in sets] + more,
-                   "gram": rows + grams.tolist(), "n": rows + counts.tolist()}
+            none = [None] * len(ids)
+            yield {"doc_id": ids, "text_hash": hashes, "n_shingles": [len(s) for s in sets],
+                   "node": nodes, "parity": [parity(s) if len(s) else None for s in sets],
+                   "gram": none, "n": none}
+            for node, grams in zip(nodes, sets):
+                if node not in held:
+                    held[node] = grams
+                    count += len(grams)
+            if count >= COUNTED_NGRAMS:
+                yield counted(list(held.values()))
+                held, count = {}, 0
+        yield counted(list(held.values()))
+
+    def counted(sets: list[np.ndarray]) -> dict:
+        grams, counts = repeated_ngrams(sets)
+        none = [None] * len(grams)
+        return {"doc_id": none, "text_hash": none, "n_shingles": none, "node": none,
+                "parity": none, "gram": grams, "n": counts}
 
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("hash"),
                        F.col(text_column).alias("text"))
     return map_batches(rows, ["doc_id", "hash", "text"], scan, f"doc_id {kind}, "
-                       "text_hash bigint, n_shingles bigint, node bigint, parity binary, gram bigint, n bigint")
+                       "text_hash bigint, n_shingles bigint, node bigint, parity binary, "
+                       "gram bigint, n bigint")
 
 
 def frequent_ngrams(found: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -302,24 +324,13 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 def residual_pairs(shared: DataFrame, labels: DataFrame, known: DataFrame,
                    percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs of one n-gram whose components differ, that pass the filters and are new.
-
-    A prefix n-gram that no other class posts is in no other set that could link, so ``most``,
-    the size without those, bounds every overlap: classes with many n-grams of their own pair
-    with nothing.
-    """
-    own = Window.partitionBy("node")
-    size = size_in(F.col("at"))
-    members = shared.join(labels, "node", "left").select(
-        "gram", "node", "at", F.coalesce("label", "node").alias("label"),
-        (F.count("*").over(own) + F.ceil(size * percent / F.lit(100) - 1e-9) - 1).alias("most"))
-    members = scratch.table(members, "members")
+    """Pairs of one n-gram whose components differ, that pass the filters and are new."""
+    members = scratch.table(shared.join(labels, "node", "left").select(
+        "gram", "node", "at", F.coalesce("label", "node").alias("label")), "members")
     split = members.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     rest = scratch.table(members.join(split.where("low <> high").select("gram"), "gram"), "rest")
-    enough = F.least("x.most", "y.most") * (100 + percent) >= percent * (
-        size_in(F.col("x.at")) + size_in(F.col("y.at")))
     found = rest.alias("x").join(rest.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (
-        F.col("x.label") < F.col("y.label")) & enough & may_link("x", "y", percent))
+        F.col("x.label") < F.col("y.label")) & may_link("x", "y", percent))
     return found.select(*ordered_pair("x", "y")).distinct().join(known, ["a", "b"], "left_anti")
 
 
