@@ -109,7 +109,8 @@ def prefix_shingles(docs: DataFrame, windows: DataFrame, shingle: int, bits: int
     """Per window its rarest shingle over the whole corpus, ties to the smaller hash."""
     every = window_shingles(windows, shingle)
     vocabulary = every.select("shingle", "k").distinct()
-    marked = docs.select(F.col(text_column).alias("text"), bitmap(vocabulary.select("shingle"), bits).alias("marks"))
+    marks = bitmap(vocabulary.select("shingle"), bits)
+    marked = docs.select(F.col(text_column).alias("text"), marks.alias("marks"))
     # explode_outer: from an inner explode the optimizer derives a filter that scans twice
     seen = marked.select(F.explode_outer(scan(
         F.col("text"), F.col("marks"), used_lengths(every), bits)["found"]["shingle"])

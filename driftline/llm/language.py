@@ -58,6 +58,12 @@ class LanguageModel:
     switch: float
 
 
+def words_of(text: str | None) -> list[str]:
+    """Lower-cased runs of letters; numerals that count as word characters alone are no words."""
+    return [w for w in WORD.findall((text or "").lower())
+            if w.isalpha() or any(map(str.isalpha, w))]
+
+
 def letters_of(words: list[str]) -> np.ndarray:
     """Code points of the words, each after a space, and a last space."""
     return np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le", "surrogatepass"),
@@ -149,7 +155,7 @@ def groups(texts: list[str | None]) -> Iterator[list[str | None]]:
 
 def label_texts(texts: list[str | None], model: LanguageModel) -> list[tuple]:
     """(language, score, spans) per text; a span is (language, first word, words)."""
-    found = [WORD.findall((t or "").lower()) for t in texts]
+    found = [words_of(t) for t in texts]
     order = sorted(range(len(texts)), key=lambda i: -len(found[i]))
     order = [i for i in order if found[i]] if model.languages else []
     out: list[tuple] = [("und", 0.0, [])] * len(texts)
@@ -200,7 +206,7 @@ def fit_languages(docs: DataFrame, train_rows: int = 10_000, slots: int = 1 << 1
         counts: dict[str, np.ndarray] = {}
         for languages, texts in batches:
             for language, text in zip(languages, texts):
-                words = WORD.findall(text.lower())
+                words = words_of(text)
                 if not words:
                     continue
                 table = counts.setdefault(language, np.zeros(buckets, np.int64))

@@ -16,7 +16,6 @@ once from left to right whatever its length.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Callable
 

@@ -66,7 +66,7 @@ def test_held_out_accuracy_spans_and_edge_cases(spark):
     english, russian = rows[0], next(r for r in rows if r[2] == "ru")
     spanish = next(r for r in rows if r[2] == "es" and len(r[1].split()) > 20)
     mixed = f"{spanish[1]} что. что стст {russian[1]}"
-    odd = [(1, None, None, "x"), (2, "", "en", "x"), (3, "12 -- 3.4", "en", "x"),
+    odd = [(1, None, None, "x"), (2, "", "en", "x"), (3, "12 -- 3.4 ½ ²", "en", "x"),
            (4, english[1] + " " + "the " * 100_000, "en", "x"), (5, mixed, None, "x"),
            (5, mixed, None, "x"), (None, spanish[1], None, None)]
     got = identify(spark.createDataFrame(odd, DOCS), model).toPandas()
