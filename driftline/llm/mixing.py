@@ -152,12 +152,89 @@ def mixed_sizes(documents: DataFrame, blocks: DataFrame) -> DataFrame:
         F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+#: A round takes the documents of at most ``cap`` words from one place in the order to another.
+ROUNDS = ("array<struct<cap: bigint, low: struct<piece: bigint, order: bigint>, "
+          "high: struct<piece: bigint, order: bigint>>>")
+FIRST = (-1, 0)
+
+
+def place_of(order: Column) -> Column:
+    """Place of an order value as `cumulative` has it."""
+    return F.struct(piece_of(order).cast("long").alias("piece"), order.alias("order"))
+
+
+def taken_in(rounds: Column, size: Column, order: Column) -> Column:
+    place = place_of(order)
+    return F.exists(rounds, lambda r: (size <= r["cap"]) & (place >= r["low"]) & (
+        place <= r["high"]))
+
+
+def last_pass(rows: DataFrame, rests: dict[int, int], scratch: Scratch) -> dict[int, list[tuple]]:
+    """Per source the rounds that draw whole documents (s, order, size) worth ``rests`` words.
+
+    A round goes through the documents that still fit, in their order, up to the first that does
+    not fit behind the others, and takes these or, if it alone is larger, that one.  What is
+    left halves at least, so a source has at most as many rounds as its rest has bits.  When
+    nothing fits, the smallest document left is taken if the rest is then nearer.
+    """
+    rounds, left = {s: [] for s in rests}, dict(rests)
+
+    def free(sources: list[int]) -> DataFrame:
+        state = scratch.table(rows.sparkSession.createDataFrame(
+            [(s, left[s], rounds[s]) for s in sources],
+            f"s int, left long, rounds {ROUNDS}").coalesce(1), "state")
+        return rows.join(state, "s").where(~taken_in(
+            F.col("rounds"), F.col("size"), F.col("order"))).drop("rounds")
+
+    place = [piece_of(F.col("order")).cast("long").alias("piece"), F.col("order")]
+    active = sorted(s for s in left if left[s] > 0)
+    while active:
+        upto = F.col("before") + F.col("size")
+        found = cumulative(free(active).where("size <= left"), ["s"], F.col("order"),
+                           F.col("size")).groupBy("s").agg(
+            F.max(F.when(upto <= F.col("left"), F.struct(*place, upto.alias("words")))).alias(
+                "fits"),
+            F.min(F.when(upto > F.col("left"), F.struct(*place, "size"))).alias("over")).collect()
+        active = []
+        for s, fits, over in found:
+            words = fits.words if fits else 0
+            if over is None or 2 * words >= left[s]:
+                rounds[s].append((left[s], FIRST, (fits.piece, fits.order)))
+            else:
+                rounds[s].append((left[s], *[(over.piece, over.order)] * 2))
+                words = over["size"]
+            left[s] -= words
+            if over is not None and left[s] > 0:
+                active.append(s)
+        active.sort()
+    short = sorted(s for s in left if left[s] > 0)
+    if short:
+        for s, least in free(short).groupBy("s").agg(F.min(F.struct("size", *place))).collect():
+            if least["size"] < 2 * left[s]:
+                rounds[s].append((least["size"], *[(least.piece, least.order)] * 2))
+    return rounds
+
+
+def told_apart(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Rows whose ``order`` is in ``repeated`` (column _order) get orders of their own."""
+    marked = rows.join(repeated, F.col("order") == F.col("_order"), "left")
+    same = Window.partitionBy("order").orderBy(F.to_json("doc"))
+    again = marked.where("_order is not null").withColumn("copy", F.row_number().over(same))
+    return marked.where("_order is null").drop("_order").unionByName(again.withColumn(
+        "order", F.xxhash64("order", "copy")).drop("_order", "copy"))
+
+
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), epochs: float = 1.5,
                   most_epochs: float = 2.0, seed: int = 11) -> DataFrame:
     """The mix in whole documents: rows repeat as often as they are drawn, columns stay.
 
-    A source's last pass draws documents in a hash order until its target is nearest, which is
-    a threshold on the hash: the texts are filtered where they are read and never shuffled.
+    A source's last pass draws documents in a hash order and goes on past those that do not fit
+    (`last_pass`), so a source misses its target by at most half of its smallest document that
+    is left out.  The draw is a short list of hash ranges and size limits per source: the texts
+    are filtered where they are read and never shuffled, unless rows repeat.
+
+    Documents are neither cut into blocks nor dealt to shards, so this form has no splitting
+    tree; `mix` has both.
     """
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(
@@ -165,14 +242,19 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), epochs:
         word_count(F.col("text")).alias("size"),
         F.xxhash64(F.lit(seed), "doc_id", "source", "text").alias("order"))
     measured = scratch.table(rows.drop("doc"), "rows")
-    plan = source_plan(measured, weights, epochs, most_epochs)
-    part = cumulative(with_plan(measured, plan).where("rest > 0"), ["s"], F.col("order"),
-                      F.col("size"))
-    place = F.struct(piece_of(F.col("order")).alias("piece"), "order")
-    last = (part.where(F.col("before") + F.col("size") / 2 <= F.col("rest"))
-            .groupBy("s").agg(F.max(place).alias("last")))
-    plan = scratch.result(plan.join(last, "s", "left"), "mix-plan")
-    again = F.coalesce((F.col("rest") > 0) & (place <= F.col("last")), F.lit(False))
+    repeated = measured.where("size > 0").groupBy(F.col("order").alias("_order")).count().where(
+        "count > 1").drop("count")
+    if not repeated.isEmpty():
+        rows = told_apart(rows, written(repeated, "mix-repeated"))
+        measured = scratch.table(rows.drop("doc"), "rows")
+    plan = scratch.table(source_plan(measured, weights, epochs, most_epochs), "plan")
+    rests = {r.s: r.rest for r in with_plan(plan.select("source"), plan).where("rest > 0")
+             .select("s", "rest").collect()}
+    drawn = last_pass(with_plan(measured, plan).where("rest > 0 and size > 0")
+                      .select("s", "order", "size"), rests, scratch)
+    rounds = docs.sparkSession.createDataFrame(list(drawn.items()), f"s int, rounds {ROUNDS}")
+    plan = scratch.result(plan.join(rounds, "s", "left").coalesce(1), "mix-plan")
+    again = F.coalesce(taken_in(F.col("rounds"), F.col("size"), F.col("order")), F.lit(False))
     times = F.when(F.col("size") > 0, F.col("passes") + again.cast("long")).otherwise(0)
     return (with_plan(rows, plan).withColumn("times", times).where("times > 0")
             .withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))

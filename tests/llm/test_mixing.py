@@ -76,3 +76,18 @@ def test_whole_documents(docs):
 def test_empty_table(docs):
     assert mixed_sizes(*mix(docs.limit(0))).collect() == []
     assert mix_documents(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_whole_documents_go_on_past_one_that_does_not_fit(spark, seed):
+    rows = [(i, words(100), "a", None) for i in range(1000)] + [(1000, words(300_000), "a", None)]
+    rows += [(2000 + i, words(280), "b", None) for i in range(1000)]
+    rows += [(3000 + i, words(size), "b", None) for i, size in enumerate([100, 32, 16, 8, 4])]
+    rows += [(4000, "x y z", "c", None)] * 5
+    targets = (140_000, 540_153, 22)  # they add up to all words
+    out = mix_documents(spark.createDataFrame(rows, DOCS), weights=targets, epochs=1.0, seed=seed)
+    taken = dict(out.selectExpr("source", "size(split(text, ' ')) n").groupBy("source")
+                 .sum("n").collect())
+    assert taken["a"] == 100_000  # all but the long one, wherever it stands in the order
+    assert abs(taken["b"] - targets[1]) <= 140
+    assert taken["c"] == 21  # repeated rows are drawn one by one
