@@ -4,10 +4,13 @@ The vocabulary of word pieces becomes a trie.  Each state has a failure link to
 remains after the longest pieces of its string have been taken off, and the number of pieces
 taken off on the way.  Reading a word follows goto links, and failure links where there is none,
 adding up those numbers: greedy longest-match counts in time linear in the word, without
-building the pieces.  A word that the pieces cannot cover is one unknown token.
+building the pieces.
 
-Pieces that begin a word carry a mark in front; others continue one.  Words are runs of characters
-that are not white space.  Counts of words that repeat are kept in a cache of bounded size.
+Words are runs of characters that are not white space; a word is read with a mark in front, which
+is a character like any other: pieces may begin with it, and the bare mark is a piece after which
+the word is continued.  A character that no piece covers counts as its byte pieces (one per byte
+of its UTF-8 form); without byte pieces, its word is one unknown token.  Counts of words that
+repeat are kept in a cache of bounded size.
 
 Edge cases: a null or wordless text has no tokens; a word of any length is read in linear time; an
 empty vocabulary makes every word unknown; extra columns are ignored; repeated rows give repeated
@@ -29,19 +32,33 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 CACHED_WORDS = 500_000
 
 
+def byte_length(character: str) -> int:
+    return len(character.encode("utf-8", "surrogatepass"))
+
+
 class LongestMatch:
-    """Trie over pieces; ``fail[s]`` and ``popped[s]`` as described above (-1: no match)."""
+    """Trie over pieces; ``fail[s]`` and ``popped[s]`` as described above (-1: no match).
+
+    ``mark`` is put in front of every word.  With ``spelled``, a character that no piece covers
+    counts as its bytes.
+    """
 
-    def __init__(self, starts: Iterable[str], continuations: Iterable[str]) -> None:
+    def __init__(self, starts: Iterable[str], continuations: Iterable[str], mark: str = "",
+                 spelled: bool = False) -> None:
+        self.mark, self.spelled = mark, spelled
         self.goto: list[dict[str, int]] = [{}, {}]  # state 0: word start, state 1: inside
-        self.fail, self.popped, self.ends = [-1, -1], [0, 0], [False, False]
+        self.fail, self.popped, self.ends = [-1, -1], [0, 0], [0, 0]  # ends: tokens of the piece
         for root, pieces in ((0, starts), (1, continuations)):
+            pieces = [p for p in pieces if p]
             for piece in pieces:
-                if piece:
-                    self.insert(root, piece)
+                self.insert(root, piece, 1)
+            if spelled:
+                for character in set(mark).union(*pieces):
+                    if not self.ends[self.goto[root].get(character, 0)]:
+                        self.insert(root, character, byte_length(character))
         self.link()
 
-    def insert(self, state: int, piece: str) -> None:
+    def insert(self, state: int, piece: str, tokens: int) -> None:
         for character in piece:
             following = self.goto[state].get(character)
             if following is None:
@@ -49,9 +66,9 @@ class LongestMatch:
                 self.goto.append({})
                 self.fail.append(-1)
                 self.popped.append(0)
-                self.ends.append(False)
+                self.ends.append(0)
             state = following
-        self.ends[state] = True
+        self.ends[state] = tokens
 
     def link(self) -> None:
         queue = deque([0, 1])
@@ -59,7 +76,7 @@ class LongestMatch:
             state = queue.popleft()
             for character, following in self.goto[state].items():
                 if self.ends[following]:
-                    self.fail[following], self.popped[following] = 1, 1
+                    self.fail[following], self.popped[following] = 1, self.ends[following]
                 else:
                     back, taken = self.fail[state], self.popped[state]
                     while back >= 0 and character not in self.goto[back]:
@@ -74,13 +91,17 @@ class LongestMatch:
         """Pieces of a word by greedy longest match; 0 if they do not cover it."""
         goto, fail, popped = self.goto, self.fail, self.popped
         state = total = 0
-        for character in word:
+        for character in self.mark + word:
             while character not in goto[state]:
+                if state == 1 and self.spelled:
+                    total += byte_length(character)
+                    break
                 total += popped[state]
                 state = fail[state]
                 if state < 0:
                     return 0
-            state = goto[state][character]
+            else:
+                state = goto[state][character]
         while state != 1:
             total += popped[state]
             state = fail[state]
@@ -91,14 +112,15 @@ class LongestMatch:
 
 @cache
 def automaton(path: str, mark: str = "▁") -> LongestMatch:
-    """Automaton over the pieces of a public vocabulary file; control and byte pieces are left out."""
+    """Automaton over the pieces of a public vocabulary file; control pieces are left out."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (
+    ids = range(model.get_piece_size())
+    pieces = [model.id_to_piece(i) for i in ids if not (
         model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-    return LongestMatch([p[1:] for p in pieces if p.startswith(mark)],
-                        [p for p in pieces if mark not in p])
+    return LongestMatch([p for p in pieces if p.startswith(mark)], pieces, mark,
+                        sum(map(model.is_byte, ids)) == 256)
 
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, build=automaton,

@@ -47,3 +47,31 @@ def test_no_vocabulary_makes_every_word_unknown(spark):
     docs = spark.createDataFrame([(1, "a b", None)], DOCS)
     row = token_counts(docs, build=lambda path: LongestMatch([], [])).first()
     assert (row.n_words, row.n_tokens, row.n_unknown) == (2, 2, 2)
+
+
+def test_whole_vocabulary_on_digits_and_scripts_without_marked_pieces(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(
+        model_file="/opt/tokenizers/piece_bpe_32k.model")
+    pieces = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not (
+        model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
+    longest = max(map(len, pieces))
+
+    def plain(word):
+        word, count, at = "▁" + word, 0, 0
+        while at < len(word):
+            size = max((n for n in range(1, longest + 1) if word[at:at + n] in pieces), default=0)
+            count += 1 if size else len(word[at].encode())
+            at += size or 1
+        return count
+
+    rng = random.Random(5)
+    texts = ["2024 4111111111111111 3.14", "中文" * 500, "日本語のテキスト 한국어 ไทย हिन्दी", "Ελλάδα שלום привет",
+             "hello\U0001F600world naïve\U00020000", "a▁b ▁▁ ▁", "͸", "x中1é͸▁y"]
+    texts += [" ".join("".join(rng.choice("ab▁1中文字é͸\U0001F600the") for _ in range(
+        rng.randint(1, 12))) for _ in range(20)) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], DOCS)
+    for row, text in zip(token_counts(docs).sort("doc_id").collect(), texts):
+        assert (row.n_tokens, row.n_unknown) == (sum(map(plain, text.split())), 0), text
+    assert token_counts(docs).where("doc_id = 1").first().n_tokens == 1001
