@@ -8,7 +8,7 @@ bounded by ``(W + B) * rate`` readings, not by the session's length.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Iterator
 
 import numpy as np
@@ -35,7 +35,9 @@ OUTPUT_SCHEMA = StructType([
 class ScoringSpec:
     """Geometry in milliseconds; the window opens after the baseline period closes or before.
 
-    A session without rows for ``idle`` is over and its state goes; later rows start anew.
+    A session without rows for ``idle`` is over and its state goes; later rows start anew.  So
+    ``idle`` has no default: it must exceed every gap within a session, and is at least the
+    baseline and a window.
     """
 
     window: int
@@ -44,7 +46,11 @@ class ScoringSpec:
     minimum: int
     slope_unit_ms: int = 1000
     decimals: int = 6
-    idle: int = 3_600_000
+    idle: int = field(kw_only=True)
+
+    def __post_init__(self) -> None:
+        if self.idle < self.baseline + self.window:
+            raise ValueError("idle is shorter than the baseline period and a window")
 
 
 def _window_row(times, values, baseline, spec: ScoringSpec, model: OrdinalModel):
@@ -88,8 +94,13 @@ class SessionScorer(StatefulProcessor):
         if t_ref is None:
             # the anchor is final once the watermark has passed the earliest row
             self.handle.registerTimer(first)
-        elif baseline is not None:
-            frame = frame[frame["ts_ms"] > t_ref + index * self.spec.stride]
+        else:
+            # the timer set last may be that of the idle time, which these rows put off
+            self.handle.registerTimer(t_ref + (
+                self.spec.baseline if baseline is None
+                else self.spec.window + index * self.spec.stride))
+            if baseline is not None:
+                frame = frame[frame["ts_ms"] > t_ref + index * self.spec.stride]
         if len(frame):
             self.samples.appendList(list(zip(
                 frame["ts_ms"].astype(int).tolist(), frame["value"].astype(float).tolist(),

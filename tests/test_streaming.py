@@ -43,3 +43,22 @@ def test_borders_of_batches_do_not_show(spark, tmp_path, batches):
     cut = scored(spark, str(tmp_path / "cut"), [*given, close, close])
     assert cut == once
     assert len(once) >= 5 and once[0][2] == (1020 + min(t for _, t in sum(given, []))) * 1000
+
+
+def test_gaps_of_the_registered_geometry_do_not_end_a_session(spark, tmp_path, monkeypatch):
+    from driftline.catalog.live import SESSION_SPEC
+
+    monkeypatch.setitem(globals(), "SPEC", SESSION_SPEC)
+    day, gap = 86_400, (3, 4, 8, 9, 10)
+    days = [[(s, d * day + h * 3600 + len(s)) for s in ("a", "bb") for h in range(0, 24, 6)]
+            for d in range(16) if d not in gap]
+    close = [("z", 20 * day)]
+    once = scored(spark, str(tmp_path / "once"), [sum(days, []), close, close])
+    cut = scored(spark, str(tmp_path / "cut"), [*days, close, close])
+    assert cut == once
+    assert [r[:2] for r in once] == [(s, i) for s in ("a", "bb") for i in range(9)]
+
+
+def test_idle_covers_baseline_and_window():
+    with pytest.raises(ValueError):
+        scoring.ScoringSpec(window=20, stride=10, baseline=10, minimum=1, idle=29)
