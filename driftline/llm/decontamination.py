@@ -51,7 +51,8 @@ def shingle_at(hashes: Column, at: Column, length: int) -> Column:
 
 
 def word_hashes(words: Column) -> Column:
-    return F.transform(words, lambda w: F.xxhash64(w))
+    """Hashes of words in lower case, each by itself: in a text, its neighbours change a sigma."""
+    return F.transform(words, lambda w: F.xxhash64(F.lower(w)))
 
 
 def positions(words: Column, length: int) -> Column:
@@ -81,7 +82,7 @@ def window_shingles(windows: DataFrame, shingle: int) -> DataFrame:
     parts = [windows.where(fits).select(
         "window", "items", F.lit(k).alias("k"),
         F.explode(let(
-            word_hashes(F.transform("window", F.lower)),
+            word_hashes(F.col("window")),
             lambda h: at_positions(h, positions(h, k), k))).alias("s"))
         .select("window", "items", "k", F.col("s.shingle"), F.col("s.at").alias("offset"))
         for k, fits in [(shingle, F.size("window") >= shingle)]
@@ -99,7 +100,7 @@ def scan(text: Column, field: Column, lengths: list[int], bits: int) -> Column:
             marks, shingle_at(hashes, i, k), bits)), k) for k in lengths]
         return F.concat(*parts) if len(parts) > 1 else parts[0]
 
-    return let(word_hashes(split_words(F.lower(text))), lambda hashes: let(
+    return let(word_hashes(split_words(text)), lambda hashes: let(
         field, lambda marks: F.struct(F.size(hashes).cast("long").alias("n_words"),
                                       found(hashes, marks).alias("found"))))
 

@@ -66,3 +66,12 @@ def test_hot_item_in_a_third_of_the_rows(spark):
     rows = run(spark, docs, [(5, item), (6, item)])
     assert rows == brute(docs, [(5, item), (6, item)], 10)
     assert sum(r[5] for r in rows) == 200
+
+
+def test_capital_sigma_before_a_break(spark):
+    item = "ΟΔΟΣ.ΑΒ ένα δύο ΤΡΙΣ'Α τέσσερα πέντε έξι ΕΠΤΑΣ:Β"
+    docs = [(1, f"αρχή {item} τέλος", None), (2, item.replace(".", " "), None), (3, "ΟΔΟΣ", None)]
+    items = [(1, item), (2, "ΟΔΟΣ")]
+    rows = run(spark, docs, items, window=4)
+    assert rows == brute(docs, items, 4)
+    assert all(r[5] for r in rows)
