@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftline.llm import (chat, decontamination, graph_search, language, mixing, ngram_join, pii,
-                           quality, sharding, tokens)
+from driftline.llm import (chat, decontamination, graph_search, language, manifest, mixing, ngram_join,
+                           pii, quality, sharding, tokens)
 from driftline.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_search.nearest(read_table(spark, sf_dir, "embeddings"),
                                 F.col("vec_id") % 20 == 0)
+
+
+@query
+def op13_dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.tamper_check(read_table(spark, sf_dir, "documents"))
+
+
+SQL["op13_dataset_manifest"] = manifest.MANIFEST_SQL
