@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftline.llm import (chat, decontamination, graph_search, language, manifest, mixing, ngram_join,
-                           pii, quality, sharding, tokens)
+                           pii, quality, repair, sharding, tokens)
 from driftline.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,8 @@ def op13_dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op13_dataset_manifest"] = manifest.MANIFEST_SQL
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_of_damage(read_table(spark, sf_dir, "conversations"))
