@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftline.llm import (chat, decontamination, graph_search, language, manifest, mixing, ngram_join,
-                           pii, quality, repair, sharding, tokens)
+                           pii, quality, repair, repeats, sharding, tokens)
 from driftline.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,11 @@ SQL["op13_dataset_manifest"] = manifest.MANIFEST_SQL
 @query
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_of_damage(read_table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_digest(repeats.repeated_passages(read_table(spark, sf_dir, "documents")))
+
+
+SQL["op12_suffix_dedup"] = repeats.REPEATS_SQL
