@@ -106,3 +106,6 @@ def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op12_suffix_dedup"] = repeats.REPEATS_SQL
+
+
+SQL["op11_conversation_repair"] = repair.REPAIR_SQL

@@ -373,3 +373,100 @@ def damaged(turns: DataFrame) -> DataFrame:
 
 def repair_of_damage(turns: DataFrame) -> DataFrame:
     return repair(damaged(turns), known=turns)
+
+
+#: Damage, faults, the cheapest audits row by row over the four states, and the repaired lines.
+REPAIR_SQL = """
+WITH RECURSIVE turns AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(4294967295, list_reduce(
+           list_prepend(4294967295::bigint, list_transform(string_split(
+             coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''),
+             lambda c: ascii(c)::bigint)),
+           lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+             lambda y, k: xor(y >> 1, 3988292384 * (y & 1))))) % 20 AS mark
+  FROM conversations),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN mark = 4 THEN 'user' ELSE role END AS role,
+         CASE mark WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g')
+                   ELSE text END AS text,
+         unnest(CASE WHEN mark = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM turns WHERE mark <> 0),
+placed AS (
+  SELECT conv_id, turn, role, text, substr(role, 1, 1) AS initial,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i
+  FROM damaged),
+faults AS (
+  SELECT *, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+         NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') AS cut,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM placed),
+rows_ AS (
+  SELECT conv_id, turn, i, role, text, initial, blank, NOT blank AND again AS duplicate,
+         NOT blank AND NOT again AND cut AS truncated,
+         coalesce(before || initial NOT IN ('su', 'ua', 'au'), false) AS illegal
+  FROM faults),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+         count(*) FILTER (truncated) AS truncated, count(*) FILTER (illegal) AS illegal,
+         count(*) AS n
+  FROM rows_ GROUP BY conv_id),
+steps(state, inserted, symbol, after) AS (VALUES
+  (0, '', 's', 1), (0, '', 'u', 2), (0, 'I', 'a', 3), (0, 'II', 'u', 2), (0, 'III', 'a', 3),
+  (1, '', 'u', 2), (1, 'I', 'a', 3), (1, 'II', 'u', 2), (1, 'III', 'a', 3),
+  (2, '', 'a', 3), (2, 'I', 'u', 2), (2, 'II', 'a', 3), (2, 'III', 'u', 2),
+  (3, '', 'u', 2), (3, 'I', 'a', 3), (3, 'II', 'u', 2), (3, 'III', 'a', 3)),
+moves AS (
+  SELECT state, after, inserted, symbol, letter, 2 * length(inserted) + extra AS cost
+  FROM steps, (VALUES ('K', 0), ('R', 2)) AS l(letter, extra)
+  WHERE letter = 'K' OR symbol <> 's'
+  UNION ALL SELECT unnest([0, 1, 2, 3]), unnest([0, 1, 2, 3]), '', NULL, 'D', 3),
+walk AS (
+  SELECT conv_id, 0 AS i, 0 AS state, {'cost': 0, 'audit': ''} AS best FROM counts
+  UNION ALL
+  SELECT w.conv_id, r.i, m.after, min({
+           'cost': w.best.cost + m.cost + CASE WHEN r.truncated AND m.letter <> 'D' THEN 1
+                                               ELSE 0 END,
+           'audit': w.best.audit || m.inserted || m.letter})
+  FROM walk w JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1
+  JOIN moves m ON m.state = w.state AND (m.letter = 'D' OR NOT (r.blank OR r.duplicate))
+       AND (m.letter <> 'K' OR m.symbol = r.initial)
+  GROUP BY w.conv_id, r.i, m.after),
+audits AS (
+  SELECT w.conv_id, min({'cost': w.best.cost + e.cost, 'audit': w.best.audit || e.tail}) AS best
+  FROM walk w JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.i
+  JOIN (VALUES (0, 0, ''), (1, 4, 'II'), (2, 2, 'I'), (3, 0, '')) AS e(state, cost, tail)
+       ON e.state = w.state
+  GROUP BY w.conv_id),
+letters AS (
+  SELECT conv_id, unnest(range(1, length(best.audit) + 1)) AS pos,
+         unnest(string_split(best.audit, '')) AS letter
+  FROM audits WHERE best.audit <> ''),
+numbered AS (
+  SELECT conv_id, pos, letter,
+         count(*) FILTER (letter <> 'I') OVER (PARTITION BY conv_id ORDER BY pos) AS i,
+         count(*) FILTER (letter <> 'D') OVER (PARTITION BY conv_id ORDER BY pos) AS o
+  FROM letters),
+outputs AS (
+  SELECT n.conv_id, n.o, n.letter, r.role, r.text,
+         max(CASE WHEN n.o = 1 AND n.letter = 'K' AND r.initial = 's' THEN 1 ELSE 0 END)
+           OVER (PARTITION BY n.conv_id) AS shift
+  FROM numbered n LEFT JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM n.conv_id AND r.i = n.i
+       AND n.letter <> 'I'
+  WHERE n.letter <> 'D'),
+lines AS (
+  SELECT conv_id, string_agg(
+           CASE WHEN letter = 'K' THEN role WHEN (o - shift) % 2 = 1 THEN 'user'
+                ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY o) AS said
+  FROM outputs GROUP BY conv_id)
+SELECT k.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank,
+       coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated,
+       coalesce(c.illegal, 0) AS illegal, coalesce(a.best.cost, 0)::bigint AS cost,
+       coalesce(a.best.audit, '') AS audit, sha256(coalesce(l.said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) k
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM k.conv_id
+LEFT JOIN audits a ON a.conv_id IS NOT DISTINCT FROM k.conv_id
+LEFT JOIN lines l ON l.conv_id IS NOT DISTINCT FROM k.conv_id
+"""
