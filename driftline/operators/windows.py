@@ -186,6 +186,15 @@ def merge_panes(panes: DataFrame, spine: DataFrame, spec: WindowSpec, names: lis
              F.sort_array(F.collect_list("_pane")).alias("_panes"))
         .filter(F.col("_attributes").isNotNull())
     )
+    return statistics_of_panes(merged, [session, "window_index"], attributes, spec, names)
+
+
+def statistics_of_panes(merged: DataFrame, keep: list[str], attributes: list[str],
+                        spec: WindowSpec, names: list[str]) -> DataFrame:
+    """Window statistics from ``_panes``, an array of pane structs in time order.
+
+    Rows have the columns ``keep``, a struct ``_attributes`` with ``attributes`` and ``_panes``.
+    """
     panes_ = F.col("_panes")
 
     def total(field):
@@ -200,7 +209,7 @@ def merge_panes(panes: DataFrame, spine: DataFrame, spec: WindowSpec, names: lis
         F.slice(panes_, 2, F.greatest(F.size(panes_) - 1, F.lit(0))),
         lambda a, b: b["first_ts"] - a["last_ts"])
     staged = merged.select(
-        session, "window_index", "_attributes.*", "_panes",
+        *keep, "_attributes.*", "_panes",
         total("n").alias("_n"), total("repeats").alias("repeats"),
         total("bad").alias("invalid_count"),
         (total("off") + F.size(F.filter(
@@ -238,10 +247,9 @@ def merge_panes(panes: DataFrame, spine: DataFrame, spec: WindowSpec, names: lis
             (extreme(F.array_max, f"{name}_max") - extreme(F.array_min, f"{name}_min")
              ).alias(f"{name}_range"),
         ]
-    keep = [session, "window_index", *attributes, F.col("_n").alias("sample_count"),
-            "repeats", "interval_faults", "invalid_count",
-            *[f"{name}_mean" for name in names]]
-    return staged.select(*keep, *columns)
+    return staged.select(
+        *keep, *attributes, F.col("_n").alias("sample_count"), "repeats", "interval_faults",
+        "invalid_count", *[f"{name}_mean" for name in names], *columns)
 
 
 def window_statistics(samples: DataFrame, sessions: DataFrame, spec: WindowSpec,

@@ -1,5 +1,6 @@
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,3 +63,74 @@ def test_gaps_of_the_registered_geometry_do_not_end_a_session(spark, tmp_path, m
 def test_idle_covers_baseline_and_window():
     with pytest.raises(ValueError):
         scoring.ScoringSpec(window=20, stride=10, baseline=10, minimum=1, idle=29)
+
+
+SLIDING = windows.WindowSpec(window=30_000, stride=20_000, expected=None, minimum=12,
+                             interval_low=500, interval_high=4000)
+
+
+def sliding(spark, folder, batches):
+    """Windows of rows (session, millisecond, value) that come in the given micro-batches."""
+    os.makedirs(folder)
+    for i, batch in enumerate(batches):
+        path = f"{folder}/part-{i}.parquet"
+        spark.createDataFrame(batch, "session string, ms long, value double").select(
+            "session", F.timestamp_millis("ms").alias("at"), "value").toPandas().to_parquet(
+            path, coerce_timestamps="us", index=False)
+        os.utime(path, (1_000_000 + i, 1_000_000 + i))
+    stream = spark.readStream.schema(ROWS).option("maxFilesPerTrigger", 1).parquet(folder)
+    found = windows.sliding_features(stream, ["session"], "at", "value", F.col("value") > 990.0,
+                                     SLIDING, "10 seconds")
+    out = windows.drain(found).withColumns({
+        c: F.unix_millis(c) for c in ("window_start", "window_end")})
+    return sorted((tuple(r) for r in out.collect() if r.session != "z"), key=repr)
+
+
+def sliding_by_hand(rows):
+    out = []
+    for session in {r[0] for r in rows}:
+        mine = sorted((ms, v) for s, ms, v in rows if s == session)
+        for end in range(0, mine[-1][0] + 60_000, 20_000):
+            for shift in (0, 10_000):  # windows end where the next 20 seconds, from 30, do
+                if (end + shift - 30_000) % 20_000:
+                    continue
+                held = [(ms, v) for ms, v in mine if end + shift - 30_000 < ms <= end + shift]
+                if not held:
+                    continue
+                t, v = np.array([ms / 1000 for ms, _ in held]), np.array([x for _, x in held])
+                steps = np.diff(t) * 1000
+                reason = ("DUPLICATE_TIMESTAMP" if (steps == 0).any() else
+                          "PARTIAL_WINDOW" if len(held) < 12 else
+                          "TIMING_OUT_OF_TOLERANCE" if ((steps < 500) | (steps > 4000)).any() else
+                          "INVALID_CAP_QUALITY" if (v > 990).any() else "")
+                features = [None] * 5 if reason else [
+                    v.mean(), v[-1], np.polyfit(t - t.mean(), v, 1)[0], v.var(), v.max() - v.min()]
+                out.append((session, end + shift - 30_000, end + shift, len(held), reason, features))
+    return sorted(out, key=repr)
+
+
+def test_sliding_windows_equal_batch_for_any_cut(spark, tmp_path):
+    draw = np.random.default_rng(5)
+    rows = [("busy", 1000 * i + int(draw.integers(-200, 200)), float(draw.normal(5, 2)))
+            for i in range(1, 300)]
+    rows += [("few", 7000 * i, float(i)) for i in range(1, 20)]
+    rows += [("busy", 100_000, 3.0), ("busy", 100_000, 3.0), ("busy", 200_001, 995.0)]
+    rows.sort(key=lambda r: r[1] + int(draw.integers(0, 9000)))  # late, but within the delay
+    close = [("z", 1_000_000, 0.0)]
+    want = sliding_by_hand(rows)
+    for n, cuts in enumerate(([], [1, 40, 41, 150], list(range(30, 300, 60)))):
+        cut = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+        got = sliding(spark, str(tmp_path / str(n)), [*cut, close, close])
+        assert [g[:5] for g in got] == [w[:5] for w in want]
+        for g, w in zip(got, want):
+            assert g[5:] == (None,) * 5 if w[5][0] is None else g[5:] == pytest.approx(w[5], abs=2e-6)
+
+
+def test_samples_are_never_copied_into_windows(spark, tmp_path):
+    os.makedirs(str(tmp_path / "in"))
+    stream = spark.readStream.schema(ROWS).parquet(str(tmp_path / "in"))
+    found = windows.sliding_features(stream, ["session"], "at", "value", F.lit(False), SLIDING,
+                                     "10 seconds")
+    plan = found._jdf.queryExecution().analyzed().toString()
+    below_panes = plan[plan.rindex("Aggregate ["):]
+    assert plan.count("Aggregate [") == 2 and "Expand" not in below_panes
