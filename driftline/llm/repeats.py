@@ -172,12 +172,14 @@ class Found:
         order = np.lexsort((block, part))
         part, block, starts, doc, place, at, size = (
             a[order] for a in (part, block, starts, doc, place, at, size))
+        codec = pa.Codec("zstd")
         for low, high in edges(part, block):
             mine = slice(low, high)
+            text = codec.compress(raw[ranges(starts[mine], size[mine])], asbytes=True)
             self.add(int(part[low]), int(block[low]), packed(
                 doc[mine].astype(np.int64), place[mine].astype(np.int32),
                 at[mine].astype(np.int32), size[mine].astype(np.int32),
-                raw[ranges(starts[mine], size[mine])]))
+                np.frombuffer(text, np.uint8)))
 
     def table(self) -> pa.Table:
         return arrow(self.rows)
@@ -280,7 +282,9 @@ def repeated_passages(docs: DataFrame, width: int = 50, gram: int = 24, fan: int
             found, blocks = Found(), np.array(table["block"].to_pylist())
             rows = [unpacked(d.as_py(), "i8", "i4", "i4", "i4") for d in table["data"]]
             doc, place, at, size = (np.concatenate([r[i] for r in rows]) for i in range(4))
-            raw = np.concatenate([r[4] for r in rows])
+            codec = pa.Codec("zstd")
+            raw = np.concatenate([np.frombuffer(
+                codec.decompress(r[4], int(r[3].sum())), np.uint8) for r in rows])
             block = np.repeat(blocks, [len(r[0]) for r in rows])
             size = size.astype(np.int64)
             text, begins, separators = laid_out(raw, np.cumsum(size) - size, size)
