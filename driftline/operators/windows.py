@@ -140,19 +140,26 @@ def pane_statistics(samples: DataFrame, anchors: DataFrame, spec: WindowSpec,
     ``anchors`` has ``t_ref`` per session.  A sample exactly at the anchor is in
     no window.  ``quality`` is true where a sample makes its windows invalid.
     """
-    rel = F.col(ts) - F.col("t_ref")
     keep = [session, ts, *values.values()]
     flagged = samples.withColumn("_invalid", quality) if quality is not None else samples
     keep = keep + (["_invalid"] if quality is not None else [])
-    placed = (
-        per_key_join(flagged.select(*keep), anchors.select(session, "t_ref"), [session],
-                     F.col(ts), spec.window)
-        .filter(rel > 0)
-        .withColumn("pane", _ceil_div(rel, spec.pane))
-    )
+    placed = per_key_join(flagged.select(*keep), anchors.select(session, "t_ref"), [session],
+                          F.col(ts), spec.window)
+    return placed_pane_statistics(
+        placed, spec, values, F.col("_invalid") if quality is not None else None, session, ts)
+
+
+def pane_number(spec: WindowSpec, ts: str) -> Column:
+    """Pane ``(t_ref + (p - 1) * width, t_ref + p * width]`` of a sample; 0 and less: none."""
+    return _ceil_div(F.col(ts) - F.col("t_ref"), spec.pane)
+
+
+def placed_pane_statistics(placed: DataFrame, spec: WindowSpec, values: dict[str, str],
+                           invalid: Column | None, session: str, ts: str) -> DataFrame:
+    """`pane_statistics` of samples that carry their session's ``t_ref``."""
+    placed = placed.withColumn("pane", pane_number(spec, ts)).filter(F.col("pane") > 0)
     order = Window.partitionBy(session, "pane").orderBy(ts)
     seconds = (F.col(ts) - F.col("t_ref")) / F.lit(float(spec.slope_unit_ms))
-    invalid = F.col("_invalid") if quality is not None else None
     return (
         placed.withColumn("_step", F.col(ts) - F.lag(ts).over(order))
         .groupBy(session, "pane")

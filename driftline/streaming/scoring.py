@@ -1,169 +1,232 @@
 """Session-anchored windows with a frozen baseline, scored as they close.
 
-``window()`` is aligned to the epoch; windows anchored at a session's first
-sample need keyed state.  The state of a session is its anchor, the readings
-of its baseline period and the samples of the windows still open, so it is
-bounded by ``(W + B) * rate`` readings, not by the session's length.
+``window()`` is aligned to the epoch; windows anchored at a session's first sample need state.  It
+is kept as three tables beside the checkpoint, one version per micro-batch:
+
+* ``sessions``: anchor, baseline, newest sample and next window of each session;
+* ``rows``: samples whose pane is still open, or that the baseline waits for;
+* ``panes``: statistics of closed panes that a window still to come needs.
+
+A micro-batch reads the version before it and writes its own, both with the batch operators: panes
+are dealt by (session, pane) and windows by (session, window), so a busy session spreads over all
+tasks, and validity, features and classes are those of `operators.windows` and `operators.model`.
+A pane is computed once, from all its samples, when the watermark passes it.  Output and state of a
+batch are written under its number: a batch that is run again after a failure overwrites them.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-from typing import Iterator
+import uuid
+from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import (
-    BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType)
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from driftline import contract
 from driftline.functions.ordinal import OrdinalModel
-from driftline.functions.rounding import TIE_GUARD
-
-OUTPUT_SCHEMA = StructType([
-    StructField("session_id", StringType()), StructField("window_index", LongType()),
-    StructField("window_end", LongType()), StructField("sample_count", LongType()),
-    StructField("valid", BooleanType()), StructField("baseline_value", DoubleType()),
-    StructField("value_mean", DoubleType()), StructField("value_last", DoubleType()),
-    StructField("value_slope", DoubleType()), StructField("value_variance", DoubleType()),
-    StructField("value_range", DoubleType()), StructField("predicted_index", IntegerType()),
-])
+from driftline.operators.model import ordinal_score
+from driftline.operators.ordered import exact_quantiles, per_key_join
+from driftline.operators.windows import (
+    WindowSpec, feature_columns, merge_panes, pane_number, placed_pane_statistics, window_validity)
+from driftline.session import materialise, shared_dir
+
+OUTPUT = ("session_id string, window_index bigint, window_end bigint, sample_count bigint, "
+          "valid boolean, exclusion_reason string, baseline_value double, value_mean double, "
+          "value_last double, value_slope double, value_variance double, value_range double, "
+          "predicted_index int")
+SESSIONS = ("session_id string, t_ref bigint, baseline_value double, newest bigint, "
+            "next_index bigint")
+ROWS = "session_id string, ts_ms bigint, value double, bad boolean"
+CHANNEL = "cap"
 
 
 @dataclass(frozen=True)
 class ScoringSpec:
-    """Geometry in milliseconds; the window opens after the baseline period closes or before.
+    """Geometry in milliseconds.
 
-    A session without rows for ``idle`` is over and its state goes; later rows start anew.  So
-    ``idle`` has no default: it must exceed every gap within a session, and is at least the
-    baseline and a window.
+    A sample at or before the watermark (the newest sample so far less ``delay``) is late and
+    dropped.  A session without samples for ``idle`` is over once a micro-batch ends, and later
+    samples start anew; so ``idle`` has no default: it must exceed every gap within a session, and
+    is at least the baseline and a window.
     """
 
-    window: int
-    stride: int
+    windows: WindowSpec
     baseline: int
-    minimum: int
-    slope_unit_ms: int = 1000
-    decimals: int = 6
-    idle: int = field(kw_only=True)
+    delay: int
+    idle: int
 
     def __post_init__(self) -> None:
-        if self.idle < self.baseline + self.window:
+        if self.idle < self.baseline + self.windows.window:
             raise ValueError("idle is shorter than the baseline period and a window")
 
 
-def _window_row(times, values, baseline, spec: ScoringSpec, model: OrdinalModel):
-    """Features and class of one closed window (arrays sorted by time)."""
-    delta = values - baseline
-    t = (times - times[0]) / float(spec.slope_unit_ms)
-    t = t - t.mean()
-    s_tt = float(t @ t)
-    slope = float(t @ (delta - delta.mean())) / s_tt if s_tt > 0 else None
-    features = [float(delta.mean()), float(delta[-1]), slope, float(delta.var()),
-                float(delta.max() - delta.min())]
-    whole = 2.0 ** 53 / 10 ** spec.decimals
-    features = [f if f is None or not abs(f) < whole else
-                float(np.floor(f * 10 ** spec.decimals + 0.5 + TIE_GUARD) / 10 ** spec.decimals)
-                for f in features]
-    if any(f is None for f in features):
-        return features, None
-    z = (np.array(features) - np.array(model.mean)) / np.array(model.scale)
-    cumulative = 1.0 / (1.0 + np.exp(-(np.array(model.theta) - float(z @ np.array(model.beta)))))
-    bounds = np.concatenate([[0.0], cumulative, [1.0]])
-    return features, int(np.argmax(np.diff(bounds)))
-
-
-class SessionScorer(StatefulProcessor):
-    """Buffers samples, freezes the baseline, emits windows the watermark has passed."""
-
-    def __init__(self, spec: ScoringSpec, model: OrdinalModel):
-        self.spec, self.model = spec, model
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.progress = handle.getValueState(
-            "progress", "t_ref long, next_index long, baseline double, newest long")
-        self.samples = handle.getListState("samples", "ts long, value double, ok boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows), ignore_index=True)
-        first, last = int(frame["ts_ms"].min()), int(frame["ts_ms"].max())
-        t_ref, index, baseline, newest = (
-            self.progress.get() if self.progress.exists() else (None, 0, None, last))
-        if t_ref is None:
-            # the anchor is final once the watermark has passed the earliest row
-            self.handle.registerTimer(first)
-        else:
-            # the timer set last may be that of the idle time, which these rows put off
-            self.handle.registerTimer(t_ref + (
-                self.spec.baseline if baseline is None
-                else self.spec.window + index * self.spec.stride))
-            if baseline is not None:
-                frame = frame[frame["ts_ms"] > t_ref + index * self.spec.stride]
-        if len(frame):
-            self.samples.appendList(list(zip(
-                frame["ts_ms"].astype(int).tolist(), frame["value"].astype(float).tolist(),
-                frame["ok"].astype(bool).tolist())))
-        self.progress.update((t_ref, index, baseline, max(newest, last)))
-        yield pd.DataFrame(columns=OUTPUT_SCHEMA.names)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        spec, output = self.spec, []
-        watermark = timerValues.getCurrentWatermarkInMs()
-        if self.progress.exists():
-            t_ref, index, baseline, newest = self.progress.get()
-            held = sorted(tuple(s) for s in self.samples.get())
-            times = np.array([s[0] for s in held], dtype="int64")
-            values = np.array([s[1] for s in held], dtype="float64")
-            oks = np.array([s[2] for s in held], dtype=bool)
-            if t_ref is None:
-                t_ref = int(times[0])
-            if baseline is None and watermark >= t_ref + spec.baseline:
-                baseline = float(np.median(values[times < t_ref + spec.baseline]))
-            while baseline is not None and t_ref + spec.window + index * spec.stride <= min(
-                    watermark, newest):
-                end = t_ref + spec.window + index * spec.stride
-                lo, hi = np.searchsorted(times, [end - spec.window, end], side="right")
-                valid = bool(hi - lo >= spec.minimum and oks[lo:hi].all())
-                features, predicted = ([None] * 5, None)
-                if valid:
-                    features, predicted = _window_row(
-                        times[lo:hi], values[lo:hi], baseline, spec, self.model)
-                output.append((key[0], index, end, int(hi - lo), valid, baseline, *features,
-                               predicted))
-                index += 1
-            if watermark >= newest + spec.idle:
-                self.samples.clear()
-                self.progress.clear()
-            else:
-                kept = held if baseline is None else [
-                    s for s in held if s[0] > t_ref + index * spec.stride]
-                self.samples.put(kept) if kept else self.samples.clear()
-                self.progress.update((t_ref, index, baseline, newest))
-                following = t_ref + (spec.baseline if baseline is None
-                                     else spec.window + index * spec.stride)
-                if following > newest and baseline is not None:
-                    following = newest + spec.idle
-                self.handle.registerTimer(max(following, watermark + 1))
-        frame = pd.DataFrame(output, columns=OUTPUT_SCHEMA.names)
-        frame["predicted_index"] = frame["predicted_index"].astype("Int32")
-        yield frame
-
-    def close(self) -> None:
-        pass
-
-
-def session_scoring(stream: DataFrame, model: OrdinalModel, spec: ScoringSpec, session: str,
-                    ts: str, value: str, ok, delay: str) -> DataFrame:
-    """Windows ``(t - W, t]`` per session, emitted once the watermark passes ``t``.
-
-    A window closes only when a later or equal sample of its session exists, as
-    in the batch form, where windows end no later than the session does.
-    """
-    prepared = stream.select(
-        F.col(session).alias("session_id"), F.col(ts), F.unix_millis(ts).alias("ts_ms"),
-        F.col(value).cast("double").alias("value"), ok.alias("ok")).withWatermark(ts, delay)
-    return prepared.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=SessionScorer(spec, model), outputStructType=OUTPUT_SCHEMA,
-        outputMode="Append", timeMode="EventTime")
+class SessionScoring:
+    """State tables and results of one scored stream, in one shared folder."""
+
+    def __init__(self, spark: SparkSession, model: OrdinalModel, spec: ScoringSpec,
+                 folder: str | None = None) -> None:
+        self.spark, self.model, self.spec = spark, model, spec
+        self.folder = folder or f"{shared_dir(spark)}/scoring-{uuid.uuid4().hex}"
+
+    def start(self, stream: DataFrame, session: str, ts: str, value: str, ok: Column,
+              available_now: bool = True, **trigger) -> StreamingQuery:
+        """Score a stream; samples without a session or a time are not scored."""
+        prepared = stream.select(
+            F.col(session).alias("session_id"), F.unix_millis(ts).alias("ts_ms"),
+            F.col(value).cast("double").alias("value"),
+            (~F.coalesce(ok, F.lit(False))).alias("bad")
+        ).where("session_id is not null and ts_ms is not null")
+        trigger = trigger or ({"availableNow": True} if available_now else {})
+        self.write(-1, self.spark.createDataFrame([], OUTPUT))  # results exist from the start
+        writer = prepared.writeStream.foreachBatch(self.process).option(
+            "checkpointLocation", f"{self.folder}/checkpoint")
+        return (writer.trigger(**trigger) if trigger else writer).start()
+
+    def results(self) -> DataFrame:
+        """Windows of all batches so far."""
+        return self.spark.read.schema(OUTPUT).parquet(f"{self.folder}/results/*")
+
+    def process(self, batch: DataFrame, number: int) -> None:
+        spec, windows = self.spec, self.spec.windows
+        before, seen = self.state(number - 1), None
+        rows = batch
+        if before:
+            seen = before["clock"].first()[0]
+            if seen is not None:
+                batch = batch.where(F.col("ts_ms") > seen - spec.delay)
+            rows = batch.unionByName(before["rows"])  # their panes were open, so they are not late
+        rows = self.kept(number, "input", rows)
+        newest = rows.agg(F.max("ts_ms")).first()[0]
+        newest = max((x for x in (seen, newest) if x is not None), default=None)
+        if newest is None:
+            return self.commit(number, before)
+        watermark = newest - spec.delay
+        passed = seen - spec.delay if seen is not None else -(1 << 62)
+
+        # sessions: an anchor or a baseline is final once the watermark has passed it
+        facts = rows.groupBy("session_id").agg(
+            F.min("ts_ms").alias("first"), F.max("ts_ms").alias("last"))
+        known = before["sessions"] if before else self.spark.createDataFrame([], SESSIONS)
+        sessions = known.join(facts, "session_id", "full").select(
+            "session_id", F.coalesce("t_ref", F.when(F.col("first") <= watermark, F.col("first")))
+            .alias("t_ref"), "baseline_value", F.greatest("newest", "last").alias("newest"),
+            F.coalesce("next_index", F.lit(0).cast("bigint")).alias("next_index"))
+        sessions = materialise(sessions)
+        placed = materialise(per_key_join(
+            rows, sessions.select("session_id", "t_ref", F.col("baseline_value").isNotNull()
+                                  .alias("calibrated")),
+            ["session_id"], F.col("ts_ms"), windows.window
+        ).withColumn("closes", F.col("t_ref") + pane_number(windows, "ts_ms") * windows.pane))
+        early = ~F.col("calibrated") & (F.col("ts_ms") < F.col("t_ref") + spec.baseline)
+        due = F.col("t_ref") + spec.baseline <= watermark
+        found = exact_quantiles(placed.where(early & due), ["session_id"], "value",
+                                {"found": 0.5})
+        reach = F.floor((F.least(F.lit(watermark), F.col("newest")) - F.col("t_ref")
+                         - windows.window) / F.lit(windows.stride)) + 1
+        sessions = materialise(sessions.join(found, "session_id", "left").withColumn(
+            "baseline_value", F.coalesce("baseline_value", "found")).withColumn(
+            "until", F.when(F.col("baseline_value").isNull(), F.col("next_index"))
+            .otherwise(F.greatest("next_index", reach))).drop("found"))
+
+        # panes that the watermark has passed since the last batch
+        closing = (F.col("closes") > passed) & (F.col("closes") <= watermark)
+        panes = placed_pane_statistics(
+            placed.where(closing).select("session_id", "ts_ms", "t_ref", "bad",
+                                         F.col("value").alias(CHANNEL)),
+            windows, {CHANNEL: CHANNEL}, F.col("bad"), "session_id", "ts_ms")
+        panes = self.kept(number, "all_panes", panes.unionByName(before["panes"])
+                          if before else panes)
+        self.write(number, self.scored(panes, sessions))
+
+        # what the next batch needs
+        over = F.col("newest") + spec.idle <= watermark
+        left = sessions.where(~over)
+        bounds = left.select("session_id", "until")
+        self.kept(number, "sessions", left.select(
+            "session_id", "t_ref", "baseline_value", "newest", F.col("until").alias("next_index")))
+        calibrated = left.select("session_id", F.col("baseline_value").isNotNull().alias("done"))
+        waits = F.col("t_ref").isNull() | (F.col("closes") > watermark) | (
+            ~F.col("done") & (F.col("ts_ms") < F.col("t_ref") + spec.baseline))
+        self.kept(number, "rows", per_key_join(
+            placed, calibrated, ["session_id"], F.col("ts_ms"), windows.window).where(waits).select(
+            "session_id", "ts_ms", "value", "bad"))
+        self.kept(number, "panes", panes.join(bounds, "session_id").where(
+            F.col("pane") > F.col("until") * windows.panes_per_stride).drop("until"))
+        self.kept(number, "clock", self.spark.range(1).select(F.lit(newest).alias("newest")))
+        self.forget(number)
+
+    def scored(self, panes: DataFrame, sessions: DataFrame) -> DataFrame:
+        """The windows that close now, by the batch operators."""
+        windows = self.spec.windows
+        closing = sessions.where("until > next_index")
+        spine = closing.withColumn("window_index", F.explode(F.sequence(
+            F.col("next_index"), F.col("until") - 1))).select(
+            "session_id", "window_index", "baseline_value", (
+                F.col("t_ref") + F.col("window_index") * windows.stride + windows.window
+            ).alias("window_end"))
+        inside = (F.col("pane") > F.col("next_index") * windows.panes_per_stride) & (
+            F.col("pane") <= (F.col("until") - 1) * windows.panes_per_stride
+            + windows.panes_per_window)
+        used = panes.join(closing.select("session_id", "next_index", "until"), "session_id").where(
+            inside).select(*panes.columns)
+        found = window_validity(merge_panes(used, spine, windows, [CHANNEL], "session_id"), windows)
+        found = found.withColumns({
+            name: F.when(F.col("feature_valid"), column)
+            for name, column in feature_columns(windows).items()})
+        scored = ordinal_score(found, self.model)
+        complete = F.col("feature_valid")
+        for name in contract.FEATURE_COLUMNS:
+            complete = complete & F.col(name).isNotNull()
+        short = ("mean", "last", "slope", "variance", "range")
+        return scored.select(
+            "session_id", "window_index", "window_end", "sample_count",
+            F.col("feature_valid").alias("valid"), "exclusion_reason", "baseline_value",
+            *[F.col(name).alias(f"value_{s}") for name, s in zip(contract.FEATURE_COLUMNS, short)],
+            F.when(complete, F.col("predicted_index")).alias("predicted_index"))
+
+    # tables of one version ------------------------------------------------------------
+
+    def path(self, number: int, name: str) -> str:
+        return f"{self.folder}/state/{number}/{name}"
+
+    def kept(self, number: int, name: str, frame: DataFrame) -> DataFrame:
+        frame.write.mode("overwrite").parquet(self.path(number, name))
+        return self.spark.read.schema(frame.schema).parquet(self.path(number, name))
+
+    def state(self, number: int) -> dict[str, DataFrame] | None:
+        if number < 0:
+            return None
+        return {name: self.spark.read.parquet(self.path(number, name))
+                for name in ("sessions", "rows", "panes", "clock")}
+
+    def write(self, number: int, frame: DataFrame) -> None:
+        frame.write.mode("overwrite").parquet(f"{self.folder}/results/{number}")
+
+    def commit(self, number: int, before: dict[str, DataFrame] | None) -> None:
+        """A batch without rows hands the state on."""
+        for name, frame in (before or self.nothing()).items():
+            self.kept(number, name, frame)
+        self.write(number, self.spark.createDataFrame([], OUTPUT))
+
+    def nothing(self) -> dict[str, DataFrame]:
+        rows = self.spark.createDataFrame([], ROWS)
+        panes = placed_pane_statistics(
+            rows.select("session_id", "ts_ms", F.lit(0).cast("bigint").alias("t_ref"), "bad",
+                        F.col("value").alias(CHANNEL)),
+            self.spec.windows, {CHANNEL: CHANNEL}, F.col("bad"), "session_id", "ts_ms")
+        return {"sessions": self.spark.createDataFrame([], SESSIONS), "rows": rows, "panes": panes,
+                "clock": self.spark.createDataFrame([(None,)], "newest bigint")}
+
+    def forget(self, number: int) -> None:
+        """The version before the last one; the last one may be needed to run a batch again."""
+        context = self.spark.sparkContext
+        old = context._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/state/{number - 2}")
+        old.getFileSystem(context._jsc.hadoopConfiguration()).delete(old, True)
+
+
+def score_available(stream: DataFrame, model: OrdinalModel, spec: ScoringSpec, session: str,
+                    ts: str, value: str, ok: Column) -> DataFrame:
+    """Score everything that a stream has now and read the windows back."""
+    scoring = SessionScoring(stream.sparkSession, model, spec)
+    scoring.start(stream, session, ts, value, ok).awaitTermination()
+    return scoring.results()
