@@ -1,13 +1,15 @@
 """Scans, sinks, manifests and fingerprints, round-tripped through the shared folder."""
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from driftline import contract
 from driftline.catalog import tables as t, windows as cw
 from driftline.catalog.registry import query, with_tables
-from driftline.session import shared_dir
+from driftline.operators import windows as w
+from driftline.session import materialise, shared_dir
 from driftline.sources import documents as doc, manifest as mf, tables as st
 
 
@@ -129,18 +131,59 @@ def write_refuse_or_replace(spark, sf_dir):
     return counts[0].unionByName(counts[1])
 
 
-@query("run_manifest", with_tables(cw.FEATURES, body="""
-SELECT 'features' AS stage, 'v1' AS version, count(*) AS candidate_count,
-       count(*) FILTER (feature_valid) AS valid_count, count(*) FILTER (NOT feature_valid) AS excluded_count,
-       (SELECT string_agg(exclusion_reason || '=' || n, ',' ORDER BY exclusion_reason) FROM (
-          SELECT exclusion_reason, count(*) AS n FROM features WHERE NOT feature_valid GROUP BY 1))
-         AS exclusions
-FROM features"""))
+RUN_COLUMNS = {"samples": ("seq", "session_id", "timestamp", "cap_quality"),
+               "features": ("window_id", "sample_count", "exclusion_reason"),
+               "valid": ("window_id", "sample_count")}
+
+
+def _sums_sql(parts):
+    """Digest of rows whose digest is ``h``: four sums of 15 hexadecimal digits."""
+    return " || '-' || ".join(
+        f"coalesce(CAST(sum(CAST(CAST('0x' || substr({parts}, {1 + 15 * i}, 15) AS BIGINT) AS HUGEINT))"
+        f" AS VARCHAR), '0')" for i in range(4))
+
+
+def _stage_sql(name, source):
+    parts = ", ".join(f"coalesce('=' || {c}, '-')" for c in RUN_COLUMNS[name])
+    return (f"{name}_digest AS (SELECT {_sums_sql('h')} AS digest, count(*) AS n FROM (SELECT "
+            f"sha256(concat_ws(chr(31), {parts})) AS h FROM {source}))")
+
+
+@query("run_manifest", with_tables(
+    cw.FEATURES, _stage_sql("samples", "samples"), _stage_sql("features", "features"),
+    _stage_sql("valid", "(SELECT * FROM features WHERE feature_valid)"), body="""
+SELECT 'samples' AS stage, n AS candidate_count, n AS valid_count, 0 AS excluded_count,
+       '' AS exclusions, digest, '' AS made_from FROM samples_digest
+UNION ALL
+SELECT 'features', n, (SELECT count(*) FROM features WHERE feature_valid),
+       (SELECT count(*) FROM features WHERE NOT feature_valid),
+       coalesce((SELECT string_agg(exclusion_reason || '=' || c, ',' ORDER BY exclusion_reason) FROM (
+          SELECT exclusion_reason, count(*) AS c FROM features WHERE NOT feature_valid GROUP BY 1)), ''),
+       digest, 'samples=' || (SELECT digest FROM samples_digest) FROM features_digest
+UNION ALL
+SELECT 'valid', n, n, 0, '', digest, 'features=' || (SELECT digest FROM features_digest)
+FROM valid_digest"""))
 def run_manifest(spark, sf_dir):
-    summary = mf.run_manifest("features", cw.feature_table(spark, sf_dir), "exclusion_reason", "v1")
+    """Three stages, each written with counts observed on the way and its input's digest."""
+    path = _folder(spark)
+    samples = mf.write_stage(
+        t.samples(spark, sf_dir).select(*RUN_COLUMNS["samples"], "capacitance_raw"),
+        f"{path}/samples", "samples", "v1", columns=RUN_COLUMNS["samples"])
+    sessions = t.sessions_of(t.samples(spark, sf_dir))
+    features = mf.write_stage(
+        w.feature_table(samples, sessions, t.EVENT_WINDOWS), f"{path}/features", "features", "v1",
+        [f"{path}/samples"], "exclusion_reason", contract.STRUCTURAL_REASONS,
+        RUN_COLUMNS["features"])
+    mf.write_stage(features.where("feature_valid"), f"{path}/valid", "valid", "v1",
+                   [f"{path}/features"], columns=RUN_COLUMNS["valid"])
+    documents = spark.read.schema(mf.MANIFEST).json(f"{path}/*/manifest")
     entries = F.transform(F.sort_array(F.map_entries("exclusion_counts")),
                           lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    return summary.withColumn("exclusions", F.array_join(entries, ",")).drop("exclusion_counts")
+    sources = F.transform("inputs", lambda i: F.concat(i["stage"], F.lit("="), i["digest"]))
+    return documents.select(
+        "stage", "candidate_count", "valid_count", "excluded_count",
+        F.coalesce(F.array_join(entries, ","), F.lit("")).alias("exclusions"), "digest",
+        F.coalesce(F.array_join(sources, ","), F.lit("")).alias("made_from"))
 
 
 FINGERPRINTED = {
@@ -151,28 +194,33 @@ FINGERPRINTED = {
     "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
     "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice "
                 "l_discount l_tax l_returnflag l_linestatus l_shipdate",
-    "events": "event_id ts user_id event_type value props"}
+    "events": "event_id ts user_id event_type value props",
+    "documents": "doc_id text lang source n_chars", "embeddings": "vec_id embedding label",
+    "pages": "page_id url html", "benchmark": "item_id text", "labels": "doc_id quality toxic",
+    "conversations": "conv_id turn role text"}
+#: Columns without one text form: vectors are written as integers of 2 ** -40.
+AS_TEXT = {"embedding": F.expr(
+    "array_join(transform(embedding, x -> cast(floor(cast(x as double) * 1099511627776) as bigint)), ',')")}
+AS_TEXT_SQL = {"embedding": "array_to_string(list_transform(embedding, lambda x: "
+                            "CAST(floor(CAST(x AS DOUBLE) * 1099511627776) AS BIGINT)), ',')"}
 
 
 def _digest_sql(name, where="true"):
-    parts = ", ".join(f"coalesce('=' || {c}, '-')" for c in FINGERPRINTED[name].split())
-    sums = " || '-' || ".join(
-        f"coalesce(CAST(sum(CAST(CAST('0x' || substr(h, {1 + 16 * i}, 16) AS UBIGINT) AS HUGEINT))"
-        f" AS VARCHAR), '0')" for i in range(4))
-    return (f"SELECT '{name}' AS item, count(*) AS row_count, {sums} AS digest FROM (SELECT "
+    parts = ", ".join(f"coalesce('=' || {AS_TEXT_SQL.get(c, c)}, '-')"
+                      for c in FINGERPRINTED[name].split())
+    return (f"SELECT '{name}' AS item, count(*) AS row_count, {_sums_sql('h')} AS digest FROM (SELECT "
             f"sha256(concat_ws(chr(31), {parts})) AS h FROM {name} WHERE {where})")
 
 
-def fingerprints(spark, sf_dir, names=FINGERPRINTED, where=None):
-    result = None
-    for name in names:
-        rows = t.table(spark, sf_dir, name)
-        if where and name in where:
-            rows = rows.filter(where[name])
-        part = mf.table_fingerprint(rows, FINGERPRINTED[name].split()).select(
-            F.lit(name).alias("item"), "row_count", "digest")
-        result = part if result is None else result.unionByName(part)
-    return result
+def fingerprint(rows, name):
+    columns = [AS_TEXT.get(c, F.col(c)) for c in FINGERPRINTED[name].split()]
+    return mf.table_fingerprint(rows, columns).select(
+        F.lit(name).alias("item"), "row_count", "digest")
+
+
+def fingerprints(spark, sf_dir):
+    parts = [fingerprint(t.table(spark, sf_dir, name), name) for name in FINGERPRINTED]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query("source_fingerprint", " UNION ALL ".join(_digest_sql(n) for n in FINGERPRINTED))
@@ -192,7 +240,9 @@ SELECT item, d.row_count AS declared_rows, d.digest AS declared_digest, a.row_co
 FROM declared d FULL JOIN actual a USING (item)
 WHERE d.digest IS DISTINCT FROM a.digest OR d.row_count IS DISTINCT FROM a.row_count""")
 def inventory_check(spark, sf_dir):
-    declared = fingerprints(spark, sf_dir, [n for n in FINGERPRINTED if n != "nation"],
-                            {"orders": "o_orderstatus <> 'P'"})
-    actual = fingerprints(spark, sf_dir, [n for n in FINGERPRINTED if n != "region"])
-    return mf.inventory_check(declared, actual)
+    """A stored inventory, made before some orders came, against the tables as they are."""
+    found = materialise(fingerprints(spark, sf_dir))
+    early = t.table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'")
+    declared = found.where("item not in ('nation', 'orders')").unionByName(
+        fingerprint(early, "orders"))
+    return mf.inventory_check(declared, found.where("item <> 'region'"))

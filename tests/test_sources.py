@@ -1,6 +1,7 @@
 """Scans and sinks on small files."""
 
 import json
+import shutil
 
 import pytest
 
@@ -129,3 +130,61 @@ def test_settings_are_checked():
                   lambda: WindowSpec(stride=0), lambda: WindowSpec(expected=None)):
         with pytest.raises(ValueError):
             build()
+
+
+def test_file_digests_do_not_show_splits(spark, tmp_path):
+    lines = b"\n".join(b"line %d \xff\r" % (i % 700) * (i % 9) for i in range(4000))
+    files = {"a": lines, "b": lines + b"\n", "c": b"", "d": b"\n", "e": b"\0" * 5000,
+             "f": lines[:999] + b"!" + lines[1000:], "g": b"x\ny\n", "h": b"y\nx\n"}
+    for name, body in files.items():
+        (tmp_path / name).write_bytes(body)
+
+    def digests():
+        return {r.file_name: (r.length, r.digest)
+                for r in mf.file_digests(spark, str(tmp_path)).collect()}
+
+    whole = digests()
+    assert {n: v[0] for n, v in whole.items()} == {n: len(b) for n, b in files.items() if b}
+    assert len(set(whole.values())) == len(files) - 1
+    key, cost = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"
+    try:
+        spark.conf.set(key, "7000")
+        spark.conf.set(cost, "1")
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+        assert digests() == whole
+    finally:
+        spark.conf.unset(key)
+        spark.conf.unset(cost)
+
+
+def test_a_changed_input_is_found_two_stages_later(spark, tmp_path):
+    one, two, three = (str(tmp_path / n) for n in ("one", "two", "three"))
+    rows = mf.write_stage(spark.createDataFrame(
+        [(i, "" if i % 3 else ("A" if i % 2 else "B")) for i in range(30)], "k int, why string"),
+        one, "one", "v1", reason="why", reasons=("A",))
+    kept = mf.write_stage(rows.where("why = ''"), two, "two", "v1", [one], columns=["k"])
+    mf.write_stage(kept.groupBy().count(), three, "three", "v2", [two, one])
+    document = mf.read_manifest(spark, one)
+    assert (document.candidate_count, document.valid_count, document.exclusion_counts) == (
+        30, 20, {"A": 5, "OTHER": 5})
+    assert [i.stage for i in mf.read_manifest(spark, three).inputs] == ["two", "one"]
+    assert document.digest == mf.table_fingerprint(rows).first().digest
+    assert mf.chain_problems(spark, three) == []
+    # the rows change, and then their manifest as well
+    rows.where("k <> 29").write.parquet(f"{one}-new")
+    shutil.rmtree(f"{one}/rows")
+    shutil.copytree(f"{one}-new", f"{one}/rows")
+    assert mf.chain_problems(spark, three) == [(one, "one", "ROWS_CHANGED")]
+    shutil.rmtree(one)
+    mf.write_stage(spark.read.parquet(f"{one}-new"), one, "one", "v1")
+    assert mf.chain_problems(spark, three) == [
+        (three, "three", "INPUT_REPLACED"), (two, "two", "INPUT_REPLACED")]
+
+
+def test_a_stage_is_scanned_once_while_it_is_written(spark, tmp_path):
+    spark.range(50).write.parquet(str(tmp_path / "in"))
+    frame = spark.read.parquet(str(tmp_path / "in"))
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    stored = mf.write_stage(frame, str(tmp_path / "out"), "s", "v")
+    jobs = set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - set(before)
+    assert stored.count() == 50 and len(jobs) <= 2  # the rows, and the one-line manifest
