@@ -151,23 +151,57 @@ def cumulative_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, outputs: dict[str, float],
-                    extent: bool = False) -> DataFrame:
+                    extent: bool = False, accuracy: int = 20_000) -> DataFrame:
     """Linear-interpolated quantiles per key, exact for groups of any size.
 
     ``outputs`` maps an output name to its probability; ``extent`` adds
-    ``row_count``, ``minimum`` and ``maximum`` from the same pass.  ``percentile`` keeps a
-    group's distinct values in one task; here they are spread over blocks, and
-    only the order statistics next to each target position are kept.
+    ``row_count``, ``minimum`` and ``maximum`` from the same pass.
+
+    Selection instead of sorting: a mergeable sketch, whose rank error is at most one in
+    ``accuracy``, brackets each order statistic that is needed.  A second pass counts, without
+    a shuffle of the values, what lies between the brackets, and keeps the values inside them:
+    eight in ``accuracy`` of a key per quantile, or all of a key that has no more than
+    ``accuracy``.  Only those are ordered.  An order statistic outside its bracket would be an
+    error, and fails.
     """
-    ranked = cumulative_counts(value_counts(df, keys, value), keys)
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_value"))
+    margin = 4.0 / accuracy
+    ends = [(max(0.0, p - margin), min(1.0, p + margin)) for p in outputs.values()]
+    sketch = F.percentile_approx("_value", [p for pair in ends for p in pair], accuracy)
+    facts = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_total"), F.min("_value").alias("_min"),
+        F.max("_value").alias("_max"), sketch.alias("_ends"))
+    small, brackets, names = F.col("_total") <= accuracy, [], []
+    for i, (low, high) in enumerate(ends):
+        brackets += [
+            F.when(small | F.lit(low == 0.0), F.col("_min")).otherwise(F.col("_ends")[2 * i])
+            .alias(f"_low{i}"),
+            F.when(small | F.lit(high == 1.0), F.col("_max")).otherwise(F.col("_ends")[2 * i + 1])
+            .alias(f"_high{i}")]
+        names.append((f"_low{i}", f"_high{i}"))
+    spread = F.pmod(F.xxhash64("_value"), F.lit(SALTS))
+    met = per_key_join(rows, facts.select(*keys, *brackets), keys, spread, 1)
+    v, inside, piece = F.col("_value"), F.lit(False), F.lit(0)
+    for low, high in names:
+        inside = inside | v.between(F.col(low), F.col(high))
+        piece = piece + (F.col(low) < v).cast("int") + (F.col(high) < v).cast("int")
+    # what lies outside stands before the kept values of its piece
+    counts = met.groupBy(*keys, piece.alias("_piece"), F.when(inside, v).alias("_kept")).agg(
+        F.count(F.lit(1)).alias("_freq"), F.min(v).alias("_min"), F.max(v).alias("_max"))
+    before = _window(keys, "_piece", "_kept").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counts.withColumns({
+        "_below": F.coalesce(F.sum("_freq").over(before), F.lit(0)),
+        "_total": F.sum("_freq").over(Window.partitionBy(*keys))})
     aggregates = []
     for name, probability in outputs.items():
         position = (F.col("_total") - 1) * F.lit(probability)
         for part, at in (("lo", F.floor(position)), ("hi", F.ceil(position))):
             hit = (F.col("_below") <= at) & (at < F.col("_below") + F.col("_freq"))
-            aggregates.append(F.max(F.when(hit, F.col("_value"))).alias(f"_{name}_{part}"))
+            found = F.when(F.col("_kept").isNotNull(), F.col("_kept")).otherwise(
+                F.raise_error(F.lit("an order statistic lies outside its bracket")))
+            aggregates.append(F.max(F.when(hit, found)).alias(f"_{name}_{part}"))
     if extent:
-        aggregates += [F.min("_value").alias("minimum"), F.max("_value").alias("maximum"),
+        aggregates += [F.min("_min").alias("minimum"), F.max("_max").alias("maximum"),
                        F.max("_total").alias("row_count")]
     stats = ranked.groupBy(*keys).agg(F.max("_total").alias("_total"), *aggregates)
     columns = ["row_count", "minimum", "maximum"] if extent else []

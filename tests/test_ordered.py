@@ -57,6 +57,23 @@ def test_exact_quantiles_many_distinct_values(spark):
     assert np.allclose([got.a, got.b, got.c], np.quantile(values, [0.1, 0.5, 0.75]))
 
 
+def test_exact_quantiles_sort_only_what_the_brackets_hold(spark):
+    """A sketch of 100 samples over keys of 60,000 values: exact, and few values are kept."""
+    rng = np.random.default_rng(3)
+    values = {"normal": rng.normal(size=60_000), "ties": rng.integers(0, 9, 60_000) * 1.0,
+              "steps": np.repeat(rng.normal(size=600), 100), "few": rng.normal(size=90),
+              "skewed": rng.pareto(0.5, 60_000)}
+    df = spark.createDataFrame(pd.concat(
+        pd.DataFrame({"key": k, "value": v}) for k, v in values.items()))
+    wanted = {"z": 0.0, "a": 0.03, "b": 0.5, "c": 0.5001, "d": 0.995, "o": 1.0}
+    got = {r.key: r for r in exact_quantiles(
+        df, ["key"], "value", wanted, extent=True, accuracy=100).collect()}
+    for key, v in values.items():
+        assert np.allclose([got[key][n] for n in wanted], np.quantile(v, list(wanted.values())),
+                           rtol=1e-14, atol=0)
+        assert (got[key].row_count, got[key].minimum, got[key].maximum) == (len(v), v.min(), v.max())
+
+
 def test_average_ranks_equal_pandas(rows):
     frame = rows.toPandas()
     frame["want"] = frame.groupby("key")["value"].rank(method="average")
