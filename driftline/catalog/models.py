@@ -205,13 +205,13 @@ def fit_trace(spark, sf_dir):
     return mo.fit_trace(fit, matrix.filter("dataset_partition = 'validation'"))
 
 
-def _comparator(spark, sf_dir, method):
+def _comparator(spark, sf_dir, method, *more):
     from driftline.session import materialise
 
     matrix = materialise(co.matrix(spark, sf_dir))
     train = matrix.filter("dataset_partition = 'development'")
     return method(train, matrix).select(
-        "window_id", "dataset_partition", "risk_label_index", "predicted_index")
+        "window_id", "dataset_partition", "risk_label_index", *more, "predicted_index")
 
 
 @query("logistic_comparator")
@@ -219,9 +219,54 @@ def logistic_comparator(spark, sf_dir):
     return _comparator(spark, sf_dir, mo.logistic_comparator)
 
 
-@query("tree_comparator")
+def _tree_level(level):
+    """Best split of every node of a level, by counts on both sides of each distinct value."""
+    rows = "\n    UNION ALL ".join(
+        f"SELECT node, {i} AS f, {n} AS v, risk_label_index AS c FROM tree{level} "
+        "WHERE dataset_partition = 'development'" for i, n in enumerate(FEATURES))
+    classes = range(4)
+    left = ", ".join(f"CAST(sum(n{k}) OVER w AS DOUBLE) AS l{k}" for k in classes)
+    total = ", ".join(f"CAST(sum(n{k}) OVER (PARTITION BY node, f) AS DOUBLE) AS t{k}" for k in classes)
+    l_size, t_size = " + ".join(f"l{k}" for k in classes), " + ".join(f"t{k}" for k in classes)
+    l_square = " + ".join(f"l{k} * l{k}" for k in classes)
+    r_square = " + ".join(f"(t{k} - l{k}) * (t{k} - l{k})" for k in classes)
+    t_square = " + ".join(f"t{k} * t{k}" for k in classes)
+    case = " ".join(f"WHEN {i} THEN {n}" for i, n in enumerate(FEATURES))
+    return f"""melted{level} AS (
+    {rows}),
+counted{level} AS (
+  SELECT node, f, v, {", ".join(f"count(*) FILTER (c = {k}) AS n{k}" for k in classes)}
+  FROM melted{level} GROUP BY node, f, v),
+summed{level} AS (
+  SELECT node, f, v, lead(v) OVER (PARTITION BY node, f ORDER BY v) AS following, {left}, {total}
+  FROM counted{level} WINDOW w AS (PARTITION BY node, f ORDER BY v ROWS UNBOUNDED PRECEDING)),
+best{level} AS (
+  SELECT node, f, (v + following) / 2.0e0 AS threshold
+  FROM (SELECT *, ({l_square}) / ({l_size}) + ({r_square}) / (({t_size}) - ({l_size})) AS purity
+        FROM summed{level} WHERE {l_size} >= 2 AND ({t_size}) - ({l_size}) >= 2)
+  WHERE purity > ({t_square}) / ({t_size})
+  QUALIFY row_number() OVER (PARTITION BY node ORDER BY purity DESC, f, v) = 1),
+tree{level + 1} AS (
+  SELECT t.* REPLACE (CASE WHEN b.node IS NULL THEN t.node
+           WHEN CASE b.f {case} END <= b.threshold THEN 2 * t.node + 1 ELSE 2 * t.node + 2 END AS node)
+  FROM tree{level} t LEFT JOIN best{level} b ON b.node = t.node AND t.node >= {2 ** level - 1})"""
+
+
+TREE = MATRIX + """, tree0 AS (SELECT *, 0 AS node FROM matrix),
+""" + ",\n".join(_tree_level(level) for level in range(3)) + """,
+majority AS (
+  SELECT node, c AS predicted_index FROM (
+    SELECT node, risk_label_index AS c, count(*) AS n FROM tree3
+    WHERE dataset_partition = 'development' GROUP BY node, risk_label_index)
+  QUALIFY row_number() OVER (PARTITION BY node ORDER BY n DESC, c) = 1)"""
+
+
+@query("tree_comparator", with_tables(TREE, body="""
+SELECT window_id, dataset_partition, risk_label_index, CAST(t.node AS INTEGER) AS leaf,
+       CAST(predicted_index AS INTEGER) AS predicted_index
+FROM tree3 t JOIN majority USING (node)"""))
 def tree_comparator(spark, sf_dir):
-    return _comparator(spark, sf_dir, mo.tree_comparator)
+    return _comparator(spark, sf_dir, mo.tree_comparator, "leaf")
 
 
 @query("example_per_class", with_tables(SCORED, body="""

@@ -16,6 +16,7 @@ from driftline.functions.ordinal import (
     OrdinalModel, argmax_lowest, class_probabilities, float_probabilities, linear_predictor)
 from driftline.functions.parsing import is_finite
 from driftline.functions.rounding import stable_round
+from driftline.operators.ordered import running_sums
 from driftline.session import materialise
 
 FIT_PARTITION, FORBIDDEN_PARTITION = "development", "final_test"
@@ -331,18 +332,112 @@ def logistic_comparator(train: DataFrame, rows: DataFrame, features=contract.FEA
         *rows.columns, F.col("_prediction").cast("int").alias("predicted_index"))
 
 
+@dataclass(frozen=True)
+class Tree:
+    """Splits ``node -> (feature, threshold)`` and class counts of every node; 0 is the root and
+    the children of ``n`` are ``2n + 1`` (at most the threshold) and ``2n + 2``."""
+
+    splits: dict[int, tuple[str, float]]
+    counts: dict[int, tuple[int, ...]]
+
+    def node(self) -> Column:
+        """Leaf of a row."""
+        def below(node: int) -> Column:
+            if node not in self.splits:
+                return F.lit(node)
+            name, threshold = self.splits[node]
+            return F.when(F.col(name) <= F.lit(threshold), below(2 * node + 1)).otherwise(
+                below(2 * node + 2))
+
+        return below(0)
+
+    def leaves(self) -> list[int]:
+        return [n for n in self.counts if n not in self.splits]
+
+
+def tree_fit(train: DataFrame, features=contract.FEATURE_COLUMNS, target: str = "risk_label_index",
+             classes: int = len(contract.CLASS_NAMES), depth: int = 3, leaf: int = 2) -> Tree:
+    """Gini tree by exact search over all distinct values, one level at a time.
+
+    Rows collapse to class counts per (node, feature, value); running sums over the sorted values
+    give the counts on both sides of every possible threshold.  A node takes the split with the
+    least weighted impurity (of equal ones the first feature, then the smallest value), at the middle
+    of two neighbouring values, if both sides keep ``leaf`` rows and the impurity falls.  Null
+    features go right.  The driver sees one row per node.
+    """
+    names = [f"c{k}" for k in range(classes)]
+    data = materialise(train.select(*features, F.col(target).cast("int").alias("_class")))
+    whole = data.agg(*[F.coalesce(F.count_if(F.col("_class") == k), F.lit(0)).alias(n)
+                       for k, n in enumerate(names)]).first()
+    tree, open_ = Tree({}, {0: tuple(whole)}), [0]
+    for _ in range(depth):
+        open_ = [n for n in open_ if sum(c > 0 for c in tree.counts[n]) > 1]
+        if not open_:
+            break
+        melted = data.withColumn("_node", tree.node()).where(F.col("_node").isin(open_)).select(
+            "_node", "_class", F.explode(F.array(*[
+                F.struct(F.lit(i).alias("_feature"), F.col(f).cast("double").alias("_value"))
+                for i, f in enumerate(features)])).alias("_m")).select("_node", "_class", "_m.*")
+        counted = materialise(melted.where("_value is not null").groupBy(
+            "_node", "_feature", "_value").agg(*[
+                F.count_if(F.col("_class") == k).alias(n) for k, n in enumerate(names)]))
+        summed = running_sums(counted, ["_node", "_feature"], "_value", names)
+        # null features are on the right of every threshold
+        totals = [F.coalesce(*[F.when(F.col("_node") == n, F.lit(tree.counts[n][k]))
+                               for n in open_]) for k in range(classes)]
+        left = [F.col(f"before_{n}") + F.col(n) for n in names]
+        sides = summed.select("_node", "_feature", "_value", *[
+            c.alias(f"l{k}") for k, c in enumerate(left)], *[
+            (t - c).alias(f"r{k}") for k, (t, c) in enumerate(zip(totals, left))])
+
+        def size(side):
+            return sum((F.col(f"{side}{k}") for k in range(1, classes)), F.col(f"{side}0"))
+
+        def purity(side):
+            squares = sum((F.col(f"{side}{k}") * F.col(f"{side}{k}") for k in range(1, classes)),
+                          F.col(f"{side}0") * F.col(f"{side}0"))
+            return squares.cast("double") / size(side)
+
+        candidates = sides.where((size("l") >= leaf) & (size("r") >= leaf)).select(
+            "_node", "_feature", "_value", (purity("l") + purity("r")).alias("_purity"),
+            F.array(*[f"l{k}" for k in range(classes)]).alias("_left"),
+            F.array(*[f"r{k}" for k in range(classes)]).alias("_right"))
+        best = candidates.groupBy("_node").agg(F.max_by(
+            F.struct("_feature", "_value", "_left", "_right", "_purity"),
+            F.struct("_purity", -F.col("_feature"), -F.col("_value"))).alias("_best")).select(
+            "_node", "_best.*")
+        chosen = [r for r in best.collect() if r["_purity"] > sum(
+            c * c for c in tree.counts[r["_node"]]) / sum(tree.counts[r["_node"]])]
+        if not chosen:
+            break
+        after = counted.agg(*[F.min(F.when(
+            (F.col("_node") == r["_node"]) & (F.col("_feature") == r["_feature"])
+            & (F.col("_value") > r["_value"]), F.col("_value"))).alias(f"n{r['_node']}")
+            for r in chosen]).first()
+        open_ = []
+        for r in chosen:
+            node, following = r["_node"], after[f"n{r['_node']}"]
+            middle = r["_value"] if following is None else (r["_value"] + following) / 2.0
+            tree.splits[node] = (features[r["_feature"]], middle)
+            tree.counts[2 * node + 1], tree.counts[2 * node + 2] = (
+                tuple(r["_left"]), tuple(r["_right"]))
+            open_ += [2 * node + 1, 2 * node + 2]
+    return tree
+
+
+def tree_apply(rows: DataFrame, tree: Tree) -> DataFrame:
+    """Adds ``leaf`` and its most frequent class (of equal ones the first) as ``predicted_index``."""
+    majority = F.coalesce(*[
+        F.when(F.col("leaf") == n, F.lit(max(range(len(c)), key=lambda k: (c[k], -k))))
+        for n in tree.leaves() for c in [tree.counts[n]]])
+    return rows.withColumn("leaf", tree.node()).withColumn(
+        "predicted_index", majority.cast("int"))
+
+
 def tree_comparator(train: DataFrame, rows: DataFrame, features=contract.FEATURE_COLUMNS,
-                    target: str = "risk_label_index", depth: int = 3, leaf: int = 2,
-                    bins: int = 256) -> DataFrame:
-    """Gini decision tree; adds ``predicted_index``."""
-    from pyspark.ml.classification import DecisionTreeClassifier
-
-    estimator = DecisionTreeClassifier(
-        featuresCol="_vector", labelCol="_label", predictionCol="_prediction", impurity="gini",
-        maxDepth=depth, minInstancesPerNode=leaf, maxBins=bins, seed=42)
-    model = estimator.fit(_assembled(materialise(train), list(features), target))
-    return model.transform(_assembled(rows, list(features), target)).select(
-        *rows.columns, F.col("_prediction").cast("int").alias("predicted_index"))
+                    target: str = "risk_label_index", depth: int = 3, leaf: int = 2) -> DataFrame:
+    """Gini decision tree; adds ``leaf`` and ``predicted_index``."""
+    return tree_apply(rows, tree_fit(train, features, target, depth=depth, leaf=leaf))
 
 
 def rounded_probabilities(scored: DataFrame, decimals: int = 6) -> DataFrame:

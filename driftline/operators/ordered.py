@@ -150,6 +150,28 @@ def cumulative_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def running_sums(df: DataFrame, keys: list[str], order: str, sums: list[str]) -> DataFrame:
+    """``before_*`` and ``total_*`` of every column in ``sums``, over the rows of the same keys.
+
+    ``order`` is unique within the keys.  Rows are sorted by one range shuffle, in as many parts as
+    the session shuffles into, so a hot key is cut wherever it is large; parts carry their sums over.
+    """
+    placed = materialise(df.repartitionByRange(*keys, order).withColumn(
+        "_part", F.spark_partition_id()))
+    parts = placed.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_sum_{c}") for c in sums])
+    every = Window.partitionBy(*keys)
+    earlier = every.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = parts.select(*keys, "_part", *[expr for c in sums for expr in (
+        F.coalesce(F.sum(f"_sum_{c}").over(earlier), F.lit(0)).alias(f"_carry_{c}"),
+        F.sum(f"_sum_{c}").over(every).alias(f"total_{c}"))])
+    inside = _window([*keys, "_part"], order).rowsBetween(Window.unboundedPreceding, -1)
+    return placed.withColumns({
+        f"_inside_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums
+    }).join(carried, [*keys, "_part"]).select(
+        *df.columns, *[(F.col(f"_carry_{c}") + F.col(f"_inside_{c}")).alias(f"before_{c}")
+                       for c in sums], *[f"total_{c}" for c in sums])
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, outputs: dict[str, float],
                     extent: bool = False, accuracy: int = 20_000) -> DataFrame:
     """Linear-interpolated quantiles per key, exact for groups of any size.

@@ -168,3 +168,51 @@ def test_model_document_round_trip(spark, tmp_path):
     (tmp_path / "bad" / "a.json").write_text('{"beta": [1.0], "theta": [0.5], "class_order": ["x", "y"]}')
     with pytest.raises(ValueError):
         read_model(spark, str(tmp_path / "bad"))
+
+
+def tree_by_hand(x, y, depth, leaf, node=0):
+    """(node -> (feature, threshold)), (leaf -> counts) by trying every threshold."""
+    counts = tuple(int((y == k).sum()) for k in range(4))
+    best, score = None, sum(c * c for c in counts) / len(y)
+    for f in range(x.shape[1]) if depth and sum(c > 0 for c in counts) > 1 else ():
+        values = np.unique(x[:, f])
+        for a, b in zip(values, values[1:]):
+            left = x[:, f] <= a
+            if min(left.sum(), (~left).sum()) < leaf:
+                continue
+            both = sum((np.bincount(y[side], minlength=4) ** 2).sum() / side.sum()
+                       for side in (left, ~left))
+            if both > score:
+                best, score = (f, (a + b) / 2, left), both
+    if best is None:
+        return {}, {node: counts}
+    f, threshold, left = best
+    splits, leaves = {node: (FEATURES[f], threshold)}, {}
+    for child, side in ((2 * node + 1, left), (2 * node + 2, ~left)):
+        s, c = tree_by_hand(x[side], y[side], depth - 1, leaf, child)
+        splits |= s
+        leaves |= c
+    return splits, leaves
+
+
+@pytest.mark.parametrize("case", ["distinct", "ties", "pure", "hot"])
+def test_tree_equals_brute_force(spark, case):
+    rng = np.random.default_rng(4)
+    n = 3000 if case == "distinct" else 400
+    x = rng.normal(size=(n, 5))
+    y = np.clip(np.round(x[:, 0] + 0.7 * x[:, 3] + rng.normal(scale=.4, size=n)) + 1, 0, 3).astype(int)
+    if case == "ties":
+        x = np.round(x)
+    if case == "pure":
+        y[:] = 2
+    if case == "hot":  # one value has a third of all rows
+        x[: n // 3] = 0.25
+    frame = pd.DataFrame(x, columns=FEATURES).assign(risk_label_index=y)
+    df = spark.createDataFrame(frame)
+    tree = mo.tree_fit(df)
+    splits, leaves = tree_by_hand(x, y, 3, 2)
+    assert tree.splits == splits and {n: tree.counts[n] for n in tree.leaves()} == leaves
+    counts = {(r.leaf, r.predicted_index): r["count"] for r in mo.tree_apply(df, tree).groupBy(
+        "leaf", "predicted_index").count().collect()}
+    assert counts == {(n, int(np.argmax(c))): sum(c) for n, c in leaves.items()}
+    assert case != "distinct" or len(np.unique(x[:, 0])) > 256
