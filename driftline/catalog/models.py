@@ -180,29 +180,124 @@ def fitted_population(spark, sf_dir):
     return mo.fitted_population(co.matrix(spark, sf_dir))
 
 
+def _newton_sql(name, source, terms, gradient, hessian, start, ridge, steps):
+    """Newton's method as a recursive query: states ``x`` by ``iteration``, from ``start``.
+
+    ``terms`` are columns per row of ``source`` and state ``s.x``; gradient and (lower) Hessian are
+    sums over them, plus ``ridge`` times the state.  The linear system is solved by Gauss-Jordan
+    steps on its rows as lists.
+    """
+    n = len(start)
+    sums = ", ".join([f"sum({g}) AS g{i}" for i, g in enumerate(gradient)] + [
+        f"sum({hessian(i, j)}) AS h{i}_{j}" for i in range(n) for j in range(i + 1)])
+    cells = [[f"h{max(i, j)}_{min(i, j)}" + (f" + {ridge[i]!r}" if i == j and ridge[i] else "")
+              for j in range(n)] + [f"-(g{i}" + (f" + {ridge[i]!r} * x[{i + 1}]" if ridge[i] else "") + ")"]
+             for i in range(n)]
+    system = "[" + ", ".join("[" + ", ".join(row) + "]" for row in cells) + "]"
+    pivots = ", ".join(f"[[{p}.0e0]]" for p in range(1, n + 1))
+    solved = f"""list_reduce([{system}, {pivots}], lambda m, e: list_transform(m, lambda row, i:
+        CASE WHEN i = CAST(e[1][1] AS INTEGER)
+             THEN list_transform(row, lambda v: v / row[CAST(e[1][1] AS INTEGER)])
+             ELSE list_transform(row, lambda v, j: v - row[CAST(e[1][1] AS INTEGER)]
+                  * m[CAST(e[1][1] AS INTEGER)][j]
+                  / m[CAST(e[1][1] AS INTEGER)][CAST(e[1][1] AS INTEGER)]) END))"""
+    return f"""{name} AS (
+  SELECT 0 AS iteration, CAST({start!r} AS DOUBLE[]) AS x
+  UNION ALL
+  SELECT iteration + 1, list_transform({solved}, lambda row, i: row[{n + 1}] + x[i])
+  FROM (SELECT iteration, x, {sums} FROM (
+          SELECT s.iteration, s.x, {terms} FROM {name} s, {source})
+        GROUP BY iteration, x)
+  WHERE iteration < {steps})"""
+
+
+SCALED = MATRIX + f""", scaling AS (
+  SELECT {", ".join(f"avg({n}) AS m{i}, stddev_pop({n}) AS s{i}" for i, n in enumerate(FEATURES))}
+  FROM matrix WHERE dataset_partition = 'development'),
+scaled AS (
+  SELECT window_id, dataset_partition, risk_label_index AS y,
+         [{", ".join(f"({n} - m{i}) / CASE WHEN s{i} = 0 THEN 1 ELSE s{i} END" for i, n in enumerate(FEATURES))}] AS z
+  FROM matrix, scaling)"""
+# the parameters are beta and the increments of theta; a row meets each threshold k with the
+# vector a for which a . x = theta[k] - beta . z
+ORDINAL = SCALED + """, design AS (
+  SELECT window_id, dataset_partition, y, k, CASE WHEN y <= k THEN 1.0e0 ELSE -1.0e0 END AS side,
+         list_concat(list_transform(z, lambda v: -v),
+                     [1.0e0, CASE WHEN k >= 1 THEN 1.0e0 ELSE 0.0e0 END,
+                      CASE WHEN k >= 2 THEN 1.0e0 ELSE 0.0e0 END]) AS a
+  FROM scaled, range(3) t(k)),
+""" + _newton_sql(
+    "states", "(SELECT * FROM design WHERE dataset_partition = 'development') d",
+    "d.a, d.side, 1 / (1 + exp(d.side * list_dot_product(d.a, s.x))) AS fault",
+    [f"-side * fault * a[{i + 1}]" for i in range(8)],
+    lambda i, j: f"fault * (1 - fault) * a[{i + 1}] * a[{j + 1}]",
+    [0.0] * 5 + [0.0, 1.0, 2.0], [1.0] * 5 + [0.0] * 3, 12) + """,
+progress AS (
+  SELECT iteration, x, loss + 0.5e0 * list_dot_product(x[1:5], x[1:5]) AS objective,
+         list_max(list_transform(g, lambda v, i: abs(v + CASE WHEN i <= 5 THEN x[i] ELSE 0 END))) AS norm
+  FROM (SELECT iteration, x, sum(greatest(-margin, 0) + ln(1 + exp(-abs(margin)))) AS loss,
+               [""" + ", ".join(f"sum(-side * a[{i + 1}] / (1 + exp(margin)))" for i in range(8)) + """] AS g
+        FROM (SELECT s.iteration, s.x, d.a, d.side, d.side * list_dot_product(d.a, s.x) AS margin
+              FROM states s, design d WHERE d.dataset_partition = 'development')
+        GROUP BY iteration, x)),
+trace AS (
+  SELECT iteration, objective, norm, x, [x[6], x[6] + x[7], x[6] + x[7] + x[8]] AS theta FROM progress
+  WHERE iteration <= (SELECT min(iteration) FROM progress
+                      WHERE norm <= 1e-9 * greatest(1, abs(objective))))"""
+
+
 def _fit(spark, sf_dir):
+    """A fit on the development windows; one that did not converge is no result."""
     from driftline.session import materialise
 
     matrix = materialise(co.matrix(spark, sf_dir))
-    fit = mo.ordinal_fit(matrix.filter("dataset_partition = 'development'"))
-    return fit, matrix
-
-
-@query("ordinal_fit")
+    return mo.require_converged(mo.ordinal_fit(
+        matrix.filter(F.col("dataset_partition") == mo.FIT_PARTITION))), matrix
+
+
+@query("ordinal_fit", with_tables(ORDINAL, body=f"""
+SELECT parameter, CAST(position AS INTEGER) AS position, {rounded('value', 5)} AS value FROM (
+  SELECT 'mean' AS parameter, i AS position, [{", ".join(f"m{i}" for i in range(5))}][i + 1] AS value
+  FROM scaling, range(5) r(i)
+  UNION ALL SELECT 'scale', i, [{", ".join(f"s{i}" for i in range(5))}][i + 1] FROM scaling, range(5) r(i)
+  UNION ALL SELECT 'beta', i, x[i + 1] FROM (SELECT * FROM trace ORDER BY iteration DESC LIMIT 1), range(5) r(i)
+  UNION ALL SELECT 'theta', i, theta[i + 1]
+  FROM (SELECT * FROM trace ORDER BY iteration DESC LIMIT 1), range(3) r(i))"""))
 def ordinal_fit(spark, sf_dir):
     fit, _ = _fit(spark, sf_dir)
     m = fit.model
-    rows = [("mean", i, v) for i, v in enumerate(m.mean)] + [
-        ("scale", i, v) for i, v in enumerate(m.scale)] + [
-        ("beta", i, v) for i, v in enumerate(m.beta)] + [
-        ("theta", i, v) for i, v in enumerate(m.theta)]
-    return spark.createDataFrame(rows, "parameter string, position int, value double")
-
-
-@query("fit_trace")
+    rows = [(name, i, float(v)) for name in ("mean", "scale", "beta", "theta")
+            for i, v in enumerate(getattr(m, name))]
+    return spark.createDataFrame(rows, "parameter string, position int, value double").withColumn(
+        "value", stable_round(F.col("value"), 5))
+
+
+@query("fit_trace", with_tables(ORDINAL, body=f"""
+, guesses AS (
+  SELECT t.iteration, v.y AS truth, CASE WHEN p0 >= p1 AND p0 >= p2 AND p0 >= p3 THEN 0
+         WHEN p1 >= p2 AND p1 >= p3 THEN 1 WHEN p2 >= p3 THEN 2 ELSE 3 END AS predicted
+  FROM (SELECT iteration, window_id, c[1] AS p0, c[2] - c[1] AS p1, c[3] - c[2] AS p2, 1 - c[3] AS p3
+        FROM (SELECT t.iteration, s.window_id, list_transform(t.theta, lambda th:
+                1 / (1 + exp(-(th - list_dot_product(t.x[1:5], s.z))))) AS c
+              FROM trace t, scaled s WHERE s.dataset_partition = 'validation')) t
+  JOIN scaled v USING (window_id)),
+quality AS (
+  SELECT iteration, any_value(accuracy) AS accuracy, avg(f1) AS macro_f1 FROM (
+    SELECT iteration, k, avg(CASE WHEN truth = predicted THEN 1.0e0 ELSE 0 END) AS accuracy,
+           coalesce(2.0e0 * count(*) FILTER (truth = k AND predicted = k) / nullif(
+             count(*) FILTER (truth = k) + count(*) FILTER (predicted = k), 0), 0) AS f1
+    FROM guesses, range(4) c(k) GROUP BY iteration, k) GROUP BY iteration)
+SELECT CAST(iteration AS INTEGER) AS iteration, {rounded('objective', 5)} AS objective,
+       {rounded('objective / (SELECT objective FROM trace WHERE iteration = 0)')} AS normalised_objective,
+       {rounded('norm', 5)} AS gradient_norm, {rounded('accuracy')} AS validation_accuracy,
+       {rounded('macro_f1')} AS validation_macro_f1
+FROM trace LEFT JOIN quality USING (iteration)"""))
 def fit_trace(spark, sf_dir):
     fit, matrix = _fit(spark, sf_dir)
-    return mo.fit_trace(fit, matrix.filter("dataset_partition = 'validation'"))
+    trace = mo.fit_trace(fit, matrix.filter("dataset_partition = 'validation'"))
+    digits = {"objective": 5, "gradient_norm": 5}
+    return trace.select("iteration", *[
+        stable_round(F.col(c), digits.get(c, 6)).alias(c) for c in trace.columns if c != "iteration"])
 
 
 def _comparator(spark, sf_dir, method, *more):
@@ -214,7 +309,26 @@ def _comparator(spark, sf_dir, method, *more):
         "window_id", "dataset_partition", "risk_label_index", *more, "predicted_index")
 
 
-@query("logistic_comparator")
+# 24 weights: per class five features and the intercept; a shift of all intercepts changes no
+# probability, so a small ridge holds them
+LOGISTIC = SCALED + """, rows_ AS (
+  SELECT window_id, dataset_partition, y, list_append(z, 1.0e0) AS a FROM scaled),
+""" + _newton_sql(
+    "states", "(SELECT * FROM rows_ WHERE dataset_partition = 'development') d",
+    "d.a, d.y, list_transform([0, 1, 2, 3], lambda k: exp(list_dot_product(d.a, s.x[6 * k + 1:6 * k + 6]))"
+    " / list_sum(list_transform([0, 1, 2, 3], lambda c: exp(list_dot_product(d.a, s.x[6 * c + 1:6 * c + 6]))))) AS p",
+    [f"(p[{i // 6 + 1}] - CASE WHEN y = {i // 6} THEN 1 ELSE 0 END) * a[{i % 6 + 1}]" for i in range(24)],
+    lambda i, j: (f"p[{i // 6 + 1}] * ({1 if i // 6 == j // 6 else 0} - p[{j // 6 + 1}])"
+                  f" * a[{i % 6 + 1}] * a[{j % 6 + 1}]"),
+    [0.0] * 24, ([1.0] * 5 + [1e-6]) * 4, 12)
+
+
+@query("logistic_comparator", with_tables(LOGISTIC, body="""
+SELECT window_id, dataset_partition, risk_label_index, CASE WHEN u[1] >= u[2] AND u[1] >= u[3] AND u[1] >= u[4]
+         THEN 0 WHEN u[2] >= u[3] AND u[2] >= u[4] THEN 1 WHEN u[3] >= u[4] THEN 2 ELSE 3 END AS predicted_index
+FROM (SELECT window_id, dataset_partition, y AS risk_label_index, list_transform([0, 1, 2, 3], lambda k:
+               list_dot_product(a, x[6 * k + 1:6 * k + 6])) AS u
+      FROM rows_, (SELECT x FROM states ORDER BY iteration DESC LIMIT 1))"""))
 def logistic_comparator(spark, sf_dir):
     return _comparator(spark, sf_dir, mo.logistic_comparator)
 

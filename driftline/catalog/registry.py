@@ -30,4 +30,4 @@ def rounded(expression: str, decimals: int = 6) -> str:
 
 
 def with_tables(*ctes: str, body: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n" + body.strip()
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + body.strip()

@@ -255,7 +255,11 @@ def guarded_fit(matrix: DataFrame, candidates: DataFrame, **settings) -> Ordinal
     problems = [f"{r.problem} {r.detail}" for r in fit_partition_guard(matrix, candidates).collect()]
     if problems:
         raise ValueError(f"fit refused: {', '.join(sorted(problems))}")
-    fit = ordinal_fit(matrix.filter(F.col("dataset_partition") == FIT_PARTITION), **settings)
+    return require_converged(ordinal_fit(
+        matrix.filter(F.col("dataset_partition") == FIT_PARTITION), **settings))
+
+
+def require_converged(fit: OrdinalFit) -> OrdinalFit:
     if not fit.converged:
         raise ArithmeticError(f"fit did not converge in {len(fit.trace) - 1} iterations")
     return fit
