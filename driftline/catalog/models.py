@@ -678,3 +678,33 @@ WINDOW w AS (PARTITION BY session_id ORDER BY timestamp RANGE BETWEEN {3 * t.DAY
 def exposure_history(spark, sf_dir):
     return mn.exposure_history(t.point_events(spark, sf_dir), 3 * t.DAY, {
         "leaks": "PHYSICAL_LEAK_OBSERVED", "ignored_alerts": "ALERT_IGNORED"})
+
+
+WET = {"PHYSICAL_LEAK_OBSERVED": 3 * t.DAY, "LEAK_FLAG_CONFIRMED": t.DAY, "LEAK_FLAG_FIRST": t.DAY // 2}
+
+
+@query("longest_exposure", with_tables(t.POINT_EVENTS, f"""wet AS (
+  SELECT session_id, seq, timestamp AS start_timestamp, timestamp + CASE event_type {" ".join(
+      f"WHEN '{kind}' THEN {ms}" for kind, ms in WET.items())} END AS end_timestamp
+  FROM point_events WHERE event_type IN ({", ".join(f"'{kind}'" for kind in WET)})),
+opened AS (
+  SELECT *, start_timestamp > coalesce(max(end_timestamp) OVER (
+           PARTITION BY session_id ORDER BY start_timestamp, seq
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) + {t.HOUR} AS opens FROM wet),
+numbered AS (
+  SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (
+           PARTITION BY session_id ORDER BY start_timestamp, seq) AS exposure FROM opened),
+exposures AS (
+  SELECT session_id, max(end_timestamp) - min(start_timestamp) AS ms FROM numbered
+  GROUP BY session_id, exposure)""", body="""
+SELECT session_id, count(*) AS exposure_count, CAST(sum(ms) AS BIGINT) AS total_exposure_ms,
+       max(ms) AS longest_exposure_ms
+FROM exposures GROUP BY session_id"""))
+def longest_exposure(spark, sf_dir):
+    """Wet times after leaks and leak flags, joined where less than an hour lies between them."""
+    events = t.point_events(spark, sf_dir)
+    wet = F.coalesce(*[F.when(F.col("event_type") == kind, F.lit(ms)) for kind, ms in WET.items()])
+    intervals = events.where(wet.isNotNull()).select(
+        "session_id", "seq", F.col("timestamp").alias("start_timestamp"),
+        (F.col("timestamp") + wet).alias("end_timestamp"))
+    return mn.longest_exposure(mn.coalesced_intervals(intervals, t.HOUR, block_ms=t.DAY))

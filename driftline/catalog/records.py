@@ -397,17 +397,36 @@ def attach_partition(spark, sf_dir):
                     t.partition_manifest(spark, sf_dir), ["dataset_partition"])
 
 
-@query("canonical_text", """
+# every scale from 1e-9 to 1e14, both signs, and values without a finite text
+SCALED_VALUE = ("CASE k WHEN 1 THEN CAST('NaN' AS DOUBLE) WHEN 2 THEN CAST('Infinity' AS DOUBLE) "
+                "WHEN 3 THEN CAST('-Infinity' AS DOUBLE) WHEN 4 THEN NULL WHEN 5 THEN -0.0e0 "
+                "ELSE (value / 7.0e0) * (CASE WHEN event_id % 3 = 0 THEN -1.0e0 ELSE 1.0e0 END) {} END")
+SCALES = tuple(range(-9, 15))
+SCALE_SQL = "* CASE event_id % 24 " + " ".join(
+    f"WHEN {i} THEN 1.0e{n}" for i, n in enumerate(SCALES)) + " END"
+
+
+@query("canonical_text", f"""
 SELECT event_id, CAST(CAST(k AS DECIMAL(10,0)) AS VARCHAR) AS k_text, is_view,
-       CASE WHEN value < 1 THEN '' ELSE
-         rtrim(rtrim(printf('%.6f', value), '0'), '.') END AS value_text
-FROM (SELECT event_id, value, CASE WHEN event_type = 'view' THEN 'true' ELSE 'false' END AS is_view,
-             CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events)""")
+       rtrim(rtrim(printf('%.6f', {rounded('value')}), '0'), '.') AS value_text,
+       CASE WHEN scaled IS NULL THEN '' WHEN isnan(scaled) THEN 'NaN'
+            WHEN isinf(scaled) THEN CASE WHEN scaled > 0 THEN 'Infinity' ELSE '-Infinity' END
+            WHEN scaled = 0 THEN '0' ELSE printf('%.12g', scaled) END AS significant_text
+FROM (SELECT event_id, k, value, is_view, {SCALED_VALUE.format(SCALE_SQL)} AS scaled
+      FROM (SELECT event_id, value, CASE WHEN event_type = 'view' THEN 'true' ELSE 'false' END AS is_view,
+                   CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events))""")
 def canonical_text(spark, sf_dir):
     from driftline.functions import rounding
 
-    big_enough = F.when(F.col("value") >= 1, F.col("value"))
-    return t.ev(spark, sf_dir).select(
-        "event_id", rounding.canonical_number(F.col("k").cast("double"), 0).alias("k_text"),
+    k, which = F.col("k"), F.col("event_id") % 24
+    scale = F.coalesce(*[F.when(which == i, F.lit(float(f"1e{n}"))) for i, n in enumerate(SCALES)])
+    sign = F.when(F.col("event_id") % 3 == 0, -1.0).otherwise(1.0)
+    special = {1: float("nan"), 2: float("inf"), 3: -float("inf"), 5: -0.0}
+    scaled = F.when(k != 4, F.coalesce(
+        *[F.when(k == i, F.lit(x)) for i, x in special.items()], F.col("value") / 7.0 * sign * scale))
+    rows = t.ev(spark, sf_dir).withColumn("scaled", scaled)
+    return rows.select(
+        "event_id", rounding.canonical_number(k.cast("double"), 0).alias("k_text"),
         rounding.canonical_boolean(F.col("event_type") == "view").alias("is_view"),
-        rounding.canonical_number(big_enough).alias("value_text"))
+        rounding.canonical_number(F.col("value")).alias("value_text"),
+        rounding.canonical_significant(F.col("scaled")).alias("significant_text"))

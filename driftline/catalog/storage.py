@@ -10,7 +10,7 @@ from driftline.catalog import tables as t, windows as cw
 from driftline.catalog.registry import query, with_tables
 from driftline.operators import windows as w
 from driftline.session import materialise, shared_dir
-from driftline.sources import documents as doc, manifest as mf, tables as st
+from driftline.sources import documents as doc, intake, manifest as mf, tables as st
 
 
 def _folder(spark):
@@ -46,24 +46,56 @@ def scan_contract_csv(spark, sf_dir):
                        F.col("fields_read")[1].alias("session_id")), allowMissingColumns=True)
 
 
+STATUSES = {"qty": ("N", "A"), "price": ("O", "F"), "disc": ("OK",), "tax": ("OK", "NOT_EVALUATED")}
+#: Text of faulty fields: which samples of a session have it, the field, and what stands there.
+BROKEN = ((50, 7, "price", "NaN"), (60, 11, "sample_no", "1.0"), (70, 13, "tax", ""),
+          (80, 17, "elapsed_ms", "late"), (90, 19, "disc_status", "ok"))
 LOGGER_CSV = t.LOGGER + """, parted AS (
-  SELECT session_id, CAST(sample_no AS VARCHAR) AS sample_no, CAST(elapsed_ms AS VARCHAR) AS elapsed_ms,
-         CAST(CAST(qty AS BIGINT) AS VARCHAR) AS qty, qty_status FROM logger)"""
-
-
-@query("scan_logger_csv", with_tables(LOGGER_CSV, body="""
-SELECT session_id, sample_no, elapsed_ms, qty, qty_status FROM parted"""))
+  SELECT session_id, sample_no AS n, """ + ", ".join(
+    "CASE " + "".join(f"WHEN sample_no % {every} = {at} THEN '{text}' " for every, at, name, text in BROKEN
+                      if name == field) + f"ELSE CAST({field} AS VARCHAR) END AS {field}"
+    if any(b[2] == field for b in BROKEN) else f"CAST({field} AS VARCHAR) AS {field}"
+    for field in ("sample_no", "elapsed_ms", *(x for c in STATUSES for x in (c, f"{c}_status")))) + """
+  FROM logger),
+faults AS (""" + "\n  UNION ALL ".join(
+    [f"SELECT session_id, n, '{name}' AS field, {name} AS text, 'NUMBER' AS problem FROM parted "
+     f"WHERE n % {every} = {at}" for every, at, name, _ in BROKEN if not name.endswith("_status")]
+    + [f"SELECT session_id, n, '{c}_status', {c}_status, 'STATUS' FROM parted WHERE {c}_status NOT IN "
+       f"({', '.join(repr(x) for x in allowed)})" for c, allowed in STATUSES.items()]) + """),
+good AS (SELECT * FROM parted WHERE (session_id, n) NOT IN (SELECT (session_id, n) FROM faults))"""
+
+
+@query("scan_logger_csv", with_tables(LOGGER_CSV, body="\nUNION ALL ".join(
+    [f"""SELECT session_id, sample_no, CAST(elapsed_ms AS BIGINT) AS elapsed_ms, '{c}' AS field,
+       CAST({c} AS DOUBLE) AS value, {c}_status AS text, '' AS problem FROM good""" for c in STATUSES]
+    + ["""SELECT session_id, p.sample_no, NULL, field, NULL, text, problem
+FROM faults JOIN parted p USING (session_id, n)"""])))
 def scan_logger_csv(spark, sf_dir):
-    """Logger rows written one folder per session, read back with the session from the path."""
-    rows = t.logger(spark, sf_dir).select(
-        "session_id", "sample_no", "elapsed_ms", F.col("qty").cast("bigint").alias("qty"),
-        "qty_status")
+    """All channels of the logger as CSV text with some broken fields, typed again, with rejects."""
+    rows = t.logger(spark, sf_dir)
+    fields = ["sample_no", "elapsed_ms", *(x for c in STATUSES for x in (c, f"{c}_status"))]
+    for field in fields:
+        text = F.col(field).cast("string")
+        for every, at, name, broken in BROKEN:
+            if name == field:
+                text = F.when(F.col("n") % every == at, F.lit(broken)).otherwise(text)
+        rows = rows.withColumn("n", F.col("sample_no")) if "n" not in rows.columns else rows
+        rows = rows.withColumn(f"_{field}", text)
     path = _folder(spark)
-    rows.repartition("session_id").write.partitionBy("session_id").option("header", True).csv(path)
-    scanned = st.scan_logger_csv(spark, f"{path}/*", channels=("qty",))
-    return scanned.select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"session_id=([^/]+)", 1).alias("session_id"),
-        "sample_no", "elapsed_ms", "qty", "qty_status")
+    # few files per session without dealing a session to one task
+    rows.select("session_id", *[F.col(f"_{f}").alias(f) for f in fields]).repartition(
+        F.col("session_id"), F.col("n") % 4).write.partitionBy("session_id").option(
+        "header", True).option("emptyValue", "").csv(path)
+    scanned = st.scan_logger_csv(spark, f"{path}/*", channels=tuple(STATUSES)).withColumn(
+        "session_id", F.regexp_extract(F.col("_metadata.file_path"), r"session_id=([^/]+)", 1))
+    clean, _ = st.split_quarantine(scanned)
+    typed, rejected = intake.logger_intake(clean, tuple(STATUSES), STATUSES)
+    return intake.channel_rows(typed, tuple(STATUSES)).select(
+        "session_id", F.col("sample_no").cast("string").alias("sample_no"), "elapsed_ms",
+        F.col("channel").alias("field"), "value", F.col("status").alias("text"),
+        F.lit("").alias("problem")).unionByName(rejected.select(
+            "session_id", F.col("sample_text").alias("sample_no"), "field", "text", "problem"),
+        allowMissingColumns=True)
 
 
 @query("scan_session_files", with_tables(t.LOGGER, t.PLAN, body="""
@@ -75,7 +107,8 @@ WHERE c.file_name IS NULL OR p.file_name IS NULL"""))
 def scan_session_files(spark, sf_dir):
     rows = t.logger(spark, sf_dir).select("session_id", "sample_no")
     path = _folder(spark)
-    rows.repartition("session_id").write.partitionBy("session_id").option("header", True).csv(path)
+    rows.repartition(F.col("session_id"), F.col("sample_no") % 4).write.partitionBy(
+        "session_id").option("header", True).csv(path)
     present = spark.read.format("binaryFile").load(f"{path}/*").select(
         F.regexp_extract("path", r"(session_id=[^/]+)/[^/]+$", 1).alias("file_name"))
     configured = t.table(spark, sf_dir, "supplier").select(
@@ -83,17 +116,31 @@ def scan_session_files(spark, sf_dir):
     return st.scan_session_files(present, configured)
 
 
-@query("scan_json_documents", with_tables(t.EV, body="""
-SELECT event_id, k % 10 <> 3 AS is_object, CASE WHEN k % 10 <> 3 THEN 'origin-' || user_id END AS dataset_origin
-FROM ev"""))
+@query("scan_json_documents", """
+SELECT CAST(s_suppkey AS BIGINT) AS doc, CASE s_suppkey % 7 WHEN 1 THEN 'NOT_JSON' WHEN 2 THEN 'NOT_OBJECT'
+         WHEN 3 THEN 'SCHEMA' WHEN 4 THEN 'SCHEMA' ELSE '' END AS problem,
+       CASE WHEN s_suppkey % 7 IN (0, 5, 6) THEN s_name END AS dataset_origin,
+       CASE WHEN s_suppkey % 7 IN (0, 5, 6) THEN CAST(s_nationkey AS BIGINT) END AS revision
+FROM supplier""")
 def scan_json_documents(spark, sf_dir):
-    body = F.when(F.col("k") % 10 == 3, F.lit("[1, 2]")).otherwise(
-        F.to_json(F.struct(F.concat(F.lit("origin-"), F.col("user_id")).alias("dataset_origin"),
-                           F.col("k"))))
-    rows = t.ev(spark, sf_dir).select("event_id", body.alias("body"))
-    parsed = doc.parse_json_rows(rows, "body", doc.ORIGIN_SCHEMA)
-    return parsed.select("event_id", F.col("document").isNotNull().alias("is_object"),
-                         F.col("document.dataset_origin").alias("dataset_origin"))
+    """One file per supplier: objects, some of another shape, arrays and broken text."""
+    kind = F.col("s_suppkey") % 7
+    good = F.to_json(F.struct(F.col("s_name").alias("dataset_origin"),
+                              F.col("s_nationkey").alias("revision"), F.col("s_acctbal")))
+    body = (F.when(kind == 1, F.concat(F.lit('{"dataset_origin": '), "s_name"))
+            .when(kind == 2, F.concat(F.lit("["), good, F.lit("]")))
+            .when(kind == 3, F.to_json(F.struct(F.col("s_nationkey").alias("revision"))))
+            .when(kind == 4, F.to_json(F.struct(F.col("s_name").alias("dataset_origin"),
+                                                F.lit("new").alias("revision"))))
+            .otherwise(good))
+    path = _folder(spark)
+    t.table(spark, sf_dir, "supplier").select(
+        body.alias("value"), F.col("s_suppkey").cast("bigint").alias("doc")).write.partitionBy(
+        "doc").text(path)
+    found = doc.scan_whole_documents(spark, path, {
+        "dataset_origin": "string", "revision": "bigint"})
+    return found.select(F.col("doc").cast("bigint").alias("doc"), "problem", "dataset_origin",
+                        "revision")
 
 
 @query("append_tables", with_tables(t.SAMPLES, body="""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from driftline.operators.ordered import block_of, lag_in_order
+from driftline.operators.ordered import block_of, lag_in_order, running_max_before
 
 WARNING_CLASS = 2
 HOUR_MS = 3_600_000.0
@@ -114,6 +114,27 @@ def exposure_history(events: DataFrame, horizon_ms: int, counted: dict[str, str]
         "session_id", "seq", "timestamp", *counted)
 
 
+def coalesced_intervals(intervals: DataFrame, gap_ms: int, block_ms: int) -> DataFrame:
+    """Intervals of a session that overlap, or lie at most ``gap_ms`` apart, as one.
+
+    ``intervals``: ``session_id``, ``seq``, ``start_timestamp``, ``end_timestamp``.  Two segmented
+    scans over blocks of start times: one carries the latest end so far, which tells where a new
+    interval begins; the other the latest such begin, which names the interval a row belongs to.
+    An interval may span any number of blocks, and a session any number of tasks.
+    """
+    order = ["start_timestamp", "seq"]
+    reached = running_max_before(intervals, ["session_id"], order, F.col("end_timestamp"),
+                                 "_reached", block_ms)
+    opens = F.col("_reached").isNull() | (
+        F.col("start_timestamp") > F.col("_reached") + F.lit(gap_ms))
+    begun = reached.withColumn("_opens", F.when(opens, F.col("start_timestamp")))
+    begun = running_max_before(begun, ["session_id"], order, F.col("_opens"), "_before", block_ms)
+    return begun.groupBy("session_id", F.coalesce("_opens", "_before").alias("_begin")).agg(
+        F.min("start_timestamp").alias("start_timestamp"),
+        F.max("end_timestamp").alias("end_timestamp"), F.count(F.lit(1)).alias("interval_count")
+    ).drop("_begin")
+
+
 def longest_exposure(pairs: DataFrame) -> DataFrame:
     """Exposure count, total and longest duration per session from (start, end) rows."""
     duration = F.col("end_timestamp") - F.col("start_timestamp")

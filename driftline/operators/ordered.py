@@ -150,6 +150,23 @@ def cumulative_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def running_max_before(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str,
+                       block_width: int | float) -> DataFrame:
+    """Greatest ``value`` among the rows of a key that stand before a row (null for the first).
+
+    A block hands on the greatest value of all blocks up to it, so what began long before still
+    shows many blocks later.
+    """
+    block = df.withColumns({BLOCK_COLUMN: block_of(F.col(order[0]), block_width), "_value": value})
+    tops = block.groupBy(*keys, BLOCK_COLUMN).agg(F.max("_value").alias("_top"))
+    carried = tops.select(*keys, BLOCK_COLUMN, F.max("_top").over(
+        _window(keys, BLOCK_COLUMN).rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    inside = _window([*keys, BLOCK_COLUMN], *order).rowsBetween(Window.unboundedPreceding, -1)
+    return block.withColumn("_inside", F.max("_value").over(inside)).join(
+        carried, [*keys, BLOCK_COLUMN]).select(
+        *df.columns, F.greatest("_inside", "_carry").alias(name))
+
+
 def running_sums(df: DataFrame, keys: list[str], order: str, sums: list[str]) -> DataFrame:
     """``before_*`` and ``total_*`` of every column in ``sums``, over the rows of the same keys.
 

@@ -53,6 +53,7 @@ def quality_gate(sessions: DataFrame, samples: DataFrame, events: DataFrame,
 
 @dataclass(frozen=True)
 class Pilot:
+    cadence: DataFrame
     one_hz: DataFrame
     baseline: DataFrame
     normalised: DataFrame
@@ -61,9 +62,14 @@ class Pilot:
 
 
 def pilot(rows: DataFrame, channels: dict[str, str], model_channels: list[str], rate: int,
-          baseline_s: int, spec: w.WindowSpec) -> Pilot:
-    """High-rate logger rows to bins, baselines, normalised bins, grid windows and report."""
+          baseline_s: int, spec: w.WindowSpec, arrival: str = "sample_no") -> Pilot:
+    """High-rate logger rows to bins, baselines, normalised bins, grid windows and report.
+
+    ``cadence`` lists the rows that break the logger's fixed cadence, in the order of ``arrival``;
+    their bins are not what the sample numbers say, so callers refuse such sessions.
+    """
     names = list(channels)
+    cadence = resample.cadence_check(rows, 1000 // rate, arrival)
     one_hz = materialise(resample.count_bins_median(rows, channels, rate))
     baseline = resample.robust_baseline(one_hz, names, baseline_s)
     normalised = resample.normalised_delta(one_hz, baseline, names)
@@ -71,7 +77,7 @@ def pilot(rows: DataFrame, channels: dict[str, str], model_channels: list[str],
         normalised, {c: f"{c}_delta_norm" for c in model_channels}, spec)
     report = resample.pilot_session_qc(
         rows, channels, baseline, rate, spec.window // 1000, spec.stride // 1000)
-    return Pilot(one_hz, baseline, normalised, windows, report)
+    return Pilot(cadence, one_hz, baseline, normalised, windows, report)
 
 
 def pilot_correlations(one_hz: DataFrame, channels: list[str]) -> DataFrame:

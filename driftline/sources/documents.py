@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from driftline.functions.ordinal import OrdinalModel
 
@@ -30,6 +30,38 @@ def scan_json_documents(spark: SparkSession, path, schema: T.StructType) -> Data
             .json(path).withColumn("file_name", F.col("_metadata.file_name")))
 
 
+def scan_whole_documents(spark: SparkSession, path, fields: dict[str, str]) -> DataFrame:
+    """One row per file: its JSON as VARIANT and the required ``fields`` (name to SQL type).
+
+    ``problem`` is ``NOT_JSON`` for text that does not parse (or is beyond what a VARIANT holds),
+    ``NOT_OBJECT`` for another JSON value, ``SCHEMA`` where a field is missing, null or of another
+    JSON type; typed fields are null then.  Columns of the path's partitions are kept.
+    """
+    files = spark.read.option("wholetext", True).text(path).withColumnRenamed("value", "_body")
+    others = [c for c in files.columns if c != "_body"]
+    parsed = files.select(*others, F.col("_metadata.file_name").alias("file_name"),
+                          F.try_parse_json("_body").alias("document"))
+    kind = F.schema_of_variant("document")
+    shapes = {"string": ["STRING"], "boolean": ["BOOLEAN"], "bigint": ["BIGINT"],
+              "double": ["BIGINT", "DOUBLE", "DECIMAL"]}
+
+    def fits(name: str, to: str) -> Column:
+        found = F.schema_of_variant(F.try_variant_get("document", f"$.{name}", "variant"))
+        return F.coalesce(F.regexp_extract(found, "^[A-Z]+", 0).isin(shapes[to]), F.lit(False))
+
+    complete = F.lit(True)
+    for name, to in fields.items():
+        complete = complete & fits(name, to)
+    problem = (F.when(F.col("document").isNull(), "NOT_JSON")
+               .when(~kind.startswith("OBJECT<"), "NOT_OBJECT")
+               .when(~complete, "SCHEMA").otherwise(""))
+    judged = parsed.withColumn("problem", problem)
+    return judged.select(
+        *others, "file_name", "problem", "document",
+        *[F.when(F.col("problem") == "", F.try_variant_get("document", f"$.{name}", to)).alias(name)
+          for name, to in fields.items()])
+
+
 def parse_json_rows(df: DataFrame, body: str, schema: T.StructType, name: str = "document") -> DataFrame:
     """JSON text column to a struct; null where the text is no object of that shape."""
     is_object = F.coalesce(F.json_object_keys(body).isNotNull(), F.lit(False))

@@ -45,3 +45,43 @@ def type_rows(rows: DataFrame, fields) -> tuple[DataFrame, DataFrame]:
     typed = judged.filter(F.size("rejected_fields") == 0).select(
         *[_typed(name).alias(name) for name in fields], *others)
     return typed, judged.filter(F.size("rejected_fields") > 0)
+
+
+def logger_intake(rows: DataFrame, channels, statuses: dict[str, tuple] | tuple,
+                  keep: tuple[str, ...] = ("session_id",)) -> tuple[DataFrame, DataFrame]:
+    """(typed wide logger rows, rejected fields) of all-string rows of `scan_logger_csv`.
+
+    Sample number and elapsed time are strict integers, channel values finite numbers, and a status
+    is one of the channel's allowed ones (``statuses``: one vocabulary, or one per channel).  A row
+    with a rejected field is left out of the typed rows; each such field is a row of the second
+    table, with the text that was read.
+    """
+    allowed = statuses if isinstance(statuses, dict) else {c: statuses for c in channels}
+    missing = [c for c in channels if c not in allowed]
+    if missing:
+        raise ValueError(f"no allowed statuses for {missing}")
+    numbers = {"sample_no": parsing.strict_int(F.col("sample_no")),
+               "elapsed_ms": parsing.strict_int(F.col("elapsed_ms"))}
+    numbers.update({c: parsing.finite_double(F.col(c)) for c in channels})
+    faults = [(name, value.isNull(), "NUMBER") for name, value in numbers.items()]
+    faults += [(f"{c}_status", ~rules.in_vocabulary(F.col(f"{c}_status"), allowed[c]), "STATUS")
+               for c in channels]
+    judged = rows.withColumn("_faults", F.filter(F.array(*[
+        F.when(F.coalesce(bad, F.lit(True)), F.struct(
+            F.lit(name).alias("field"), F.col(name).alias("text"), F.lit(problem).alias("problem")))
+        for name, bad, problem in faults]), lambda f: f.isNotNull()))
+    typed = judged.where(F.size("_faults") == 0).select(
+        *keep, *[value.alias(name) for name, value in numbers.items()],
+        *[f"{c}_status" for c in channels])
+    rejected = judged.where(F.size("_faults") > 0).select(
+        *keep, F.col("sample_no").alias("sample_text"), F.explode("_faults").alias("_f")).select(
+        *keep, "sample_text", "_f.*")
+    return typed, rejected
+
+
+def channel_rows(typed: DataFrame, channels, keep: tuple[str, ...] = ("session_id",)) -> DataFrame:
+    """Logger rows with one row per channel: ``channel``, ``value``, ``status``."""
+    return typed.select(*keep, "sample_no", "elapsed_ms", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("channel"), F.col(c).cast("double").alias("value"),
+                 F.col(f"{c}_status").alias("status")) for c in channels])).alias("_c")).select(
+        *keep, "sample_no", "elapsed_ms", "_c.*")

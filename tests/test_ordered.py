@@ -102,3 +102,30 @@ def test_per_key_join_both_ways(rows, monkeypatch, limit):
         map(tuple, want.collect()))
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert ("BroadcastHashJoin" in plan) == (limit > 0) or limit == 0
+
+
+def test_coalesced_intervals_span_blocks(spark):
+    from driftline.operators.monitoring import coalesced_intervals, longest_exposure
+
+    rng = random.Random(8)
+    rows = [("hot", i, rng.randrange(0, 40_000)) for i in range(900)]
+    rows += [("long", 2000 + i, 100 * i) for i in range(300)]  # one interval over 60 blocks
+    rows += [("nested", 5000, 0), ("nested", 5001, 500), ("nested", 5002, 20_011), ("one", 6000, 7)]
+    data = [(s, seq, at, at + (20_000 if seq == 5000 else rng.randrange(0, 120)
+                               if s == "hot" else 90)) for s, seq, at in rows]
+    df = spark.createDataFrame(
+        data, "session_id string, seq long, start_timestamp long, end_timestamp long")
+    want = []
+    for session in {r[0] for r in data}:
+        merged = []
+        for _, _, a, b in sorted((r for r in data if r[0] == session), key=lambda r: (r[2], r[1])):
+            if merged and a <= merged[-1][1] + 10:
+                merged[-1] = [merged[-1][0], max(merged[-1][1], b), merged[-1][2] + 1]
+            else:
+                merged.append([a, b, 1])
+        want += [(session, *m) for m in merged]
+    for width in (500, 7, 10 ** 9):
+        got = coalesced_intervals(df, 10, width)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    longest = {r.session_id: r for r in longest_exposure(got).collect()}
+    assert longest["long"].longest_exposure_ms == 29_990 and longest["nested"].exposure_count == 2

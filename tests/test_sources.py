@@ -188,3 +188,56 @@ def test_a_stage_is_scanned_once_while_it_is_written(spark, tmp_path):
     stored = mf.write_stage(frame, str(tmp_path / "out"), "s", "v")
     jobs = set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - set(before)
     assert stored.count() == 50 and len(jobs) <= 2  # the rows, and the one-line manifest
+
+
+def test_logger_intake_types_all_channels_and_lists_rejects(spark, tmp_path):
+    from driftline.sources.intake import channel_rows, logger_intake
+
+    (tmp_path / "P001.csv").write_bytes(
+        b"\xef\xbb\xbfsample_no,elapsed_ms,a,a_status,b,b_status\n"
+        b"0,100,1.5,OK,-2e3,IDLE\n1,200,inf,OK,2,OK\n2,300,7,BAD,,OK\n3.0,400,7,OK,1,OK\n4,500,1,OK,2,\n")
+    rows = st.scan_logger_csv(spark, str(tmp_path), channels=("a", "b"))
+    clean, _ = st.split_quarantine(rows)
+    typed, rejected = logger_intake(clean, ("a", "b"), {"a": ("OK",), "b": ("OK", "IDLE")})
+    assert [tuple(r) for r in typed.collect()] == [("P001", 0, 100, 1.5, -2000.0, "OK", "IDLE")]
+    assert sorted((r.sample_text, r.field, r.text, r.problem) for r in rejected.collect()) == [
+        ("1", "a", "inf", "NUMBER"), ("2", "a_status", "BAD", "STATUS"), ("2", "b", "", "NUMBER"),
+        ("3.0", "sample_no", "3.0", "NUMBER"), ("4", "b_status", "", "STATUS")]
+    assert [(r.channel, r.value, r.status) for r in channel_rows(typed, ("a", "b")).orderBy(
+        "channel").collect()] == [("a", 1.5, "OK"), ("b", -2000.0, "IDLE")]
+    with pytest.raises(ValueError):
+        logger_intake(clean, ("a", "b"), {"a": ("OK",)})
+
+
+def test_pilot_lists_broken_cadence(spark):
+    from driftline.operators.windows import WindowSpec
+    from driftline.plans.pipelines import pilot
+
+    rows = [("ok", n, 100 * n, 1.0, "OK") for n in range(30)]
+    rows += [("gap", n + (n > 4), 100 * (n + (n > 4)), 1.0, "OK") for n in range(30)]
+    rows += [("slow", n, 100 * n + (n == 7), 1.0, "OK") for n in range(30)]
+    df = spark.createDataFrame(
+        rows, "session_id string, sample_no long, elapsed_ms long, a double, a_status string")
+    found = pilot(df, {"a": "a_status"}, ["a"], 10, 1, WindowSpec(window=2000, stride=1000,
+                                                                  expected=2)).cadence.collect()
+    assert {(r.session_id, r.problem) for r in found} == {("gap", "SAMPLE_NO"), ("slow", "ELAPSED")}
+
+
+def test_whole_documents(spark, tmp_path):
+    body = {"good": {"name": "x", "n": 3, "f": 1.5, "more": [1, {"k": None}]},
+            "types": {"name": 4, "n": 3, "f": 1.0}, "null": {"name": None, "n": 1, "f": 1},
+            "missing": {"name": "x", "f": 2}, "whole": {"name": "", "n": -1, "f": 2}}
+    for name, value in body.items():
+        (tmp_path / name).write_text(json.dumps(value, indent=1))
+    (tmp_path / "array").write_text(json.dumps([body["good"]]))
+    (tmp_path / "scalar").write_text("17")
+    (tmp_path / "broken").write_text('{"name": "x", ')
+    (tmp_path / "huge").write_text(json.dumps({**body["good"], "pad": "y" * 12_000_000}))
+    found = {r.file_name: (r.problem, r.name, r.n, r.f) for r in doc.scan_whole_documents(
+        spark, str(tmp_path), {"name": "string", "n": "bigint", "f": "double"}).drop("document").collect()}
+    nothing = (None, None, None)
+    assert found == {
+        "good": ("", "x", 3, 1.5), "whole": ("", "", -1, 2.0), "huge": ("", "x", 3, 1.5),
+        "types": ("SCHEMA", *nothing), "null": ("SCHEMA", *nothing), "missing": ("SCHEMA", *nothing),
+        "array": ("NOT_OBJECT", *nothing), "scalar": ("NOT_OBJECT", *nothing),
+        "broken": ("NOT_JSON", *nothing)}
