@@ -37,7 +37,7 @@ def scan_whole_documents(spark: SparkSession, path, fields: dict[str, str]) -> D
     ``NOT_OBJECT`` for another JSON value, ``SCHEMA`` where a field is missing, null or of another
     JSON type; typed fields are null then.  Columns of the path's partitions are kept.
     """
-    files = spark.read.option("wholetext", True).text(path).withColumnRenamed("value", "_body")
+    files = spark.read.text(path, wholetext=True).withColumnRenamed("value", "_body")
     others = [c for c in files.columns if c != "_body"]
     parsed = files.select(*others, F.col("_metadata.file_name").alias("file_name"),
                           F.try_parse_json("_body").alias("document"))
