@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from driftline.session import materialise
+from driftline.session import is_materialised, materialise
 
 BLOCK_COLUMN = "_block"
 
@@ -56,13 +56,14 @@ def per_key_join(rows: DataFrame, per_key: DataFrame, keys: list[str], order: Co
                  block_width: int | float) -> DataFrame:
     """Add per-key values (one narrow row per key) to rows, whatever the key's size.
 
-    ``per_key`` is checkpointed and measured (rows times row width).  Up to ``BROADCAST_BYTES`` it
+    ``per_key`` is checkpointed, unless it is already, and measured (rows times row width).  Up to ``BROADCAST_BYTES`` it
     is broadcast and the rows are not shuffled at all.  Beyond that the values
     are first copied to each (key, block) that occurs, and rows meet them
     there: a plain join on the key would gather a hot key in one task, and a
     later grouping on (key, ...) would accept that partitioning and keep it.
     """
-    per_key = materialise(per_key)
+    if not is_materialised(per_key):
+        per_key = materialise(per_key)
     width = per_key._jdf.schema().defaultSize()
     if per_key.count() * width <= BROADCAST_BYTES:
         return rows.join(F.broadcast(per_key), keys)
@@ -263,16 +264,19 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, name: str = "avera
 def has_duplicates_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Later occurrences of a key, with the first occurrence's order columns as ``first_*``.
 
-    The first occurrence is a mergeable minimum; only repeated keys are joined
-    back, so a key that fills a third of the table never meets one task.
+    The rows of a key are dealt by a salt from their order.  Each (key, salt) finds its first row
+    by a mergeable minimum, the salts of a key agree on the first of all, and only repeated keys
+    meet their rows again, by (key, salt): a key that fills a third of the table is spread.
     """
-    first = (
-        df.groupBy(*keys)
-        .agg(F.min(F.struct(*order)).alias("_first"), F.count(F.lit(1)).alias("occurrences"))
-        .filter(F.col("occurrences") > 1)
-    )
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
+    parts = salted.groupBy(*keys, "_salt").agg(
+        F.min(F.struct(*order)).alias("_part"), F.count(F.lit(1)).alias("_rows"))
+    every = Window.partitionBy(*keys)
+    first = parts.select(
+        *keys, "_salt", F.min("_part").over(every).alias("_first"),
+        F.sum("_rows").over(every).alias("occurrences")).filter(F.col("occurrences") > 1)
     return (
-        df.join(first, keys)
+        salted.join(first, [*keys, "_salt"])
         .filter(F.struct(*order) != F.col("_first"))
         .select(*df.columns, "occurrences",
                 *[F.col("_first")[name].alias(f"first_{name}") for name in order])

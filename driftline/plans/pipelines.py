@@ -33,6 +33,8 @@ def quality_gate(sessions: DataFrame, samples: DataFrame, events: DataFrame,
     ``rejects``: they are contract errors in ``issues``, a repeated session fails, and the
     rest of the gate judges the rows that belong to a session.
     """
+    sessions = materialise(sessions)
+    plan = materialise(plan) if plan is not None else None
     rejects = materialise(qc.intake_rejects(sessions, samples, events, plan))
     touched = {row.source for row in rejects.select("source").distinct().collect()}
     if "sessions" in touched:
@@ -44,9 +46,10 @@ def quality_gate(sessions: DataFrame, samples: DataFrame, events: DataFrame,
         events = events.join(known, "session_id", "left_semi")
     if "plan" in touched:
         plan = plan.join(known, "session_id", "left_semi").dropDuplicates(["session_id"])
-    facts = materialise(qc.qc_facts(sessions, samples, events, config, plan))
-    issues = qc.qc_issues(facts, samples, events, sessions, config, plan is not None).unionByName(
-        qc.reject_issues(rejects))
+    intervals = qc.gate_intervals(samples, config)
+    facts = materialise(qc.qc_facts(sessions, samples, events, config, plan, intervals))
+    issues = qc.qc_issues(facts, samples, events, sessions, config, plan is not None,
+                          intervals).unionByName(qc.reject_issues(rejects))
     status = qc.session_status(facts, issues, plan is not None)
     return QualityGate(facts, issues, status, qc.qc_session_report(facts, status), rejects)
 

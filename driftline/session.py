@@ -55,3 +55,10 @@ def materialise(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def is_materialised(df: DataFrame) -> bool:
+    """Whether a frame reads nothing but checkpoints, so that using it twice costs little."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return all(leaves.apply(i).getClass().getSimpleName() == "LogicalRDD"
+               for i in range(leaves.size()))
