@@ -1,11 +1,13 @@
 """Conversations as formatted training windows of a token budget.
 
-Turns of a conversation are read in order.  Prefix sums of their tokens choose spans of whole
-turns: a window takes new turns while they fit into ``budget``, after the retained system turn
-(the first turn, if its role is ``system``) and as many of the last earlier turns as fit into
-``history`` tokens.  An assistant turn is a target in the window where it is new; where it is
-repeated as history the loss mask leaves it out, so every target counts once.  A turn that is
-larger than the budget has a window of its own and is never cut.
+Turns of a conversation are read in order.  Prefix sums of the tokens of their formatted text, with
+template and escapes, choose spans of whole turns: a window takes new turns while they and the
+retained system turn (the first turn, if its role is ``system``) fit into ``budget``; as many of
+the last earlier turns as fit into ``history`` tokens, and into what is left of the budget, are
+repeated.  An assistant turn is a target in the window where it is new; where it is repeated as
+history the loss mask leaves it out, so every target counts once.  A turn that is larger than the
+budget has a window of its own and is never cut; a turn that fits alone, but not beside the system
+turn, stands without it (and the system turn then has the first window to itself).
 
 Template: ``<s>``, then per turn ``[INST] role``, newline, text `` [/INST]``, or, for the assistant,
 its text and ``</s>``; the system turn's text stands between ``<<SYS>>`` and ``<</SYS>>``.  Control
@@ -25,11 +27,10 @@ import base64
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from functools import cache
 
 from pyspark.sql import DataFrame
 
-from driftline.llm.common import map_batches
+from driftline.llm.common import kept, map_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The strings that the template uses as control.
@@ -58,9 +59,12 @@ def opened(role: str, system: bool) -> tuple[str, str]:
         f"[INST] {name}\n", " [/INST]")
 
 
-@cache
 def token_counter(path: str) -> Callable[[str], int]:
     """Tokens of a text in a public vocabulary of byte ranks."""
+    return kept("token_counter", path, lambda: read_vocabulary(path))
+
+
+def read_vocabulary(path: str) -> Callable[[str], int]:
     import tiktoken
 
     with open(path, "rb") as lines:
@@ -83,37 +87,48 @@ class Windower:
         self.past: list[tuple] = []  # the last turns that are in windows already
         self.new: list[tuple] = []
         self.sums = [0]  # prefix sums of the tokens of the new turns
+        self.room = self.budget - self.count("<s>")  # for turns
+
+    def formatted(self, role: str, text: str, system: bool) -> tuple[str, str, str]:
+        before, after = opened(role, system)
+        return before, escape(text), after
 
     def add(self, role: str, text: str) -> Iterator[dict]:
-        tokens = self.count(text)
+        system = self.turn == 0 and role == "system"
+        tokens = self.count("".join(self.formatted(role, text, system)))
         turn = (self.turn, role, text, tokens)
         self.turn += 1
-        if turn[0] == 0 and role == "system":
+        if system:
             self.system = turn
             return
-        if self.new and self.fixed() + self.sums[-1] + tokens > self.budget:
+        if self.new and self.head_tokens() + self.sums[-1] + tokens > self.room:
             yield self.window()
+        if self.number == 0 and self.system and self.system[3] + tokens > self.room and not self.new:
+            yield self.window()  # the system turn alone
         self.new.append(turn)
         self.sums.append(self.sums[-1] + tokens)
 
-    def repeated(self) -> list[tuple]:
-        """The longest run of last turns that fits into the history."""
+    def head_tokens(self) -> int:
+        """Tokens of the system turn, where it stands in the window of the new turns."""
+        if not self.system or (self.new and self.system[3] + self.sums[1] > self.room):
+            return 0
+        return self.system[3]
+
+    def repeated(self, room: int) -> list[tuple]:
+        """The longest run of last turns that fits into the room."""
         used, at = 0, len(self.past)
-        while at and used + self.past[at - 1][3] <= self.history:
+        while at and used + self.past[at - 1][3] <= room:
             at -= 1
             used += self.past[at][3]
         return self.past[at:]
 
-    def fixed(self) -> int:
-        return (self.system[3] if self.system else 0) + sum(t[3] for t in self.repeated())
-
     def window(self) -> dict:
-        old = self.repeated()
-        head = [self.system] if self.system else []
+        head = [self.system] if self.head_tokens() else []
+        old = self.repeated(min(
+            self.history, self.room - self.head_tokens() - self.sums[-1])) if self.new else []
         pieces, mask, at = ["<s>"], [], 3
         for i, (_, role, text, _) in enumerate([*head, *old, *self.new]):
-            before, after = opened(role, i < len(head))
-            inner = escape(text)
+            before, inner, after = self.formatted(role, text, i < len(head))
             if role == "assistant" and i >= len(head) + len(old):
                 mask.append({"start": at, "end": at + len(inner)})
             pieces += [before, inner, after]
@@ -123,8 +138,8 @@ class Windower:
                "with_system": bool(head), "n_repeated": len(old), "n_new": len(self.new),
                "text": "".join(pieces), "mask": mask}
         self.number += 1
-        self.past = [*old, *self.new]
-        self.past = self.repeated()
+        self.past = [*self.past, *self.new]
+        self.past = self.repeated(self.history)
         self.new, self.sums = [], [0]
         return out
 

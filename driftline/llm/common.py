@@ -6,6 +6,8 @@ import contextlib
 import ctypes
 import gc
 import os
+import sys
+import types
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -109,6 +111,18 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def kept(name: str, key, build: Callable[[], object]) -> object:
+    """What ``build`` returns, built once per Python process.
+
+    Functions travel to the workers by value, so a variable of their module would not outlive a
+    task, and `functools.cache` would be looked up by name in a package the workers need not have.
+    """
+    store = sys.modules.setdefault("kept_by_tasks", types.ModuleType("kept_by_tasks")).__dict__
+    if (name, key) not in store:
+        store[name, key] = build()
+    return store[name, key]
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows kept from every fit: crc32 of the id as text is divisible by five (null id: fit)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))

@@ -186,20 +186,30 @@ def label_texts(texts: list[str | None], model: LanguageModel) -> list[tuple]:
     return out
 
 
+def sample_limit(train_rows: int, total: int) -> int:
+    """Below which hash of 62 bits a row is in the sample: an expected ``train_rows`` of ``total``."""
+    return max(1, (train_rows << 62) // total)
+
+
 def fit_languages(docs: DataFrame, train_rows: int = 10_000, slots: int = 1 << 16,
                   switch: float = 6.0, least_share: float = 0.005, id_column: str = "doc_id",
                   text_column: str = "text", language_column: str = "lang") -> LanguageModel:
     """Counts of n-grams and scripts per language over the sample of labelled rows.
 
-    The driver receives at most ``slots`` plus the number of scripts values per language.
+    The sample is an expected ``train_rows`` rows by hash, and of every language the row with the
+    smallest hash, so none is left out at any size.  The driver receives at most ``slots`` plus the
+    number of scripts values per language.
     """
     rows = docs.where(~held_out(id_column)).select(
         F.col(language_column).cast("string").alias("lang"), F.col(text_column).alias("text"),
         F.xxhash64(id_column, text_column).alias("h"))
     rows = rows.where("lang is not null and text is not null")
-    total = rows.count()
+    rows = rows.withColumn("h", F.shiftrightunsigned("h", 2))
+    least = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).collect()
+    total = sum(row["n"] for row in least)
     if total > train_rows:
-        rows = rows.where(F.pmod("h", F.lit(1 << 20)) < (train_rows << 20) // total)
+        rows = rows.where((F.col("h") < sample_limit(train_rows, total)) | F.col("h").isin(
+            [row["least"] for row in least]))
     buckets = slots + len(SCRIPTS)
 
     def scan(batches: Iterator) -> Iterator[dict]:

@@ -18,12 +18,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from driftline.llm.common import Scratch, held_out, map_batches
+from driftline.llm.common import Scratch, held_out, kept, map_batches
 
 FEATURES = (
     "repeated_words", "top_word", "runs", "repeated_pairs", "repeated_fives", "repeated_lines",
@@ -46,10 +45,10 @@ def kind_of(character: str) -> int:
     return PLAIN if character in PLAIN_MARKS else ODD
 
 
-@cache
 def kinds() -> np.ndarray:
     """Kind of every code point of the basic plane; all above count with the last."""
-    return np.array([kind_of(chr(i)) for i in range(0x10000)], np.uint8)
+    return kept("kinds", None, lambda: np.array(
+        [kind_of(chr(i)) for i in range(0x10000)], np.uint8))
 
 
 def share(part: float, whole: float) -> float:

@@ -21,11 +21,10 @@ from __future__ import annotations
 
 from collections import Counter, deque
 from collections.abc import Iterable, Iterator
-from functools import cache
 
 from pyspark.sql import DataFrame, functions as F
 
-from driftline.llm.common import map_batches
+from driftline.llm.common import kept, map_batches
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose counts a task remembers.
@@ -110,9 +109,12 @@ class LongestMatch:
         return total
 
 
-@cache
 def automaton(path: str, mark: str = "▁") -> LongestMatch:
     """Automaton over the pieces of a public vocabulary file; control pieces are left out."""
+    return kept("automaton", (path, mark), lambda: read_automaton(path, mark))
+
+
+def read_automaton(path: str, mark: str) -> LongestMatch:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)

@@ -4,7 +4,7 @@ import random
 import pytest
 
 from driftline.llm import chat
-from driftline.llm.chat import chat_windows, escape, read_back, read_window, unescape
+from driftline.llm.chat import chat_windows, escape, opened, read_back, read_window, unescape
 
 TURNS = "conv_id long, turn long, role string, text string, mask string"
 
@@ -59,13 +59,34 @@ def test_round_trip_and_windows(spark, budget, history):
     for w in made.collect():
         turns = read_window(w.text)
         assert len(turns) == w.with_system + w.n_repeated + w.n_new
-        sizes = [len(t.split()) for _, t in turns]
-        assert sum(sizes) <= budget or w.n_new == 1
+        sizes = [len("".join([opened(r, w.with_system and not i)[0], escape(t),
+                              opened(r, w.with_system and not i)[1]]).split())
+                 for i, (r, t) in enumerate(turns)]
+        # above the budget only where one turn alone is
+        assert 1 + sum(sizes) <= budget or len(turns) == 1
         assert sum(sizes[w.with_system:w.with_system + w.n_repeated]) <= history
         targets = [t for r, t in turns[w.with_system + w.n_repeated:] if r == "assistant"]
         assert [unescape(w.text[m.start:m.end]) for m in w["mask"]] == targets
 
 
+def test_windows_of_the_public_vocabulary_keep_the_budget(spark):
+    from driftline.llm.chat import VOCABULARY, token_counter
+
+    rng, rows, count = random.Random(5), [], token_counter(VOCABULARY)
+    words = "the quick [INST] brown </s> fox \\ jumps\n over 12345 lazy dögs".split(" ")
+    for conv in range(30):
+        for turn in range(12):
+            role = "system" if not turn and conv % 2 else ("user", "assistant")[turn % 2]
+            rows.append((conv, turn, role, " ".join(rng.choice(words) for _ in range(
+                rng.choice([3, 35, 60]))), None))
+    frame = spark.createDataFrame(rows, TURNS)
+    made = chat_windows(frame, 120, 40)
+    assert read(made) == digests(rows)
+    windows = made.collect()
+    assert all(count(w.text) <= 120 or w.with_system + w.n_repeated + w.n_new == 1 for w in windows)
+    assert any(w.n_repeated for w in windows) and any(w.with_system and w.window for w in windows)
+
+
 def test_long_conversation_long_turn_and_empty_table(spark):
     rows = [(1, i, "user" if i % 2 else "assistant", f"t {i}", None) for i in range(3000)]
     rows += [(2, 0, "user", "word " * 100_000, None), (2, 1, "assistant", "fine", None)]

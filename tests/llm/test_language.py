@@ -86,3 +86,18 @@ def test_sampled_fit_and_nothing_to_learn(spark):
     assert found.where("lang = lang_pred").count() > 590
     nothing = fit_languages(docs.where("lang = 'none'"))
     assert [r.lang_pred for r in identify(docs.limit(2), nothing).collect()] == ["und"] * 2
+
+
+def test_sample_limit_keeps_rows_at_any_size():
+    for total in (10 ** 5, 10 ** 9, 10 ** 10, 10_485_760_001, 5 * 10 ** 10, 10 ** 13, 10 ** 18):
+        limit = language.sample_limit(10_000, total)
+        assert 0 < limit <= 1 << 62
+        assert abs(limit / 2 ** 62 * total - 10_000) < 20 or limit == 1
+
+
+def test_every_language_has_a_row_in_the_sample(spark):
+    rows = [(i, "the plain words of a text " * 3, "en") for i in range(3000)] + [
+        (90_001 + i, "какие-то слова здесь", "ru") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit_languages(docs, train_rows=5)
+    assert list(model.languages) == ["en", "ru"]
