@@ -154,20 +154,46 @@ def is_set(field: Column, value: Column, bits: int) -> Column:
     return F.getbit(F.get(field, place), bit) == 1
 
 
-def without(docs: DataFrame, dropped: DataFrame, bits: int = 1 << 22) -> DataFrame:
-    """Rows of ``docs`` whose id and text hash are not in ``dropped`` (doc_id, text_hash).
+def bitmap_bits(count: int) -> int:
+    """Bits of a bitmap in which at most a sixteenth is set, up to 16 MB of them."""
+    return 1 << min(max((16 * count).bit_length(), 16), 27)
 
-    A bitmap of the dropped rows lets all others pass where they are read; only the rows it
-    marks are shuffled to be told apart exactly.
+
+def marked_rows(docs: DataFrame, named: DataFrame, bits: int | None) -> tuple[DataFrame, ...]:
+    """(rows that ``named`` (doc_id, text_hash) cannot hold, the others beside its columns).
+
+    Rows are structs ``doc``.  A bitmap, sized by the count of ``named``, tells them apart where
+    they are read; only the others are shuffled to be told apart exactly (``_hash`` is then null
+    or not).
     """
-    gone = dropped.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    gone = named.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    bits = bits or bitmap_bits(named.count())
     marks = bitmap(gone.select(F.xxhash64("_id", "_hash")), bits)
     whole = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("_doc_id"),
                         F.xxhash64("text").alias("_text_hash"), marks.alias("_marks"))
     marked = is_set(F.col("_marks"), F.xxhash64("_doc_id", "_text_hash"), bits)
     checked = whole.where(marked).join(gone.distinct(), F.col("_doc_id").eqNullSafe(
-        F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_anti")
-    return whole.where(~marked).select("doc.*").unionByName(checked.select("doc.*"))
+        F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
+    return whole.where(~marked).select("doc"), checked.select(
+        "doc", "_doc_id", "_text_hash", "_hash")
+
+
+def without(docs: DataFrame, dropped: DataFrame, bits: int | None = None) -> DataFrame:
+    """Rows of ``docs`` whose id and text hash are not in ``dropped`` (doc_id, text_hash)."""
+    clear, checked = marked_rows(docs, dropped, bits)
+    return clear.unionByName(checked.where("_hash is null").select("doc")).select("doc.*")
+
+
+def once_each(docs: DataFrame, repeated: DataFrame, bits: int | None = None) -> DataFrame:
+    """``docs`` with one row of each id and text hash in ``repeated``; only those are grouped.
+
+    Of rows that differ in other columns the first by its JSON text stays.
+    """
+    clear, checked = marked_rows(docs, repeated, bits)
+    first = checked.where("_hash is not null").groupBy("_doc_id", "_text_hash").agg(
+        F.min_by("doc", F.to_json("doc")).alias("doc"))
+    return clear.unionByName(checked.where("_hash is null").select("doc")).unionByName(
+        first.select("doc")).select("doc.*")
 
 
 def piece_of(order: Column, pieces: int = 256) -> Column:

@@ -25,9 +25,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from driftline.llm.common import bitmap, is_set, written
+from driftline.llm.common import Scratch, bitmap, bitmap_bits, is_set
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Parts that the hits of one shingle are dealt into.
+SALTS = 16
 #: Between words: every ASCII character but digits and letters.
 BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -128,15 +130,20 @@ def used_lengths(shingles: DataFrame) -> list[int]:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3,
-                  bits: int = 1 << 20, id_column: str = "doc_id", text_column: str = "text",
+                  bits: int | None = None, id_column: str = "doc_id", text_column: str = "text",
                   item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
     """Per document row: id, hash of the text, words, hit words, items found (sorted, as text).
 
-    ``bits`` bounds the bitmap that travels to the tasks; a benchmark that fills it makes
-    more rows leave the scan and changes no result.
+    The bitmap that travels to the tasks has ``bits`` bits, by default sixteen for each shingle
+    of the benchmark up to 16 MB; more shingles let more rows leave the scan and change no result.
+    Hits meet the prefixes by shingle and salt, and the rows themselves take no part in that join.
     """
-    windows = item_windows(benchmark, window, item_column, item_text_column)
-    lengths = used_lengths(window_shingles(windows, shingle))
+    scratch = Scratch(docs.sparkSession)
+    windows = scratch.table(item_windows(benchmark, window, item_column, item_text_column),
+                            "windows")
+    shingles = window_shingles(windows, shingle)
+    lengths = used_lengths(shingles)
+    bits = bits or bitmap_bits(shingles.select("shingle").distinct().count())
     text = F.col(text_column)
     rows = docs.select(
         F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("text_hash"),
@@ -144,7 +151,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     near = "struct<shingle: bigint, at: int, start: int, near: array<string>>"
     prefixes = None
     if lengths:
-        prefixes = written(prefix_shingles(docs, windows, shingle, bits, text_column), "prefixes")
+        prefixes = scratch.table(
+            prefix_shingles(docs, windows, shingle, bits, text_column), "prefixes")
         rows = rows.withColumn("_marks", bitmap(prefixes.select("shingle"), bits))
         rows = rows.withColumn("_scan", scan(
             F.col("_text"), F.col("_marks"), used_lengths(prefixes), bits))
@@ -163,34 +171,36 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     else:
         rows = rows.select("doc_id", "text_hash", "_crc", F.size(split_words(F.col("_text")))
                            .cast("long").alias("n_words"), F.lit(None).alias("_hits"))
-    # the first element, null, stands for the row itself
-    spread = rows.select("doc_id", "text_hash", "_crc", "n_words", F.explode_outer(F.concat(
-        F.array(F.lit(None).cast(near)), F.coalesce("_hits", F.array().cast(f"array<{near}>"))))
-        .alias("hit"))
-    if prefixes is None:
-        matched = spread.withColumn("match", F.lit(None).cast(
-            "struct<start: int, stop: int, items: array<string>>"))
-    else:
-        matched = spread.join(prefixes.withColumnRenamed("shingle", "_prefix"),
-                              F.col("hit.shingle") == F.col("_prefix"), "left")
+    keys = ["doc_id", "text_hash", "_crc", "n_words"]
+    match = "struct<start: int, stop: int, items: array<string>>"
+    rows = scratch.table(rows.select(*keys, F.col("_hits").cast(f"array<{near}>").alias("_hits")),
+                         "hits")
+    matched = rows.select(*keys, F.lit(None).cast(match).alias("match"), F.lit(1).alias("own"))
+    if prefixes is not None:
+        hits = rows.select(*keys, F.explode("_hits").alias("hit")).withColumn(
+            "_salt", F.pmod(F.xxhash64("doc_id", "hit.at"), F.lit(SALTS)))
+        dealt = prefixes.withColumnRenamed("shingle", "_prefix").withColumn(
+            "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        met = hits.withColumn("_prefix", F.col("hit.shingle")).join(dealt, ["_prefix", "_salt"])
         start, length = F.col("hit.at") - F.col("offset"), F.size("window")
         fits = (start >= 0) & (start + length <= F.col("n_words"))
         same = F.transform(F.slice("hit.near", F.greatest(start, F.lit(0)) - F.col("hit.start") + 1,
                                    length), ascii_lower) == F.col("window")
-        matched = matched.withColumn("match", F.when(fits & same, F.struct(
-            start.alias("start"), (start + length).alias("stop"), "items")))
-    grouped = matched.groupBy("doc_id", "text_hash", "_crc", "n_words").agg(
-        F.collect_set("match").alias("m"),
-        F.count_if(F.col("hit").isNull()).alias("rows"))
+        matched = matched.unionByName(met.where(fits & same).select(*keys, F.struct(
+            start.cast("int").alias("start"), (start + length).cast("int").alias("stop"), "items")
+            .cast(match).alias("match"), F.lit(0).alias("own")))
+    grouped = matched.groupBy(*keys).agg(
+        F.collect_set("match").alias("m"), F.sum("own").alias("rows"))
     covered = F.aggregate(
         F.array_sort("m"), F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto")),
         lambda acc, x: F.struct(
             (acc["n"] + F.greatest(F.lit(0), x["stop"] - F.greatest(x["start"], acc["upto"])))
             .alias("n"), F.greatest(acc["upto"], x["stop"]).alias("upto")))
-    return grouped.select(
+    return scratch.result(grouped.select(
         "doc_id", "text_hash", "n_words", covered["n"].cast("long").alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten(F.transform("m", lambda x: x["items"]))))
-        .alias("items"), F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).drop("col")
+        .alias("items"), F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).drop("col"),
+        "contamination")
 
 
 def contamination_digest(found: DataFrame) -> DataFrame:

@@ -27,9 +27,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from driftline.llm.common import SPACED_WORDS, Scratch, cumulative, piece_of, written
 
-#: Above this many blocks numpy has no exact draw; a rounded normal draw within the exact bounds
-#: then splits the quotas, which stay exact sums.
-EXACT_DRAW = 1_000_000_000
+#: From this many blocks on numpy has no hypergeometric draw, and `by_inversion` takes over.
+NUMPY_DRAW = 1_000_000_000
+#: Standard deviations on both sides of the mode that an inversion covers; beyond lies 1e-40.
+REACH = 14
 
 
 def word_count(text: Column) -> Column:
@@ -53,11 +54,28 @@ def target_words(sizes: list[int], weights: tuple[int, ...], epochs: float,
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    if good + bad < EXACT_DRAW:
+    if good + bad < NUMPY_DRAW:
         return int(rng.hypergeometric(good, bad, draws))
+    return by_inversion(rng, good, bad, draws)
+
+
+def by_inversion(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
+    """A hypergeometric draw of any size: the distribution around its mode, inverted.
+
+    Neighbouring probabilities differ by a ratio of four counts, so no factorials are needed; the
+    range grows with the root of the draws (30 million values for 1e13 blocks).
+    """
+    low, high = max(0, draws - bad), min(draws, good)
     share = good / (good + bad)
-    spread = (draws * share * (1 - share) * ((good + bad - draws) / (good + bad - 1))) ** 0.5
-    return int(min(max(round(rng.normal(draws * share, spread)), draws - bad, 0), good, draws))
+    spread = (draws * share * (1 - share) * (good + bad - draws) / max(1, good + bad - 1)) ** 0.5
+    mode = min(max((draws + 1) * (good + 1) // (good + bad + 2), low), high)
+    low, high = max(low, mode - int(REACH * spread) - 50), min(high, mode + int(REACH * spread) + 50)
+    k = np.arange(high - low, dtype=np.float64)  # from each value to the next
+    steps = (np.log((good - low - k) / (low + 1 + k))
+             + np.log((draws - low - k) / (bad - draws + low + 1 + k)))
+    weights = np.concatenate([[0.0], np.cumsum(steps)])
+    weights = np.cumsum(np.exp(weights - weights.max()))
+    return low + int(np.searchsorted(weights, rng.random() * weights[-1], side="right"))
 
 
 def split_quotas(quotas: list[int], shards: int, rng: np.random.Generator) -> list[list[int]]:

@@ -3,6 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from driftline.llm import common
 from driftline.llm.common import Scratch, cumulative, without
 
 
@@ -43,3 +44,22 @@ def test_scratch_tables_go_and_the_result_stays(spark):
     out = scratch.result(table.where("id > 2"), "whole")
     assert not os.path.exists(scratch.folder.removeprefix("file:"))
     assert sorted(r.id for r in out.collect()) == [3, 4]
+
+
+def test_once_each_groups_only_repeated_rows(spark):
+    rows = [(i % 7, f"t{i % 5}", i % 2) for i in range(60)] + [(None, None, 1)] * 3 + [(1, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, doc int")
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"))
+    again = hashed.groupBy("doc_id", "text_hash").count().where("count > 1")
+    got = common.once_each(docs, again)
+    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(
+        {repr((a, b, min(c for x, y, c in rows if (x, y) == (a, b)))) for a, b, _ in rows})
+    kept = common.once_each(docs, again.where("doc_id = 3"), bits=64)
+    others = [r for r in rows if r[0] != 3]
+    assert sorted(map(repr, (tuple(r) for r in kept.where(
+        "doc_id is null or doc_id <> 3").collect()))) == sorted(map(repr, others))
+
+
+def test_bitmaps_grow_with_what_they_hold():
+    assert [common.bitmap_bits(n) for n in (0, 10, 10 ** 5, 10 ** 6, 10 ** 12)] == [
+        1 << 16, 1 << 16, 1 << 21, 1 << 24, 1 << 27]

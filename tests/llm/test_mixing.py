@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from driftline.llm import mixing
 from driftline.llm.mixing import mix, mix_documents, mixed_sizes, split_quotas, target_words
 
 DOCS = "doc_id long, text string, source string, target string"
@@ -91,3 +92,36 @@ def test_whole_documents_go_on_past_one_that_does_not_fit(spark, seed):
     assert taken["a"] == 100_000  # all but the long one, wherever it stands in the order
     assert abs(taken["b"] - targets[1]) <= 140
     assert taken["c"] == 21  # repeated rows are drawn one by one
+
+
+def test_inversion_draws_the_hypergeometric_distribution():
+    from math import comb
+
+    rng = np.random.default_rng(9)
+    for good, bad, draws in ((7, 9, 6), (40, 3, 20), (30, 30, 59), (5, 100, 50), (1, 1, 1), (4, 0, 2)):
+        low, high = max(0, draws - bad), min(draws, good)
+        seen = np.bincount([mixing.by_inversion(rng, good, bad, draws) for _ in range(4000)],
+                           minlength=high + 1)
+        want = [comb(good, k) * comb(bad, draws - k) / comb(good + bad, draws)
+                for k in range(high + 1)]
+        assert seen[:low].sum() == 0 and len(seen) == high + 1
+        assert np.abs(seen / 4000 - want).max() < 0.035
+    # sizes that numpy draws as well, and sizes beyond: mean and deviation
+    for good, bad, draws in ((3 * 10 ** 8, 6 * 10 ** 8, 4 * 10 ** 8), (2 * 10 ** 9, 10 ** 10, 10 ** 9)):
+        found = np.array([mixing.by_inversion(rng, good, bad, draws) for _ in range(300)], float)
+        share, n = good / (good + bad), good + bad
+        spread = (draws * share * (1 - share) * (n - draws) / (n - 1)) ** 0.5
+        assert abs(found.mean() - draws * share) < 5 * spread / 300 ** 0.5
+        assert 0.8 < found.std() / spread < 1.2
+
+
+def test_quotas_split_alike_below_and_above_the_limit_of_numpy(monkeypatch):
+    quotas = [900, 20, 380, 0, 1]
+    tables = []
+    for limit in (10 ** 9, 1):
+        monkeypatch.setattr(mixing, "NUMPY_DRAW", limit)
+        table = mixing.split_quotas(quotas, 16, np.random.default_rng(3))
+        assert [sum(column) for column in zip(*table)] == quotas
+        assert max(map(sum, table)) - min(map(sum, table)) <= 1
+        tables.append(np.std([row[0] for row in table]))
+    assert abs(tables[0] - tables[1]) < 4
