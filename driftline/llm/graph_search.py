@@ -4,11 +4,13 @@ Equal vectors form one class, so copies cannot crowd a graph; a class keeps its
 many as an answer can use.  Classes are dealt to shards of bounded size by hash.  In a shard,
 points join the graph in growing batches: a greedy beam search from the medoid proposes
 neighbours for each point of a batch, and pruning with a relaxed distance keeps near and diverse
-ones; the kept edges are also added backwards, and full lists are pruned again.  Inner products
-become distances by one added coordinate that gives all vectors the same norm.
+ones; the kept edges are also added backwards, and full lists are pruned again.  The graph is built
+over directions: a coordinate that levels the norms would outweigh what tells neighbours apart.
+The search then orders its beam by inner product, as distances in a space with that coordinate.
 
-Queries are grouped into blocks, and every block beam-searches every shard; the best of all shards
-are ranked by the exact inner product in double precision, ties to the smaller id.
+Queries are grouped into blocks, and every block beam-searches every shard; a task searches a few
+blocks in one shard, whose graph is copied to as many tasks as its blocks need.  The best of all
+shards are ranked by the exact inner product in double precision, ties to the smaller id.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components take no part,
 nor do rows with a null id; vectors of different dimension never meet; rows that repeat an id and
@@ -29,6 +31,8 @@ from driftline.llm.common import Scratch, map_batches, schema_of
 
 #: Beam entries that are expanded together, and points that join a graph or search it together.
 EXPANDED, TOGETHER = 4, 512
+#: Query blocks whose numbers agree above this many bits are searched by one task per shard.
+TEAM_BITS = 3
 #: Parts in which the ids of a class are ranked before they are ranked together.
 ID_PARTS = 64
 SHARD = ("shard bigint, dim int, start bigint, vectors binary, edges binary, ids binary, "
@@ -143,10 +147,9 @@ def prune_lists(points: np.ndarray, edges: np.ndarray, nodes: np.ndarray, degree
 
 def build_graph(vectors: np.ndarray, degree: int, width: int, relaxed: float,
                 seed: int = 3) -> tuple[np.ndarray, int]:
-    """Edges (-1: none) and the start of a graph over the vectors, by inner product."""
-    norms = np.einsum("kd,kd->k", vectors, vectors)
-    points = np.column_stack([vectors, np.sqrt(np.maximum(norms.max() - norms, 0))])
-    points = (points / np.sqrt(norms.max())).astype(np.float32)
+    """Edges (-1: none) and the start of a graph over the directions of the vectors."""
+    norms = np.sqrt(np.einsum("kd,kd->k", vectors, vectors))
+    points = (vectors / norms[:, None]).astype(np.float32)
     start = int(((points - points.mean(axis=0)) ** 2).sum(axis=1).argmin())
     edges = np.full((len(points), 2 * degree), -1, np.int64)
     order = np.random.default_rng(seed).permutation(len(points))
@@ -244,9 +247,11 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, shard_rows: int = 1
     blocked = asked.groupBy("dim", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(
         F.collect_list("id").alias("query_ids"),
         F.flatten(F.collect_list("vector")).alias("queries"))
+    blocked = blocked.withColumn("team", F.shiftright("block", TEAM_BITS))
+    teams = F.sequence(F.lit(0).cast("long"), F.lit((blocks - 1) >> TEAM_BITS).cast("long"))
     pairs = blocked.withColumn("shard", F.explode(F.sequence(
-        F.lit(0).cast("long"), of_dim[F.col("dim")].cast("long") - 1))).repartition(
-            "shard", "block").join(graphs, ["shard", "dim"])
+        F.lit(0).cast("long"), of_dim[F.col("dim")].cast("long") - 1))).join(
+            graphs.withColumn("team", F.explode(teams)), ["shard", "dim", "team"])
 
     def scan(batches: Iterator) -> Iterator[dict]:
         for batch in batches:

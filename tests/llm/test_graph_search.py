@@ -61,6 +61,40 @@ def test_recall_over_several_shards(spark):
     assert np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) > 0.95
 
 
+@pytest.mark.parametrize("kind", ["clusters", "clusters of many lengths", "normal", "directions"])
+def test_recall_in_one_shard_for_all_kinds_of_vectors(kind):
+    """Production settings; full shards of 16,384 have the figures in the README."""
+    rng = np.random.default_rng(7)
+    vectors = rng.normal(size=(5000, 64))
+    if "clusters" in kind:
+        vectors = 0.5 * vectors + rng.normal(size=(60, 64))[rng.integers(0, 60, 5000)]
+    if kind != "normal":
+        vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    if "lengths" in kind:
+        vectors *= rng.uniform(0.5, 2, size=(5000, 1))
+    edges, start = graph_search.build_graph(vectors, 32, 64, 1.2)
+    ids = np.arange(5000)
+    asked = ids[::50]
+    found = {i: set() for i in asked}
+    for query, i, _ in graph_search.search_shard(
+            vectors, edges, start, ids, np.arange(5001), vectors[asked], asked, 20, 160):
+        found[query].add(i)
+    scores = vectors[asked] @ vectors.T
+    scores[np.arange(100), asked] = -np.inf
+    want = np.argsort(-scores, axis=1)[:, :20]
+    assert np.mean([len(found[q] & set(w.tolist())) / 20 for q, w in zip(asked, want)]) > 0.95
+
+
+def test_many_query_blocks(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, v.tolist(), None) for i, v in enumerate(rng.normal(size=(700, 8)))]
+    got = found(nearest(spark.createDataFrame(rows, ROWS), F.col("vec_id") % 2 == 0, k=5,
+                        shard_rows=200, block_rows=10))
+    want = brute(rows, 5, lambda i: i % 2 == 0)
+    assert got.keys() == want.keys()
+    assert np.mean([len(set(got[q]) & set(want[q])) / 5 for q in want]) > 0.98
+
+
 def test_pruning_keeps_near_and_diverse_points():
     points = np.array([[0.0, 0], [1, 0], [1.1, 0], [0, 2], [0, -9]], np.float32)
     kept = graph_search.robust_prune(points, np.array([0]), np.array([[1, 2, 3, 4, 0, -1]]), 4, 1.2)
