@@ -98,6 +98,24 @@ def scan_logger_csv(spark, sf_dir):
         allowMissingColumns=True)
 
 
+@query("type_contract_rows", with_tables(t.POINT_EVENTS, body="""
+SELECT seq, event_id, session_id, CASE WHEN k IN (30, 31, 32) OR k = 60 THEN NULL ELSE timestamp END AS timestamp,
+       event_type, CASE WHEN k = 60 THEN 'timestamp' WHEN k IN (30, 31, 32) THEN 'event_metadata'
+                        ELSE '' END AS rejected
+FROM point_events"""))
+def type_contract_rows(spark, sf_dir):
+    """Events as text, some times and metadata broken, typed again; rejects name their fields."""
+    k = F.col("k")
+    text = t.point_events(spark, sf_dir).withColumn("timestamp", F.when(k == 60, "1e3").otherwise(
+        F.col("timestamp").cast("string")))
+    typed, rejected = intake.type_rows(text.select("seq", *contract.EVENT_FIELDS),
+                                       contract.EVENT_FIELDS)
+    return typed.select("seq", "event_id", "session_id", "timestamp", "event_type",
+                        F.lit("").alias("rejected")).unionByName(rejected.select(
+        "seq", "event_id", "session_id", F.lit(None).cast("bigint").alias("timestamp"), "event_type",
+        F.array_join("rejected_fields", ",").alias("rejected")))
+
+
 @query("scan_session_files", with_tables(t.LOGGER, t.PLAN, body="""
 SELECT coalesce(c.file_name, p.file_name) AS file_name,
        CASE WHEN p.file_name IS NULL THEN 'missing' ELSE 'unexpected' END AS problem

@@ -323,3 +323,14 @@ def evaluate_window_requests(requests: DataFrame, model: OrdinalModel, model_sha
         state("model_input_channel"), state("model_artifact_version"),
         F.when(ready, F.lit(model_sha256)).alias("model_artifact_sha256"),
         state("evidence_scope"))
+
+
+def feature_documents(responses: DataFrame, basis: str = "RAW_MINUS_SESSION_BASELINE",
+                      version: str = "0.1.0") -> DataFrame:
+    """The feature document of every usable response, as `feature_vector_rules` judges it."""
+    names = contract.FEATURE_COLUMNS
+    return responses.filter(F.col("prediction_available")).select(
+        "session_id", F.lit(version).alias("feature_input_version"), "data_source",
+        "model_input_channel", "source_window_end_ms", F.lit(basis).alias("feature_basis"),
+        F.array(*[F.lit(name) for name in names]).alias("feature_order"),
+        F.array(*names).alias("features"))
