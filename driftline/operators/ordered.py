@@ -98,57 +98,14 @@ def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     )
 
 
-FANOUT = 8
 SALTS = 32
 
 
-def _splits_below(splits: Column, value: Column):
-    """Number of sorted split points below a value: two rounds of ``FANOUT`` comparisons.
-
-    Returns the coarse count and a function that refines it.
-
-    Plain comparisons stay inside generated code; a filter lambda over the
-    split array would be interpreted for every element of every row.
-    """
-    def count(indices):
-        return sum((F.when(F.get(splits, i) < value, 1).otherwise(0) for i in indices), F.lit(0))
-
-    coarse = count([F.lit(FANOUT * (i + 1) - 1) for i in range(FANOUT - 1)])
-    return coarse * FANOUT, lambda base: base + count(
-        [base + F.lit(j) for j in range(FANOUT - 1)])
-
-
 def cumulative_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """Number of rows below each distinct value of its key (``_below``), and the total.
-
-    Split points from a mergeable quantile sketch cut each key's value range
-    into at most 64 pieces with about equally many distinct values.  The
-    sketch only balances the work; the counts are exact.  Values meet their key's
-    splits by (key, salt) and are then dealt by (key, piece): no step gathers a key.
-    """
-    blocks = FANOUT * FANOUT
-    probabilities = [(i + 1) / blocks for i in range(blocks - 1)]
-    splits = counts.groupBy(*keys).agg(
-        F.percentile_approx("_value", probabilities, 10 * blocks).alias("_splits"),
-        F.sum("_freq").alias("_total"))
-    base, refine = _splits_below(F.col("_splits"), F.col("_value"))
-    salted = splits.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    placed = counts.withColumn("_salt", F.pmod(F.xxhash64("_value"), F.lit(SALTS)).cast("int")) \
-        .join(salted, [*keys, "_salt"]).withColumn("_base", base).withColumn(
-        BLOCK_COLUMN, refine(F.col("_base"))).drop("_splits", "_base", "_salt") \
-        .repartition(*keys, BLOCK_COLUMN)
-    sums = placed.groupBy(*keys, BLOCK_COLUMN).agg(F.sum("_freq").alias("_rows"))
-    before = _window(keys, BLOCK_COLUMN).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(
-        *keys, BLOCK_COLUMN, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-    inside = _window([*keys, BLOCK_COLUMN], "_value").rowsBetween(
-        Window.unboundedPreceding, -1)
-    return (
-        placed.withColumn("_inner", F.coalesce(F.sum("_freq").over(inside), F.lit(0)))
-        .join(offsets, [*keys, BLOCK_COLUMN])
-        .select(*keys, "_value", "_freq", "_total",
-                (F.col("_offset") + F.col("_inner")).alias("_below"))
-    )
+    """Number of rows below each distinct value of its key (``_below``), and the total."""
+    return running_sums(counts, keys, "_value", ["_freq"]).select(
+        *keys, "_value", "_freq", F.col("total__freq").alias("_total"),
+        F.col("before__freq").alias("_below"))
 
 
 def running_max_before(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str,
