@@ -29,7 +29,7 @@ from driftline.llm.common import Scratch, bitmap, bitmap_bits, is_set
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Parts that the hits of one shingle are dealt into.
-SALTS = 16
+SALTS = 4
 #: Between words: every ASCII character but digits and letters.
 BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -136,7 +136,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
 
     The bitmap that travels to the tasks has ``bits`` bits, by default sixteen for each shingle
     of the benchmark up to 16 MB; more shingles let more rows leave the scan and change no result.
-    Hits meet the prefixes by shingle and salt, and the rows themselves take no part in that join.
+    Hits meet the prefixes by shingle and salt; the row itself meets none and is dealt by its hash.
     """
     scratch = Scratch(docs.sparkSession)
     windows = scratch.table(item_windows(benchmark, window, item_column, item_text_column),
@@ -173,24 +173,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
                            .cast("long").alias("n_words"), F.lit(None).alias("_hits"))
     keys = ["doc_id", "text_hash", "_crc", "n_words"]
     match = "struct<start: int, stop: int, items: array<string>>"
-    rows = scratch.table(rows.select(*keys, F.col("_hits").cast(f"array<{near}>").alias("_hits")),
-                         "hits")
-    matched = rows.select(*keys, F.lit(None).cast(match).alias("match"), F.lit(1).alias("own"))
-    if prefixes is not None:
-        hits = rows.select(*keys, F.explode("_hits").alias("hit")).withColumn(
-            "_salt", F.pmod(F.xxhash64("doc_id", "hit.at"), F.lit(SALTS)))
-        dealt = prefixes.withColumnRenamed("shingle", "_prefix").withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        met = hits.withColumn("_prefix", F.col("hit.shingle")).join(dealt, ["_prefix", "_salt"])
+    # the first element, null, stands for the row itself
+    spread = rows.select(*keys, F.explode_outer(F.concat(
+        F.array(F.lit(None).cast(near)), F.coalesce("_hits", F.array().cast(f"array<{near}>"))))
+        .alias("hit"))
+    if prefixes is None:
+        matched = spread.withColumn("match", F.lit(None).cast(match))
+    else:
+        # rows themselves are no hits and meet nothing, dealt by their own hash
+        is_hit = F.col("hit").isNotNull()
+        dealt = prefixes.withColumnRenamed("shingle", "_key").withColumns({
+            "_hit": F.lit(True),
+            "_salt": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))})
+        matched = spread.withColumns({
+            "_key": F.coalesce("hit.shingle", F.xxhash64("doc_id", "text_hash")), "_hit": is_hit,
+            "_salt": F.pmod(F.xxhash64("doc_id", "hit.at"), F.lit(SALTS))}).join(
+            dealt, ["_key", "_hit", "_salt"], "left")
         start, length = F.col("hit.at") - F.col("offset"), F.size("window")
         fits = (start >= 0) & (start + length <= F.col("n_words"))
         same = F.transform(F.slice("hit.near", F.greatest(start, F.lit(0)) - F.col("hit.start") + 1,
                                    length), ascii_lower) == F.col("window")
-        matched = matched.unionByName(met.where(fits & same).select(*keys, F.struct(
-            start.cast("int").alias("start"), (start + length).cast("int").alias("stop"), "items")
-            .cast(match).alias("match"), F.lit(0).alias("own")))
+        matched = matched.withColumn("match", F.when(fits & same, F.struct(
+            start.cast("int").alias("start"), (start + length).cast("int").alias("stop"),
+            "items").cast(match)))
     grouped = matched.groupBy(*keys).agg(
-        F.collect_set("match").alias("m"), F.sum("own").alias("rows"))
+        F.collect_set("match").alias("m"), F.count_if(F.col("hit").isNull()).alias("rows"))
     covered = F.aggregate(
         F.array_sort("m"), F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto")),
         lambda acc, x: F.struct(
