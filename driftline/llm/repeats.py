@@ -10,8 +10,8 @@ Plan, one job over one shuffle of the texts (`blocks`), which its three readers
    other blocks have too.  All text whose anchors are nobody else's is done.
 2. ``candidates``: a block sorts the suffixes of the strings that are left (`suffixes`), which settles
    all repeats within the block.  Of the rest, those whose anchors other blocks have travel by anchor,
-   as runs of neighbouring strings; a passage that occurs in a third of all documents travels once
-   per block.  An anchor of very many blocks deals its strings by their own hash, so a frequent
+   as runs of neighbouring strings; a string that a third of all documents hold, or that one document
+   holds a thousand times, travels once per block, and echoes say where it stands besides.  An anchor of very many blocks deals its strings by their own hash, so a frequent
    phrase with ever different neighbours is spread.
 3. ``resolved``: the strings of one part are suffix-sorted and all but the smallest document's are
    marked.  Blocks meet in teams of ``fan``, whose survivors meet in larger teams, so no task sees
@@ -42,13 +42,14 @@ BLOCK_BYTES, PART_BYTES = 4 << 20, 3 << 20
 #: Anchors that are expected in a hash range.
 RANGE_ANCHORS = 1 << 20
 NULL_ID = -(1 << 63)
-FOUND = "part bigint, block bigint, team bigint, data binary"
+FOUND = "part bigint, block bigint, team bigint, kind int, data binary"
+STRINGS, MARKS, ECHOES = range(3)
 REPLIES = "block bigint, several binary, very binary"
 RESULT = ("doc_id bigint, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, "
           "kept binary")
 #: The Arrow types of the rows above.
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-TYPES = {"part": pa.int64(), "block": pa.int64(), "team": pa.int64(), "data": pa.binary(),
+TYPES = {"part": pa.int64(), "block": pa.int64(), "team": pa.int64(), "kind": pa.int32(), "data": pa.binary(),
          "several": pa.binary(), "very": pa.binary(), "doc_id": pa.int64(),
          "n_bytes": pa.int64(), "spans": SPANS, "kept": pa.binary()}
 
@@ -148,10 +149,11 @@ class Found:
     """Rows of FOUND under construction."""
 
     def __init__(self) -> None:
-        self.rows: dict[str, list] = {"part": [], "block": [], "team": [], "data": []}
+        self.rows: dict[str, list] = {
+            "part": [], "block": [], "team": [], "kind": [], "data": []}
 
-    def add(self, part: int, block: int, data: bytes) -> None:
-        for name, value in zip(self.rows, (part, block, block, data)):
+    def add(self, part: int, block: int, kind: int, data: bytes) -> None:
+        for name, value in zip(self.rows, (part, block, block, kind, data)):
             self.rows[name].append(value)
 
     def marks(self, block: np.ndarray, place: np.ndarray, at: np.ndarray, width: int) -> None:
@@ -162,10 +164,18 @@ class Found:
         size = lengths(runs, len(at)) + width - 1
         block, place, at = block[runs], place[runs], at[runs]
         for low, high in edges(block):
-            self.add(int(-1 - block[low]), int(block[low]), packed(
+            self.add(int(-1 - block[low]), int(block[low]), MARKS, packed(
                 place[low:high].astype(np.int32), at[low:high].astype(np.int32),
                 size[low:high].astype(np.int32)))
 
+    def echoes(self, block: int, place: np.ndarray, at: np.ndarray, as_place: np.ndarray,
+               as_at: np.ndarray) -> None:
+        """Strings that go if the equal ones do that stand for them."""
+        runs = neighbours(at, place, as_place, as_at - at)
+        if len(runs):
+            self.add(-1 - block, block, ECHOES, packed(*(a.astype(np.int32) for a in (
+                place[runs], at[runs], as_place[runs], as_at[runs], lengths(runs, len(at))))))
+
     def strings(self, part: np.ndarray, block: np.ndarray, raw: np.ndarray, starts: np.ndarray,
                 doc: np.ndarray, place: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
         """Runs of strings, each one piece of bytes, by part and block."""
@@ -176,7 +186,7 @@ class Found:
         for low, high in edges(part, block):
             mine = slice(low, high)
             text = codec.compress(raw[ranges(starts[mine], size[mine])], asbytes=True)
-            self.add(int(part[low]), int(block[low]), packed(
+            self.add(int(part[low]), int(block[low]), STRINGS, packed(
                 doc[mine].astype(np.int64), place[mine].astype(np.int32),
                 at[mine].astype(np.int32), size[mine].astype(np.int32),
                 np.frombuffer(text, np.uint8)))
@@ -258,10 +268,13 @@ def repeated_passages(docs: DataFrame, width: int = 50, gram: int = 24, fan: int
             block_texts.raw, at[first], at[last] + width - at[first])
         shift = np.repeat(begins - at[first], lengths(first, len(at)))
         doc = block_texts.ids[place]
-        gone = suffixes.seen_earlier(text, separators, at + shift, doc, width)
+        gone, first = suffixes.seen_earlier(text, separators, at + shift, doc, width)
         offset = at - (block_texts.ends - block_texts.sizes)[place]
         found.marks(np.full(gone.sum(), block), place[gone], offset[gone], width)
         sent = across & ~gone
+        echo = sent & (first != np.arange(len(first)))
+        found.echoes(block, place[echo], offset[echo], place[first[echo]], offset[first[echo]])
+        sent &= ~echo
         at, place, offset, key, doc = (a[sent] for a in (at, place, offset, anchor, doc))
         if frequent.any() and len(at):
             own = suffixes.mixed(suffixes.rolling(block_texts.raw, width)[at])
@@ -291,7 +304,7 @@ def repeated_passages(docs: DataFrame, width: int = 50, gram: int = 24, fan: int
             count = size - width + 1
             wanted, run = ranges(begins, count), np.repeat(np.arange(len(size)), count)
             inner = wanted - begins[run]
-            gone = suffixes.seen_earlier(text, separators, wanted, doc[run], width)
+            gone, _ = suffixes.seen_earlier(text, separators, wanted, doc[run], width)
             found.marks(block[run[gone]], place[run[gone]], at[run[gone]] + inner[gone], width)
             if not last:
                 wanted, run, inner = wanted[~gone], run[~gone], inner[~gone]
@@ -305,13 +318,21 @@ def repeated_passages(docs: DataFrame, width: int = 50, gram: int = 24, fan: int
 
     def cut(table: pa.Table, marks: pa.Table) -> pa.Table:
         block_texts = Texts(table)
-        cover = np.zeros(len(block_texts.raw) + 1, np.int64)
         begin = block_texts.ends - block_texts.sizes
-        for data in marks["data"]:
-            place, at, size, _ = unpacked(data.as_py(), "i4", "i4", "i4")
-            np.add.at(cover, begin[place] + at, 1)
-            np.add.at(cover, begin[place] + at + size, -1)
-        gone = np.cumsum(cover)[:-1] > 0
+        goes = np.zeros(len(block_texts.raw) + width, bool)  # starts of strings to remove
+        rows = list(zip(marks["kind"].to_pylist(), marks["data"].to_pylist()))
+        for data in (d for kind, d in rows if kind == MARKS):
+            place, at, size, _ = unpacked(data, "i4", "i4", "i4")
+            goes[ranges(begin[place] + at, size.astype(np.int64) - width + 1)] = True
+        for data in (d for kind, d in rows if kind == ECHOES):
+            place, at, as_place, as_at, count, _ = unpacked(data, "i4", "i4", "i4", "i4", "i4")
+            count = count.astype(np.int64)
+            goes[ranges(begin[place] + at, count)] |= goes[ranges(begin[as_place] + as_at, count)]
+        starts = np.flatnonzero(goes)
+        cover = np.zeros(len(goes) + width, np.int32)
+        cover[starts] += 1
+        cover[starts + width] -= 1
+        gone = np.cumsum(cover)[:len(block_texts.raw)] > 0
         results = {}
         for i, key in enumerate(block_texts.docs):
             mine = gone[begin[i]:block_texts.ends[i]]
@@ -335,7 +356,7 @@ def repeated_passages(docs: DataFrame, width: int = 50, gram: int = 24, fan: int
             "part", "team").applyInArrow(resolved(teams == 1), FOUND)
         if teams == 1:
             break
-    marks = found.where("part < 0").select("block", "data")
+    marks = found.where("part < 0").select("block", "kind", "data")
     return by_block.cogroup(marks.groupBy("block")).applyInArrow(cut, RESULT)
 
 

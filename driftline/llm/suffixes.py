@@ -176,14 +176,15 @@ def common_prefixes(a: np.ndarray, b: np.ndarray, words: np.ndarray, width: int)
 
 
 def seen_earlier(text: np.ndarray, separators: np.ndarray, wanted: np.ndarray, doc: np.ndarray,
-                 width: int) -> np.ndarray:
-    """Whether the string of ``width`` bytes at each wanted position also starts in a smaller doc.
+                 width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the string of ``width`` bytes at each wanted position also starts in a smaller doc;
+    and which wanted position has the string first, in the smallest doc that has it.
 
     ``separators`` are ascending positions, the last one at the end; ``wanted`` positions ascend and
     their strings hold no separator; ``doc`` belongs to them.
     """
     if not len(wanted):
-        return np.zeros(0, bool)
+        return np.zeros(0, bool), np.zeros(0, np.int64)
     codes = text.astype(np.int16) + 1
     codes[separators] = 0
     padded = np.concatenate([text, np.zeros(PAD, np.uint8)])
@@ -208,7 +209,10 @@ def seen_earlier(text: np.ndarray, separators: np.ndarray, wanted: np.ndarray, d
     head[1:] = common_prefixes(order[:-1], order[1:], words, width) < width
     mine = doc[owner[order]]
     starts = np.flatnonzero(head)
-    least = np.minimum.reduceat(mine, starts)
-    out = np.zeros(len(wanted), bool)
-    out[owner[order]] = mine > least[np.cumsum(head) - 1]
-    return out
+    group = np.cumsum(head) - 1
+    least = np.minimum.reduceat(mine, starts)[group]
+    place = owner[order]
+    first = np.minimum.reduceat(np.where(mine == least, place, len(wanted)), starts)[group]
+    gone, where = np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
+    gone[place], where[place] = mine > least, first
+    return gone, where
