@@ -35,13 +35,14 @@ def build_session(app_name: str = "driftline", master: str | None = None, **conf
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, from ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder.
+    Only a master without executors of its own may fall back to a temporary folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) \
         or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):  # local-cluster has executors
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
     folder = tempfile.mkdtemp(prefix="driftline-")
     spark.conf.set("spark.checkpoint.dir", folder)
