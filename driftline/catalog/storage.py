@@ -264,8 +264,8 @@ FINGERPRINTED = {
     "pages": "page_id url html", "benchmark": "item_id text", "labels": "doc_id quality toxic",
     "conversations": "conv_id turn role text"}
 #: Columns without one text form: vectors are written as integers of 2 ** -40.
-AS_TEXT = {"embedding": F.expr(
-    "array_join(transform(embedding, x -> cast(floor(cast(x as double) * 1099511627776) as bigint)), ',')")}
+AS_TEXT = {"embedding": "array_join(transform(embedding, x -> "
+                        "cast(floor(cast(x as double) * 1099511627776) as bigint)), ',')"}
 AS_TEXT_SQL = {"embedding": "array_to_string(list_transform(embedding, lambda x: "
                             "CAST(floor(CAST(x AS DOUBLE) * 1099511627776) AS BIGINT)), ',')"}
 
@@ -278,7 +278,7 @@ def _digest_sql(name, where="true"):
 
 
 def fingerprint(rows, name):
-    columns = [AS_TEXT.get(c, F.col(c)) for c in FINGERPRINTED[name].split()]
+    columns = [F.expr(AS_TEXT.get(c, c)) for c in FINGERPRINTED[name].split()]
     return mf.table_fingerprint(rows, columns).select(
         F.lit(name).alias("item"), "row_count", "digest")
 
