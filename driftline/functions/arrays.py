@@ -23,6 +23,15 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def once(value: Column) -> Column:
+    """A generator of one row with ``value``, for costly values that filters and columns read.
+
+    A filter on a plain column is pushed below it and computes its value again; it stays above
+    a generator.
+    """
+    return F.explode(F.array(value))
+
+
 def median(values: Column) -> Column:
     return let(F.sort_array(values), median_of_sorted)
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from driftline import contract
-from driftline.functions.arrays import adjacent, has_duplicates, let, median
+from driftline.functions.arrays import adjacent, has_duplicates, let, median, once
 from driftline.functions.ordinal import (
     OrdinalModel, argmax_lowest, class_probabilities, linear_predictor)
 from driftline.functions.parsing import is_finite
@@ -156,6 +156,23 @@ def _out_of_range(rows: Column, start: Column, length_ms: int) -> Column:
     return F.exists(rows, lambda r: ~(r["elapsed_ms"] - start).between(0, length_ms - 1))
 
 
+def _overlap_conflicts(base: Column, window: Column, spec: RequestSpec) -> Column:
+    """Number of different window samples of the baseline's time that the baseline does not hold.
+
+    ``array_except`` compares all pairs of structs.  The overlap is laid on the baseline where its
+    first time stands, and only samples that differ from the one beside them are compared.
+    """
+    times = F.transform(base, lambda r: r["elapsed_ms"])
+
+    def unlike(v):
+        at = F.array_position(times, F.get(v, F.lit(0))["elapsed_ms"])
+        beside = F.slice(base, F.greatest(F.coalesce(at, F.lit(0)), F.lit(1)).cast("int"), F.size(v))
+        pairs = F.zip_with(v, beside, lambda a, b: F.when(~a.eqNullSafe(b), a))
+        return F.size(F.array_except(F.filter(pairs, lambda a: a.isNotNull()), base))
+
+    return let(F.filter(window, lambda x: x["elapsed_ms"] < spec.baseline_ms), unlike)
+
+
 def reduction(spec: RequestSpec) -> Column:
     """Struct of all checks and one-second bins of a parsed request.
 
@@ -184,16 +201,14 @@ def reduction(spec: RequestSpec) -> Column:
             b["base"].alias("base_bins"), b["window"].alias("window_bins"),
             F.coalesce(r["base_raw"], _bin_reason(b["base"], spec)).alias("baseline_reason"),
             F.coalesce(r["window_raw"], _bin_reason(b["window"], spec)).alias("window_reason"),
-            F.size(F.array_except(
-                F.filter(window, lambda x: x["elapsed_ms"] < spec.baseline_ms), base))
-            .cast("bigint").alias("overlap_conflicts")))
+            _overlap_conflicts(base, window, spec).cast("bigint").alias("overlap_conflicts")))
 
     return let(raw, with_bins)
 
 
 def reduce_requests(requests: DataFrame, spec: RequestSpec) -> DataFrame:
     """Adds the reduction as column ``reduced``."""
-    return requests.withColumn("reduced", reduction(spec))
+    return requests.withColumn("reduced", once(reduction(spec)))
 
 
 def availability(r: Column, spec: RequestSpec) -> Column:
@@ -308,7 +323,7 @@ def evaluate_window_requests(requests: DataFrame, model: OrdinalModel, model_sha
     def state(field):
         return F.when(ready, F.lit(on[field])).when(answered, F.lit(off[field])).alias(field)
 
-    return requests.withColumn("_e", evaluation(model, spec)).select(
+    return requests.withColumn("_e", once(evaluation(model, spec))).select(
         *[c for c in requests.columns if c not in ("baseline_samples", "window_samples",
                                                    "source_window_end_ms")],
         F.col("source_window_end_ms").alias("requested_end_ms"),

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F, types as T
 
 from driftline.functions.ordinal import ENGINEERING_MODEL
 from driftline.operators import requests as rq
@@ -118,3 +119,67 @@ def test_published_rows_follow_the_state_table(spark, responses):
         "evidence_scope string, warning string, risk_class string, risk_class_index int, "
         "source_window_end_ms long, model_artifact_sha256 string"))
     assert violations(df, output_state_rules(F.col), ["name"]).count() == 0
+
+
+def test_overlap_counts_what_all_pairs_would_find(spark):
+    from driftline import contract
+
+    base = [(n, 100 * n, float(n), "OK") for n in range(30)]
+    windows = {
+        "same": base, "later": base[7:], "changed": [*base[:5], (5, 500, -1.0, "OK"), *base[6:]],
+        "moved": [(n, 100 * n + 100, float(n), "OK") for n in range(30)],
+        "repeated": [*base[:3], *base[:3], (0, 100, 9.0, "OK"), (0, 100, 9.0, "OK")],
+        "null fields": [(None, None, 1.0, "OK"), (3, 300, None, None)], "none in it": [(1, 10 ** 6, 1.0, "OK")],
+        "empty": [], "null": None, "zero": [(0, 0, -0.0, "OK")], "holes": [base[0], None, base[9]],
+        "backwards": base[::-1]}
+    spec = rq.RequestSpec(baseline_seconds=3)
+    kind = T.ArrayType(contract.REQUEST_SAMPLE)
+    df = spark.createDataFrame(
+        [(f"{name}-{i}", b, w) for name, w in windows.items() for i, b in enumerate((base, [], None, [None, *base]))],
+        T.StructType([T.StructField("name", T.StringType()), T.StructField("b", kind), T.StructField("w", kind)]))
+    early = F.filter("w", lambda x: x["elapsed_ms"] < spec.baseline_ms)
+    for row in df.select("name", F.size(F.array_except(early, F.col("b"))).alias("pairs"), rq._overlap_conflicts(
+            F.col("b"), F.col("w"), spec).alias("found")).collect():
+        assert row.found == row.pairs, row
+
+
+def test_a_filter_does_not_evaluate_a_request_again(spark):
+    from driftline.catalog import live
+
+    built = spark.createDataFrame([], "request_version string, device_id string, session_id string, "
+                                  "acquisition_id string, operator_confirmed boolean, source_window_end_ms long, "
+                                  "baseline_samples array<struct<sample_no:long,elapsed_ms:long,kap_7_raw:double,"
+                                  "kap_7_status:string>>, window_samples array<struct<sample_no:long,"
+                                  "elapsed_ms:long,kap_7_raw:double,kap_7_status:string>>")
+    answers = rq.evaluate_window_requests(built, live.LIVE_MODEL, live.MODEL_SHA, live.SPEC)
+    reduced = rq.reduce_requests(built, live.SPEC)
+    for df in (rq.feature_documents(answers), reduced.filter("reduced.overlap_conflicts > 0"),
+               reduced.filter("reduced.window_reason is null")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("'DUPLICATE_SAMPLE'") + plan.count("DUPLICATE_SAMPLE") <= 2, plan  # of both arrays
+
+
+def test_requests_hold_the_samples_of_their_windows(spark, tmp_path, monkeypatch):
+    """Blocks of a long session and a short one give the windows that samples give one by one."""
+    from driftline.catalog import live
+
+    rows = [("s1", n, 1, n, 100 * n + 25 * (n % 50 == 49), float(n), "OK") for n in range(1500) if n % 97]
+    rows += [("s2", n, 2, n, 100 * n, float(n), "OK") for n in range(60)]
+    rows += [("s3", n, 3, n, 100 * n, float(n), "OK") for n in range(300, 400)]  # nothing in its baseline
+    rows += [("s4", n, 4, n, 100 * n, float(n), "OK") for n in (*range(60), *range(900, 950))]
+    df = spark.createDataFrame(rows, "session_id string, arrival long, sup long, sample_no long, elapsed_ms long, "
+                               "raw double, status string")
+    monkeypatch.setattr(live, "live_rows", lambda *_: df)
+    found = {(r.session_id, r.source_window_end_ms): ([x[0] for x in r.baseline_samples],
+                                                      [(x[0], x[2]) for x in r.window_samples])
+             for r in live.requests(spark, "").collect()}
+    expected = {}
+    for s in ("s1", "s2", "s3", "s4"):
+        mine = [r for r in rows if r[0] == s]
+        base = [r[3] for r in mine if r[4] < live.SPEC.baseline_ms]
+        for end in range(5000, max(r[4] for r in mine) + 1, 5000):
+            held = [(r[3], r[5] + (r[2] % 7 == 1 and r[1] == 150)) for r in mine
+                    if end - live.SPEC.window_ms <= r[4] < end]
+            if base and held:
+                expected[s, end] = base, held
+    assert found == expected
