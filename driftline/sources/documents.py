@@ -30,14 +30,18 @@ def scan_json_documents(spark: SparkSession, path, schema: T.StructType) -> Data
             .json(path).withColumn("file_name", F.col("_metadata.file_name")))
 
 
-def scan_whole_documents(spark: SparkSession, path, fields: dict[str, str]) -> DataFrame:
+def scan_whole_documents(spark: SparkSession, path, fields: dict[str, str],
+                         shared: bool = False) -> DataFrame:
     """One row per file: its JSON as VARIANT and the required ``fields`` (name to SQL type).
 
+    Parquet files ``shared`` by many documents have one in each row, as text in column ``value``.
+
     ``problem`` is ``NOT_JSON`` for text that does not parse (or is beyond what a VARIANT holds),
     ``NOT_OBJECT`` for another JSON value, ``SCHEMA`` where a field is missing, null or of another
     JSON type; typed fields are null then.  Columns of the path's partitions are kept.
     """
-    files = spark.read.text(path, wholetext=True).withColumnRenamed("value", "_body")
+    files = spark.read.parquet(path) if shared else spark.read.text(path, wholetext=True)
+    files = files.withColumnRenamed("value", "_body")
     others = [c for c in files.columns if c != "_body"]
     parsed = files.select(*others, F.col("_metadata.file_name").alias("file_name"),
                           F.try_parse_json("_body").alias("document"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from driftline import contract
 from driftline.functions import parsing, rules
+from driftline.functions.arrays import once
 
 INTEGERS = ("timestamp", "start_timestamp", "end_timestamp", "sample_no", "elapsed_ms")
 DOUBLES = ("baseline_value", "baseline_std", "capacitance_raw", "lig_raw")
@@ -63,15 +64,16 @@ def logger_intake(rows: DataFrame, channels, statuses: dict[str, tuple] | tuple,
     numbers = {"sample_no": parsing.strict_int(F.col("sample_no")),
                "elapsed_ms": parsing.strict_int(F.col("elapsed_ms"))}
     numbers.update({c: parsing.finite_double(F.col(c)) for c in channels})
-    faults = [(name, value.isNull(), "NUMBER") for name, value in numbers.items()]
+    parsed = rows.withColumn("_numbers", once(F.struct(*[v.alias(name) for name, v in numbers.items()])))
+    faults = [(name, F.col("_numbers")[name].isNull(), "NUMBER") for name in numbers]
     faults += [(f"{c}_status", ~rules.in_vocabulary(F.col(f"{c}_status"), allowed[c]), "STATUS")
                for c in channels]
-    judged = rows.withColumn("_faults", F.filter(F.array(*[
+    judged = parsed.withColumn("_faults", F.filter(F.array(*[
         F.when(F.coalesce(bad, F.lit(True)), F.struct(
             F.lit(name).alias("field"), F.col(name).alias("text"), F.lit(problem).alias("problem")))
         for name, bad, problem in faults]), lambda f: f.isNotNull()))
     typed = judged.where(F.size("_faults") == 0).select(
-        *keep, *[value.alias(name) for name, value in numbers.items()],
+        *keep, *[F.col("_numbers")[name].alias(name) for name in numbers],
         *[f"{c}_status" for c in channels])
     rejected = judged.where(F.size("_faults") > 0).select(
         *keep, F.col("sample_no").alias("sample_text"), F.explode("_faults").alias("_f")).select(

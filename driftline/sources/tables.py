@@ -38,13 +38,17 @@ def split_quarantine(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return clean, broken
 
 
-def scan_logger_csv(spark: SparkSession, path, channels=contract.LOGGER_CHANNELS) -> DataFrame:
+def scan_logger_csv(spark: SparkSession, path, channels=contract.LOGGER_CHANNELS,
+                    shared: bool = False) -> DataFrame:
     """Wide logger files, one per session; the session is the file name.
 
+    Files ``shared`` by many sessions start with a field ``session_id`` instead.
     A UTF-8 byte order mark is skipped by the line reader.
     """
     fields = ("sample_no", "elapsed_ms") + tuple(
         name for c in channels for name in (c, f"{c}_status"))
+    if shared:
+        return scan_contract_csv(spark, path, ("session_id", *fields))
     rows = scan_contract_csv(spark, path, fields)
     return rows.withColumn(
         "session_id", F.regexp_replace(F.col("_metadata.file_name"), r"\.csv$", ""))

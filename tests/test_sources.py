@@ -241,3 +241,34 @@ def test_whole_documents(spark, tmp_path):
         "types": ("SCHEMA", *nothing), "null": ("SCHEMA", *nothing), "missing": ("SCHEMA", *nothing),
         "array": ("NOT_OBJECT", *nothing), "scalar": ("NOT_OBJECT", *nothing),
         "broken": ("NOT_JSON", *nothing)}
+
+
+def test_shared_files_hold_many_sessions_and_documents(spark, tmp_path):
+    (tmp_path / "logger").mkdir()
+    (tmp_path / "logger" / "part.csv").write_text(
+        "session_id,sample_no,elapsed_ms,a,a_status\nP001,0,100,1.5,OK\nP002,0,100,,OK\nP002,1,200\n")
+    rows = st.scan_logger_csv(spark, str(tmp_path / "logger"), channels=("a",), shared=True)
+    clean, broken = st.split_quarantine(rows)
+    assert sorted((r.session_id, r.sample_no, r.a) for r in clean.collect()) == [("P001", "0", "1.5"), ("P002", "0", "")]
+    assert [r.row_text for r in broken.collect()] == ["P002,1,200"]
+    texts = [(1, '{"name": "x",\n "n": 3}'), (2, '{"name": "x"}'), (3, "[1]"), (4, '{"name"'), (5, None)]
+    spark.createDataFrame(texts, "doc long, value string").write.parquet(str(tmp_path / "documents"))
+    found = doc.scan_whole_documents(spark, str(tmp_path / "documents"), {"name": "string", "n": "bigint"}, shared=True)
+    assert sorted((r.doc, r.problem, r.n) for r in found.collect()) == [
+        (1, "", 3), (2, "SCHEMA", None), (3, "NOT_OBJECT", None), (4, "NOT_JSON", None), (5, "NOT_JSON", None)]
+
+
+def test_scan_queries_write_no_file_per_session_or_document(spark, tmp_path, monkeypatch):
+    from driftline.catalog import storage
+
+    spark.createDataFrame([(i, f"S{i}", i % 5, 1.0) for i in range(300)],
+                          "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").coalesce(1).write.parquet(
+        str(tmp_path / "in" / "supplier.parquet"))
+    lines = [(i // 3, i % 3, i % 300, i % 7, 5.0, 9.5, 0.0, 0.01, "N", "O", i) for i in range(900)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_quantity double, "
+                          "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                          "l_linestatus string, l_shipdate long").write.parquet(str(tmp_path / "in" / "lineitem.parquet"))
+    for name, count in (("scan_logger_csv", 900 * 4), ("scan_json_documents", 300)):
+        monkeypatch.setattr(storage, "_folder", lambda _, name=name: str(tmp_path / name))
+        assert getattr(storage, name)(spark, str(tmp_path / "in")).count() == count
+        assert 0 < len([p for p in (tmp_path / name).rglob("part-*")]) < 50
