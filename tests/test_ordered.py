@@ -129,3 +129,20 @@ def test_coalesced_intervals_span_blocks(spark):
         assert sorted(tuple(r) for r in got.collect()) == sorted(want)
     longest = {r.session_id: r for r in longest_exposure(got).collect()}
     assert longest["long"].longest_exposure_ms == 29_990 and longest["nested"].exposure_count == 2
+
+
+def test_exact_quantiles_of_small_keys_need_no_sketch(spark):
+    """Keys on both sides of the limit agree with numpy; null keys have no row; no sketch per small key."""
+    rng = np.random.default_rng(4)
+    values = {"small": rng.normal(size=40), "one": rng.normal(size=1), "large": rng.normal(size=900)}
+    df = spark.createDataFrame(
+        [(k, float(v)) for k, vs in values.items() for v in vs] + [(None, 1.0), ("none", None)],
+        "key string, value double")
+    got = {r.key: r for r in exact_quantiles(
+        df, ["key"], "value", {"a": 0.25, "b": 0.9}, extent=True, accuracy=100).collect()}
+    assert set(got) == set(values)
+    for key, v in values.items():
+        assert np.allclose([got[key].a, got[key].b], np.quantile(v, [0.25, 0.9]), rtol=1e-14, atol=0)
+        assert (got[key].row_count, got[key].minimum, got[key].maximum) == (len(v), v.min(), v.max())
+    plan = exact_quantiles(df, ["key"], "value", {"a": 0.25})._jdf.queryExecution().toString()
+    assert "percentile_approx" not in plan and "Join" not in plan
