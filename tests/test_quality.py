@@ -179,3 +179,25 @@ def test_rows_of_unknown_and_repeated_sessions_are_rejects(spark):
     named = {(r.session_id, r.code) for r in built.issues.collect()}
     assert named == {("twice", "REPEATED_SESSION"), ("ghost", "UNKNOWN_SESSION"),
                      ("spirit", "UNKNOWN_SESSION"), ("shade", "UNKNOWN_SESSION")}
+
+
+def test_gate_reads_events_once_and_collapses_equal_issues(spark, tmp_path):
+    """The status is built from stored events, not from the events' files, and from issues per kind."""
+    rows = [dict(seq=i, event_id=f"e{i // 2}", session_id="s", timestamp=1000 * i,
+                 event_type="DEVICE_RESTART", event_metadata="{}") for i in range(6)]
+    folder = str(tmp_path / "happened")
+    spark.createDataFrame(rows, EVENT).write.parquet(folder)
+    sample_rows = [dict(zip(SAMPLE_NAMES, (i, "s", ts, value, cap, lig, system, "sit", "front")))
+                   for i, (ts, value, cap, lig, system) in enumerate(samples(60))]
+    built = quality_gate(
+        spark.createDataFrame([session()], SESSION), spark.createDataFrame(sample_rows, SAMPLE),
+        spark.read.parquet(folder), CONFIG, spark.createDataFrame([plan()], PLAN))
+    assert "happened" not in built.status._jdf.queryExecution().toString()
+    found = built.status.first()
+    codes = [r.code for r in built.issues.filter("session_id = 's'").collect()]
+    assert codes.count("DUPLICATE_EVENT_ID") == 3
+    assert found.error_count + found.warning_count == len(codes)
+    assert found.issue_codes == "|".join(sorted(set(codes)))
+
+
+SAMPLE_NAMES = [field.split()[0] for field in SAMPLE.split(", ")]
